@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from matchforge.plans import queries as plans
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def flagship(spark, sf_dir: str):
+    """Leakage-safe solo priors of every game's teams."""
+    return plans.smo20_solo_prior_features(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
