@@ -125,6 +125,6 @@ def mixed_documents(docs: DataFrame, seed: int = 17, text: str = "text", id_col:
     A document of which the mix takes less than half is left out. Columns are those of `docs`.
     """
     mix = mix_sources(docs, seed, text, id_col)
-    copies = mix.documents.select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    copies = mix.documents.select(F.col("doc_id").alias("_id"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
     copies = write_table(copies.groupBy("_id").agg(F.max("_copies").alias("_copies")), "copies")
     return docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
