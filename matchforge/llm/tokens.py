@@ -26,7 +26,8 @@ def default_tokenizer() -> str:
 class ChunkEncoder(dict):
     """bytes of a chunk -> its ids as little-endian 16-bit numbers."""
 
-    #: Letters, then marks that are neither letters, digits, spaces nor apostrophes.
+    #: Letters, then marks that are neither letters, digits, spaces nor apostrophes. The first group also takes
+    #: superscripts and fractions, which are numbers to the vocabulary; isalpha() tells them apart.
     plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
@@ -82,7 +83,7 @@ class ChunkEncoder(dict):
         text = chunk.decode("utf-8", "replace")
         # Latin letters up to U+024F but for U+0130 keep their number when normalised and lower-cased.
         m = self.plain.fullmatch(text.lower()) if "<|" not in text and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)) else None
-        if m:
+        if m and m[1].isalpha():
             ids = self._word(m[1]) + (self._mark(m[2]) if m[2] else b"")
         else:
             ids = self._ids(text)

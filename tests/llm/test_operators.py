@@ -151,6 +151,12 @@ def test_chunked_ids_equal_whole_text_ids():
         assert np.frombuffer(coder.encode(t.encode()), "<u2").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunked_ids_of_superscripts_fractions_and_every_latin_character():
+    coder = tokens.ChunkEncoder(tokens.default_tokenizer())
+    for t in ["m² cm² co² 10m³ x¹ 1½ ½ tasse¼ a¾b m²!", *(f"{a}{chr(c)}{b}" for c in range(0x21, 0x250) for a, b in (("", ""), ("a", "b"), ("ab", "!")))]:
+        assert np.frombuffer(coder.encode(t.encode()), "<u2").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_open_windows_hold_a_bound():
     held, done = packing.OpenWindows(10, 3), []
     for n in (6, 7, 8, 4, 9, 10, 3):
