@@ -1,9 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model is over character classes: 56 classes and order 4, so that the tables have at most 56 + 56^2 + 56^3 + 56^4
-cells at any corpus size, a bound that allows every worker to hold the model. All trusted text is counted. Counts,
-continuation counts, context totals and discounts are Spark aggregates and joins, keyed (and so sharded) by n-gram code;
-the finished tables are written to the shared folder, from which workers load them. A document is rejected if its
+The model is over n-grams of whole code points, of order 4, so its tables grow with the trusted text and its scripts. All
+trusted text is counted. Counts, continuation counts, context totals, discounts and the probabilities of all n-grams that
+documents hold are Spark aggregates and joins, keyed (and so sharded) by n-gram. Documents ask by block, a piece of an
+input file: a task sends each n-gram of its block once, and later loads no more than its block's answers. A document is rejected if its
 perplexity is above a quantile, for its language, of the perplexities of trusted documents, times a margin.
 """
 
@@ -53,43 +53,107 @@ def _class_table():
 _STATE: dict = {}
 
 
-def gram_codes(text: str):
-    """Code of the order-4 n-gram that ends at each character; texts begin with line ends."""
+def gram_keys(text: str):
+    """(points, keys): the code points of the text after ORDER - 1 line ends, and a 64-bit key of the n-gram that ends at each character."""
     import numpy as np
 
-    if "classes" not in _STATE:
-        _STATE["classes"] = _class_table()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.empty(len(points) + ORDER - 1, np.int32)
-    c[: ORDER - 1] = 1
-    c[ORDER - 1 :] = _STATE["classes"][np.minimum(points, 0x250)]
-    code = c[: len(points)].copy()
+    if "mixed" not in _STATE:
+        z = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        _STATE["mixed"] = z ^ (z >> np.uint64(31))
+    points = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    m = _STATE["mixed"][points]
+    n = len(points) - ORDER + 1
+    keys = m[:n].copy()
     for k in range(1, ORDER):
-        code *= CLASSES
-        code += c[k : k + len(points)]
-    return code
+        keys *= np.uint64(0xD6E8FEB86659FD93)
+        keys += m[k : k + n]
+    return points, keys.view(np.int64)
 
 
-def count_grams(texts: DataFrame, text: str) -> DataFrame:
-    """(code, c): counts of order-4 n-grams over all rows. Each task merges its own counts before they are shuffled."""
-    small_batches(texts.sparkSession)
+def with_block(docs: DataFrame) -> DataFrame:
+    """`docs` and `_block`, the piece of an input file that a row comes from: the same each time, so no text is shuffled.
+
+    What is not itself a scan of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = write_table(docs, "documents")
+    return docs.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+
+
+def write_blocks(df: DataFrame, folder: str) -> None:
+    """One folder of Parquet files for every block."""
+    df.repartition("_block").write.partitionBy("_block").parquet(folder)
+
+
+def read_block(folder: str, block: int, columns: list[str]):
+    """Arrow table of a block's rows, or None if it has none."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, path = filesystem(f"{folder}/_block={block}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    return pq.read_table(path, filesystem=fs, columns=columns, partitioning=None)
+
+
+def count_grams(base: DataFrame, trusted: str) -> DataFrame:
+    """(_block, key, gram, c): the n-grams of each block's texts, and how often trusted texts hold them; `base` is (_block, id, text).
+
+    A task merges the n-grams of its block before they are sent on, so it holds no more than one piece of a file has."""
+    small_batches(base.sparkSession)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        schema = pa.schema([("_block", pa.int64()), ("key", pa.int64()), ("gram", pa.string()), ("c", pa.int64())])
+        block, ids, held, waiting, chars = None, set(), None, [], 0
+
+        def merge():
+            nonlocal held, waiting, chars
+            if waiting:
+                points = np.concatenate([p for p, _, _ in waiting])
+                keys = np.concatenate([k for _, k, _ in waiting])
+                count = np.concatenate([np.full(len(k), good, np.int64) for _, k, good in waiting])
+                starts = np.cumsum([0, *(len(p) for p, _, _ in waiting[:-1])])
+                at = np.concatenate([np.arange(len(k)) + s for s, (_, k, _) in zip(starts, waiting)])
+                keys, first, count = distinct(keys, count)
+                found = keys, points[at[first][:, None] + np.arange(ORDER)], count
+                if held is not None:
+                    keys, points, count = (np.concatenate(x) for x in zip(held, found))
+                    keys, first, count = distinct(keys, count)
+                    found = keys, points[first], count
+                held, waiting, chars = found, [], 0
+
+        def distinct(keys, count):
+            order = np.argsort(keys)
+            keys = keys[order]
+            bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            return keys[bounds], order[bounds], np.add.reduceat(count[order], bounds)
+
+        def done():
+            merge()
+            for i in range(0, 0 if held is None else len(held[0]), 100_000):
+                keys, points, count = (x[i : i + 100_000] for x in held)
+                text = np.ascontiguousarray(points).tobytes().decode("utf-32-le", "surrogatepass")
+                grams = [text[j : j + ORDER] for j in range(0, len(text), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block), pa.int64()), pa.array(keys), pa.array(grams, pa.string()), pa.array(count)], schema=schema)
+
         for batch in batches:
-            found = [gram_codes(t) for t in batch.column(0).to_pylist() if t]
-            if not found:
-                continue
-            new, n = np.unique(np.concatenate(found), return_counts=True)
-            both, where = np.unique(np.concatenate((codes, new)), return_inverse=True)
-            counts = np.bincount(where, np.concatenate((counts, n))).astype(np.int64)
-            codes = both
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "c"])
+            for b, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if b != block:
+                    yield from done()
+                    rows = read_block(trusted, b, ["id"])
+                    block, ids, held = b, set() if rows is None else set(rows.column("id").to_pylist()), None
+                if t:
+                    waiting.append((*gram_keys(t), int(i in ids)))
+                    chars += len(t)
+                    if chars > 2_000_000:
+                        merge()
+        yield from done()
 
-    return texts.select(text).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return base.mapInArrow(run, "_block long, key long, gram string, c long")
 
 
 def discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -103,76 +167,107 @@ def discounts(grams: DataFrame) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def train(texts: DataFrame, text: str = "text") -> str | None:
-    """Train on all rows of `texts`; returns the folder of the model, or None if there is no character to learn from.
+def train(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id") -> str | None:
+    """Train on all texts of trusted ids and look up every n-gram of `docs`, which has `_block`; returns the folder of the
+    model, or None if there is no trusted character.
 
-    Tables: grams (n, code, p: the interpolated probability) and contexts (n, code, g: the weight of the lower order).
+    Tables: grams (n, gram, c, p: the interpolated probability) of all texts, contexts (n, context, total, held) and,
+    by block, scores (key, logp). Every join is keyed, and so sharded, by n-gram.
     """
     from matchforge.llm._common import scratch_path
 
-    spark = texts.sparkSession
-    by_order = {ORDER: write_table(count_grams(texts, text), "grams")}
-    if by_order[ORDER].isEmpty():
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "kneser-ney")
+    base = docs.select("_block", F.col(id_col).cast("long").alias("id"), text)
+    write_blocks(base.select("_block", "id").join(trusted, F.col("id") == F.col("_trusted"), "left_semi"), f"{folder}/trusted")
+    found = write_table(count_grams(base, f"{folder}/trusted"), "found")
+    grams = {ORDER: write_table(found.groupBy("gram").agg(F.sum("c").alias("c")), "grams")}
+    if grams[ORDER].where("c > 0").isEmpty():
         return None
     for n in range(ORDER - 1, 0, -1):
-        by_order[n] = write_table(by_order[n + 1].groupBy((F.col("code") % CLASSES**n).alias("code")).agg(F.count("*").alias("c")), "grams")
-    folder, lower = scratch_path(spark, "kneser-ney"), None
+        grams[n] = write_table(grams[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), "grams")
+    lower = None
     for n in range(1, ORDER + 1):
-        grams, d = by_order[n], discounts(by_order[n])
-        by = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = grams.withColumn("context", F.floor(F.col("code") / CLASSES)).withColumn("d", F.least(by, F.col("c").cast("double")))
-        contexts = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-        rows = rows.join(contexts, "context").withColumn("own", (F.col("c") - F.col("d")) / F.col("total")).withColumn("g", F.col("held") / F.col("total"))
+        seen = grams[n].where("c > 0")
+        d = discounts(seen)
+        by = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        by = F.least(by, F.col("c").cast("double"))
+        sums = [F.sum("c").alias("total"), F.sum(by).alias("held")]
         if lower is None:
-            rows = rows.withColumn("p", F.col("own") + F.col("g") / CLASSES)
+            total, held, known = seen.agg(*sums, F.count("*")).first()
+            contexts = spark.createDataFrame([("", total, held)], "context string, total long, held double")
+            rows = grams[n].withColumn("p", (F.col("c") - by) / total + held / total / (known + 1))
         else:
-            rows = rows.join(lower, (rows["code"] % CLASSES ** (n - 1)) == lower["code_"]).withColumn("p", F.col("own") + F.col("g") * F.col("p_"))
-        rows = write_table(rows.select("code", "p"), f"p{n}")
-        rows.select(F.lit(n).alias("n"), "code", "p").coalesce(8).write.mode("append").parquet(f"{folder}/grams")
-        contexts.select(F.lit(n).alias("n"), F.col("context").alias("code"), (F.col("held") / F.col("total")).alias("g")).coalesce(8).write.mode("append").parquet(f"{folder}/contexts")
-        lower = rows.select(F.col("code").alias("code_"), F.col("p").alias("p_"))
+            contexts = write_table(seen.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(*sums), "contexts")
+            rows = grams[n].withColumn("context", F.substring("gram", 1, n - 1)).join(contexts, "context", "left").join(lower, F.substring("gram", 2, n - 1) == F.col("gram_"))
+            rows = rows.withColumn("p", F.coalesce((F.col("c") - by) / F.col("total") + F.col("held") / F.col("total") * F.col("p_"), F.col("p_")))
+        rows = write_table(rows.select("gram", "c", "p"), f"p{n}")
+        contexts.select(F.lit(n).alias("n"), "context", "total", "held").write.mode("append").parquet(f"{folder}/contexts")
+        seen_rows = rows.where("c > 0").select(F.lit(n).alias("n"), "gram", "c", "p")
+        seen_rows.write.mode("append").parquet(f"{folder}/grams")
+        lower = rows.select(F.col("gram").alias("gram_"), F.col("p").alias("p_"))
+    write_blocks(found.join(rows, "gram").select("_block", "key", F.log("p").cast("float").alias("logp")), f"{folder}/scores")
     return folder
 
 
 def log_table(folder: str):
-    """Natural log of the probability of every order-4 n-gram, seen or not, as one array of 56^4 floats."""
+    """For inspection of small models: natural log of the probability of each character class after every context seen, as
+    one array; a context's CLASSES numbers are the sums of p over all code points seen and one for all others."""
     import numpy as np
     import pyarrow.parquet as pq
 
-    if _STATE.get("folder") != folder:
-        fs, path = filesystem(folder)
-        grams, contexts = (pq.read_table(f"{path}/{t}", filesystem=fs) for t in ("grams", "contexts"))
-        n, code, p = (np.array(grams.column(c)) for c in ("n", "code", "p"))
-        cn, ccode, g = (np.array(contexts.column(c)) for c in ("n", "code", "g"))
-        table = np.full(CLASSES, 1.0 / CLASSES, np.float32)
-        for k in range(1, ORDER + 1):
-            weight = np.ones(CLASSES ** (k - 1), np.float32)
-            weight[ccode[cn == k]] = g[cn == k]
-            lower = table if k == 1 else np.tile(table.reshape(-1, CLASSES), (CLASSES, 1)).reshape(CLASSES ** (k - 1), CLASSES)
-            table = (weight[:, None] * lower).astype(np.float32).ravel()
-            table[code[n == k]] = p[n == k]
-        _STATE["table"], _STATE["folder"] = np.log(table), folder
-    return _STATE["table"]
+    fs, path = filesystem(folder)
+    grams, contexts = (pq.read_table(f"{path}/{t}", filesystem=fs).to_pylist() for t in ("grams", "contexts"))
+    seen, after = {r["gram"]: r for r in grams}, {r["context"]: r for r in contexts}
+    alphabet = sorted(r["gram"] for r in grams if r["n"] == 1)
+
+    def p(context, c):
+        if c is not None and context + c in seen:
+            return seen[context + c]["p"]
+        weight = after[context]["held"] / after[context]["total"] if context in after else 1.0
+        return weight * (p(context[1:], c) if context else 1 / (len(alphabet) + 1))
+
+    classes, out = _class_table(), []
+    for context in sorted(x for x in after if len(x) == ORDER - 1):
+        row = np.zeros(CLASSES)
+        for c in [*alphabet, None]:
+            row[classes[0x250 if c is None else min(ord(c), 0x250)]] += p(context, c)
+        out.append(row)
+    with np.errstate(divide="ignore"):
+        return np.log(np.concatenate(out))
 
 
 def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") -> DataFrame:
-    """All columns and `_symbols`, `_perplexity`; null and empty texts, or no model, have no perplexity. A narrow step."""
+    """All columns and `_symbols`, `_perplexity`; null and empty texts, or no model, have no perplexity. `docs` is what
+    the model was trained with, with its `_block`. A narrow step."""
     small_batches(docs.sparkSession)
     if folder is None:
         return docs.withColumn("_symbols", F.char_length(F.coalesce(text, F.lit(""))).cast("long")).withColumn("_perplexity", F.lit(None).cast("double"))
-    at = docs.columns.index(text)
+    at, block_at = docs.columns.index(text), docs.columns.index("_block")
     schema = T.StructType([*docs.schema.fields, T.StructField("_symbols", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        table = log_table(folder)
+        block = None
         for batch in batches:
             size, score = [], []
-            for t in batch.column(at).to_pylist():
+            for b, t in zip(batch.column(block_at).to_pylist(), batch.column(at).to_pylist()):
                 size.append(len(t or ""))
-                score.append(float(np.exp(-table[gram_codes(t)].mean(dtype=np.float64))) if t else None)
+                if not t:
+                    score.append(None)
+                    continue
+                if b != block:
+                    rows = read_block(f"{folder}/scores", b, ["key", "logp"])
+                    keys, logp = (np.array(rows.column(c)) for c in ("key", "logp"))
+                    order = np.argsort(keys)
+                    keys, logp, block = keys[order], logp[order], b
+                own = gram_keys(t)[1]
+                where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                if (keys[where] != own).any():
+                    raise ValueError("a text holds an n-gram that its block did not ask for")
+                score.append(float(np.exp(-logp[where].mean(dtype=np.float64))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(score, pa.float64())], [*batch.schema.names, "_symbols", "_perplexity"])
 
     return docs.mapInArrow(run, schema)
@@ -204,10 +299,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     Thresholds are held for the `max_languages` languages with the most trusted documents (the driver holds that many
     numbers); others, and null, use the threshold over all trusted documents. No trusted text: nothing is rejected.
     """
-    trusted = trusted_ids(labels)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text).where(F.col(text) != "")
-    folder = train(texts.join(trusted, texts["_id"] == trusted["_trusted"], "left_semi"), text)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    trusted = write_table(trusted_ids(labels), "trusted")
+    docs = docs if "_block" in docs.columns else with_block(docs)
+    folder = train(docs, trusted, text, id_col)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), "_block")
     scores = write_table(with_perplexity(base, folder).select("doc_id", "lang", F.col("_symbols").alias("symbols"), F.col("_perplexity").alias("perplexity")), "perplexity")
     known = scores.where("perplexity is not null").join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
@@ -224,7 +319,8 @@ def judge(scores: DataFrame, model: QualityModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The documents that the model does not reject, with their columns; the texts are scored again where they stand, not shuffled."""
+    columns, docs = docs.columns, with_block(docs)
     model = fit(docs, labels, text, id_col, lang)
     scored = with_perplexity(docs, model.folder, text)
     good = F.coalesce(F.col("_perplexity") <= model.threshold(F.col(lang)), F.lit(True))
-    return scored.where(good).select(*docs.columns)
+    return scored.where(good).select(*columns)

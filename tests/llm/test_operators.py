@@ -311,6 +311,20 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark, docs, none):
     assert quality_lm.keep_good(none, labels).count() == 0
 
 
+def test_model_tells_texts_of_other_scripts_from_junk(spark):
+    random.seed(8)
+    scripts = {"el": "καλημέρα κόσμε πώς είσαι σήμερα φίλε".split(), "ja": "今日は 天気が いいですね 東京の 朝は 静かです".split()}
+    rows = [(i * 1000 + j, " ".join(random.choices(words, k=40)), lang) for i, (lang, words) in enumerate(scripts.items()) for j in range(80)]
+    junk = [(9000 + i * 100 + j, "".join(random.choices(sorted(set("".join(words))), k=200)), lang) for i, (lang, words) in enumerate(scripts.items()) for j in range(20)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    model = quality_lm.fit(df, spark.createDataFrame([(r[0], 1) for r in rows if r[0] % 1000 < 60], "doc_id long, quality int"))
+    kept = {r.doc_id for r in quality_lm.judge(model.scores, model).where("kept").collect()}
+    assert kept == {r[0] for r in rows}
+    seen = {r.gram for r in spark.read.parquet(f"{model.folder}/grams").where("n = 4").collect()}
+    text = ["\n\n\n" + r[1] for r in rows if r[0] % 1000 < 60]
+    assert seen == {t[i : i + 4] for t in text for i in range(len(t) - 3)}
+
+
 def test_toxicity_held_out(spark, docs, none):
     random.seed(6)
     plain, rude = [f"word{i}" for i in range(300)], ["rotten", "vile", "nastyish", "nastyful", "nastyous"]
