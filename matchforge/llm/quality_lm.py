@@ -4,7 +4,8 @@ The model is over n-grams of whole code points, of order 4, so its tables grow w
 trusted text is counted. Counts, continuation counts, context totals, discounts and the probabilities of all n-grams that
 documents hold are Spark aggregates and joins, keyed (and so sharded) by n-gram. Documents ask by block, a piece of an
 input file: a task sends each n-gram of its block once, and later loads no more than its block's answers. A document is rejected if its
-perplexity is above a quantile, for its language, of the perplexities of trusted documents, times a margin.
+perplexity is above a quantile, for its language, of the perplexities of trusted documents, times a margin; or if it repeats itself: if deflate makes less of it than a low quantile,
+for its language, of what it makes of trusted documents, divided by that margin. Repeated words have low perplexity.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ CLASSES = 56
 ORDER = 4
 QUANTILE = 0.999
 MARGIN = 1.1
+REPEAT_QUANTILE = 0.001
 MAX_LANGUAGES = 1024
 
 
@@ -237,14 +239,22 @@ def log_table(folder: str):
         return np.log(np.concatenate(out))
 
 
+def compressed(text: str) -> float:
+    """Bytes of the deflated text by bytes of the text. Its window of 32 KB keeps long texts comparable with short ones."""
+    import zlib
+
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(zlib.compress(raw, 1)) / len(raw)
+
+
 def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") -> DataFrame:
-    """All columns and `_symbols`, `_perplexity`; null and empty texts, or no model, have no perplexity. `docs` is what
+    """All columns and `_symbols`, `_perplexity`, `_compressed`; null and empty texts, or no model, have neither of the last two. `docs` is what
     the model was trained with, with its `_block`. A narrow step."""
     small_batches(docs.sparkSession)
     if folder is None:
-        return docs.withColumn("_symbols", F.char_length(F.coalesce(text, F.lit(""))).cast("long")).withColumn("_perplexity", F.lit(None).cast("double"))
+        return docs.withColumn("_symbols", F.char_length(F.coalesce(text, F.lit(""))).cast("long")).withColumns({c: F.lit(None).cast("double") for c in ("_perplexity", "_compressed")})
     at, block_at = docs.columns.index(text), docs.columns.index("_block")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_symbols", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_symbols", T.LongType()), T.StructField("_perplexity", T.DoubleType()), T.StructField("_compressed", T.DoubleType())])
 
     def run(batches):
         import numpy as np
@@ -252,9 +262,10 @@ def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") ->
 
         block = None
         for batch in batches:
-            size, score = [], []
+            size, score, ratio = [], [], []
             for b, t in zip(batch.column(block_at).to_pylist(), batch.column(at).to_pylist()):
                 size.append(len(t or ""))
+                ratio.append(compressed(t) if t else None)
                 if not t:
                     score.append(None)
                     continue
@@ -268,7 +279,7 @@ def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") ->
                 if (keys[where] != own).any():
                     raise ValueError("a text holds an n-gram that its block did not ask for")
                 score.append(float(np.exp(-logp[where].mean(dtype=np.float64))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(score, pa.float64())], [*batch.schema.names, "_symbols", "_perplexity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(ratio, pa.float64())], [*batch.schema.names, "_symbols", "_perplexity", "_compressed"])
 
     return docs.mapInArrow(run, schema)
 
@@ -279,19 +290,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 class QualityModel:
-    """A trained model with its thresholds: `thresholds` maps languages to limits, `limit` serves all others."""
+    """A trained model with its limits: `thresholds` (of perplexity) and `floors` (of compression) map languages to limits,
+    `limit` and `floor` serve all others."""
 
-    def __init__(self, folder: str | None, thresholds: dict, limit: float | None, scores: DataFrame | None):
-        self.folder, self.thresholds, self.limit, self.scores = folder, thresholds, limit, scores
+    def __init__(self, folder: str | None, thresholds: dict, limit: float | None, floors: dict, floor: float | None, scores: DataFrame | None):
+        self.folder, self.thresholds, self.limit, self.floors, self.floor, self.scores = folder, thresholds, limit, floors, floor, scores
 
-    def threshold(self, lang):
-        """Column: the limit of a language."""
-        out = F.lit(self.limit).cast("double")
-        if self.thresholds:
-            pairs = [F.lit(x) for kv in sorted(self.thresholds.items()) for x in kv]
+    @staticmethod
+    def _by_language(limits: dict, other: float | None, lang):
+        out = F.lit(other).cast("double")
+        if limits:
+            pairs = [F.lit(x) for kv in sorted(limits.items()) for x in kv]
             out = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(lang, F.lit(""))), out)
         return out
 
+    def threshold(self, lang):
+        """Column: the highest perplexity that is kept in a language."""
+        return self._by_language(self.thresholds, self.limit, lang)
+
+    def least(self, lang):
+        """Column: the lowest compression that is kept in a language."""
+        return self._by_language(self.floors, self.floor, lang)
+
+    def good(self, perplexity: str, ratio: str, lang):
+        """Column: whether nothing speaks against a document."""
+        return F.coalesce((F.col(perplexity) <= self.threshold(lang)) & (F.col(ratio) >= self.least(lang)), F.lit(True))
+
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, max_languages: int = MAX_LANGUAGES) -> QualityModel:
     """Train on the texts of all trusted documents, score all documents, and set a threshold per language.
@@ -303,18 +327,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     docs = docs if "_block" in docs.columns else with_block(docs)
     folder = train(docs, trusted, text, id_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), "_block")
-    scores = write_table(with_perplexity(base, folder).select("doc_id", "lang", F.col("_symbols").alias("symbols"), F.col("_perplexity").alias("perplexity")), "perplexity")
+    scores = write_table(with_perplexity(base, folder).select("doc_id", "lang", F.col("_symbols").alias("symbols"), F.col("_perplexity").alias("perplexity"), F.col("_compressed").alias("compressed")), "perplexity")
     known = scores.where("perplexity is not null").join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    overall = known.agg(limit).first()[0]
-    rows = known.where("lang is not null").groupBy("lang").agg(limit.alias("limit"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    return QualityModel(folder, {r["lang"]: r["limit"] * margin for r in rows}, None if overall is None else overall * margin, scores)
+    limits = [F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"), F.percentile_approx("compressed", F.lit(REPEAT_QUANTILE), F.lit(10_000)).alias("least")]
+    overall = known.agg(*limits).first()
+    rows = known.where("lang is not null").groupBy("lang").agg(*limits, F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    high = {r["lang"]: r["limit"] * margin for r in rows}, None if overall[0] is None else overall[0] * margin
+    low = {r["lang"]: r["least"] / margin for r in rows}, None if overall[1] is None else overall[1] / margin
+    return QualityModel(folder, *high, *low, scores)
 
 
 def judge(scores: DataFrame, model: QualityModel) -> DataFrame:
-    """Scores with `threshold` and `kept`. Documents without perplexity are kept: nothing speaks against them."""
-    out = scores.withColumn("threshold", model.threshold(F.col("lang")))
-    return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    """Scores with `threshold`, `least` and `kept`. Documents without perplexity are kept: nothing speaks against them."""
+    out = scores.withColumn("threshold", model.threshold(F.col("lang"))).withColumn("least", model.least(F.col("lang")))
+    return out.withColumn("kept", model.good("perplexity", "compressed", F.col("lang")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -322,5 +348,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: st
     columns, docs = docs.columns, with_block(docs)
     model = fit(docs, labels, text, id_col, lang)
     scored = with_perplexity(docs, model.folder, text)
-    good = F.coalesce(F.col("_perplexity") <= model.threshold(F.col(lang)), F.lit(True))
+    good = model.good("_perplexity", "_compressed", F.col(lang))
     return scored.where(good).select(*columns)

@@ -325,6 +325,16 @@ def test_model_tells_texts_of_other_scripts_from_junk(spark):
     assert seen == {t[i : i + 4] for t in text for i in range(len(t) - 3)}
 
 
+def test_repeated_words_and_phrases_are_rejected(spark):
+    random.seed(9)
+    words = ["der", "die", "und", *("".join(random.choices("abcdefghilmnorstu", k=random.randint(3, 9))) for _ in range(300))]
+    good = [(i, " ".join(random.choices(words, [40] * 3 + [1] * 300, k=120)), "de") for i in range(150)]
+    bad = [(1000, "Der " * 200, "de"), (1001, "der " * 200, "de"), (1002, (" ".join(random.choices(words, k=9)) + ". ") * 20, "de"), (1003, "und die und " * 60, "xx")]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality_lm.keep_good(df, labels).collect()} == {r[0] for r in good}
+
+
 def test_toxicity_held_out(spark, docs, none):
     random.seed(6)
     plain, rude = [f"word{i}" for i in range(300)], ["rotten", "vile", "nastyish", "nastyful", "nastyous"]
