@@ -1,4 +1,4 @@
-"""Shared helpers: shared scratch tables, word counting, atomic binary files, row numbers."""
+"""Shared helpers: shared scratch tables, places of rows in files and marks on them, word counting, row numbers, binary files."""
 
 from __future__ import annotations
 
@@ -6,21 +6,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: ASCII white space, the separators of every word definition here: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
-#: Only for sessions that name no shared folder, such as local tests.
+#: Only for sessions on one machine that name no shared folder, such as local tests.
 LOCAL_SHARED = "file:///tmp/checkpoints/matchforge"
+#: Rows of a file that share their marks: what a task holds of them at a time.
+BLOCK_ROWS = 8192
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset (single-machine tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all machines share: spark.checkpoint.dir or the context's checkpoint folder; a local one only if the master is local."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = LOCAL_SHARED
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -37,7 +42,82 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of write_table that nothing reads any more."""
+    for table in tables:
+        if getattr(table, "_scratch", None):
+            fs, path = filesystem(table._scratch)
+            fs.delete_dir(path)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """(row: all columns as one struct, _block, _at): `_at` is the row's number in its file, `_block` names its file and a
+    stretch of BLOCK_ROWS rows there. The same each time, however the scan is split. What is not a scan of Parquet is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = write_table(docs, "documents")
+    at = F.col("_metadata.row_index")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col("_metadata.file_path"), F.floor(at / BLOCK_ROWS)).alias("_block"), at.alias("_at"))
+
+
+def write_blocks(df: DataFrame, folder: str) -> None:
+    """One folder of Parquet files for every `_block`."""
+    df.repartition("_block").write.partitionBy("_block").parquet(folder)
+
+
+def read_block(folder: str, block: int, columns: list[str]):
+    """Arrow table of a block's rows, or None if it has none."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, path = filesystem(f"{folder}/_block={block}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    return pq.read_table(path, filesystem=fs, columns=columns, partitioning=None)
+
+
+def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Inner join of `rows` and `marks` by `_block` and `_at` (unique in `marks`) in which `rows` stay where they are.
+
+    Marks are dealt by block and written; the task that reads a block of rows loads the marks of that block only. So texts
+    are never shuffled and nothing is broadcast, at any size.
+    """
+    small_batches(rows.sparkSession)
+    folder = scratch_path(rows.sparkSession, "marks")
+    write_blocks(marks, folder)
+    extra = [f for f in marks.schema.fields if f.name not in ("_block", "_at")]
+    names = [f.name for f in extra]
+    block_at, row_at = rows.columns.index("_block"), rows.columns.index("_at")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        block, held, keys = None, None, None
+        for batch in batches:
+            blocks, at = batch.column(block_at).to_numpy(), batch.column(row_at).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if blocks[low] != block:
+                    block, held = blocks[low], read_block(folder, blocks[low], ["_at", *names])
+                    if held is not None:
+                        held = held.combine_chunks().sort_by("_at")
+                        keys = held.column("_at").to_numpy()
+                if held is None or not len(keys):
+                    continue
+                place = np.minimum(np.searchsorted(keys, at[low:high]), len(keys) - 1)
+                hit = keys[place] == at[low:high]
+                if hit.any():
+                    mine, theirs = batch.slice(low, high - low).filter(pa.array(hit)), held.take(pa.array(place[hit])).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*mine.columns, *(theirs.column(n).combine_chunks() for n in names)], [*batch.schema.names, *names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *extra]))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -53,17 +133,25 @@ def word_count(text):
     return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " +"))).cast("long")
 
 
-def ranked(df: DataFrame, keys: list, name: str = "rank") -> DataFrame:
-    """Add the 0-based rank of every row in the order of `keys`, without gathering all rows in one task.
+def running_sums(df: DataFrame, keys: list, values: dict) -> DataFrame:
+    """Add, for each name in `values`, the sum of its column over all rows that come before in the order of `keys`.
 
-    Rows are dealt by range and written; each range counts its rows; only one count per range is summed in order.
+    No task sees all rows: they are dealt by range and written, each range sums its rows, and only one sum per range is added up in order.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = write_table(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranked")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    return dealt.withColumn("_in", inside).join(offsets, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    dealt = write_table(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "dealt")
+    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{k}").over(parts), F.lit(0)).alias(f"_{k}") for k in values])
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in values.items()}
+    out = dealt.withColumns(sums).join(totals, "_part")
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop("_part", *[f"_{k}" for k in values])
+
+
+def ranked(df: DataFrame, keys: list, name: str = "rank") -> DataFrame:
+    """Add the 0-based rank of every row in the order of `keys`, without gathering all rows in one task."""
+    return running_sums(df, keys, {name: F.lit(1).cast("long")})
 
 
 def filesystem(uri: str):

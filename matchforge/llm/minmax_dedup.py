@@ -4,62 +4,75 @@ Under each permutation both the smallest and the largest value are kept, so a si
 evaluations per shingle. Bands of signature values deal documents into buckets; links are looked for inside buckets
 and confirmed by comparing whole shingle sets.
 
-Skew and repeats: documents with one and the same shingle set become a class with one member for all later steps.
-A bucket does not pair all its members. First each member is compared with one hub, the member that shares most
-buckets with others; members linked to it need nothing more. Then the members that are not in their hub's component are
-compared with the members of other components, blocks against blocks, inside the task: by their sizes, by their
-distances to the hub (Jaccard distance is a metric, so linked members have nearly the same), and by their signatures,
-of which a link can fall short by six standard deviations only (a chance of 1e-9). Pairs that pass are confirmed on full
-sets. No bucket is cut or left out, and only pairs near the threshold become rows.
+Skew and repeats: documents with one and the same shingle set are one node (named by a digest of the set) in all later
+steps, and buckets that hold one node only are left behind. A bucket does not pair its members. First each member is
+compared with the bucket's hub, the member that shares most buckets with others; a hub meets a member once, however many
+buckets they share, and members linked to it need nothing more. Then, hub by hub, the members that are not in the hub's
+component are compared with members of other components, in blocks of bounded bytes inside tasks: the Jaccard distance is
+a metric, so only members at nearly the same distance from the hub meet; the sizes of all intersections of two blocks
+come from products of their incidence matrices, exactly; and a block gives back a spanning forest of components only, at
+most one link per member. So no bucket is cut or left out, pairs never become rows, and no task holds more than two blocks.
+
+Texts are never shuffled: a text whose set is needed is read again where it stands (see with_marks).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from matchforge.llm._common import small_batches, write_table
+from matchforge.llm._common import discard, located, small_batches, with_marks, write_table
 from matchforge.llm.components import components
 
 BANDS, BAND_ROWS = 48, 7
-#: Members of a bucket that one block holds, and standard deviations that a sketch may fall short of the threshold.
-BLOCK, DEVIATIONS = 512, 6.0
-SIGNED = "row long, doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary"
+#: Members and bytes of shingle sets that one block holds, and shingles that one strip of an incidence matrix has.
+BLOCK, BLOCK_BYTES, STRIP = 2048, 8_000_000, 2048
+#: Letters of a word that the table of word_hashes covers; longer words are hashed one by one.
+LONGEST = 64
 
 
 def word_hashes(text: bytes):
-    """64-bit hash of each maximal run of bytes outside [\\x20\\x09-\\x0D], A-Z lower-cased."""
+    """64-bit hash of each maximal run of bytes outside [\\x20\\x09-\\x0D], A-Z lower-cased.
+
+    A word's hash is the sum of random numbers, one for each byte at its place in the word. Two different words of one
+    length have equal sums with a chance of 2^-64, whatever they look like.
+    """
     import numpy as np
 
     raw, none = np.frombuffer(text, np.uint8), np.zeros(1, np.int8)
-    table, powers, inverse = _tables(len(raw))
     solid = (raw != 32) & ((raw < 9) | (raw > 13))
     edge = np.flatnonzero(np.diff(np.concatenate((none, solid.view(np.int8), none))))
     starts, ends = edge[0::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * powers[: len(raw)])))
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        sums = np.add.reduceat(_table()[np.minimum(place, LONGEST - 1) << 8 | raw[solid]], first)
+        for i in np.flatnonzero(lengths > LONGEST):
+            sums[i] = _long_word(text[starts[i] : ends[i]])
+        return mix(sums + lengths.astype(np.uint64))
 
 
-_TABLES: list = []
+_TABLE: list = []
 
 
-def _tables(n: int):
-    """Random word per byte (capitals as small letters), powers of an odd number and of its inverse, for texts of n bytes."""
+def _table():
+    """A random number for every place and byte of a word; capitals have those of small letters."""
     import numpy as np
 
-    size = 1 << 17
-    while size < n:
-        size *= 2
-    if not _TABLES or len(_TABLES[1]) < size:
-        table = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        table[65:91] = table[97:123]
-        base = 0x9E3779B97F4A7C15
-        with np.errstate(over="ignore"):
-            up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, np.uint64(b))))) for b in (base, pow(base, -1, 1 << 64)))
-        _TABLES[:] = [table, up, down]
-    return _TABLES
+    if not _TABLE:
+        table = np.random.default_rng(20240917).integers(0, 1 << 64, (LONGEST, 256), dtype=np.uint64)
+        table[:, 65:91] = table[:, 97:123]
+        _TABLE.append(table.ravel())
+    return _TABLE[0]
+
+
+def _long_word(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.lower(), seed=20240917)
 
 
 def mix(x):
@@ -105,56 +118,69 @@ def _factors(n: int):
     return (np.random.default_rng(8191).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 
 
-def _contents(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.encode(F.col(text), "UTF-8").alias("content"))
-
+def signatures(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataFrame:
+    """_block, _at, doc_id, n_shingles, node (digest of the shingle set) and band values of (_block, _at, doc_id, content).
 
-def signatures(docs: DataFrame, text: str, id_col: str, words: int, bands: int, band_rows: int) -> DataFrame:
-    """row, doc_id, text_hash, n_shingles, digest of the shingle set, band values and a byte of each
-    signature value (none for texts without words)."""
+    Texts without words have no node and no bands."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
         factors, salt = _factors(-(-bands * band_rows // 2)), mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            counts, digests, values, sketches = [], [], [], []
+            counts, nodes, values = [], [], []
             for content in batch.column(3).to_pylist():
                 s = shingle_set(content or b"", words)
                 counts.append(len(s))
-                digests.append(hashlib.sha256(s.tobytes()).digest()[:16])
+                nodes.append(node_name(s))
                 if len(s) == 0:
                     values.append([])
-                    sketches.append(b"")
                     continue
                 h, signature = salt.copy(), min_max_signature(s, factors)[: bands * band_rows]
-                sketches.append((signature >> np.uint32(12)).astype(np.uint8).tobytes())
                 with np.errstate(over="ignore"):
                     for column in signature.reshape(bands, band_rows).T:
                         h = mix(h * np.uint64(0x2545F4914F6CDD1D) + column.astype(np.uint64))
                 values.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["_block", "_at", "doc_id", "n_shingles", "node", "bands"])
+
+    return docs.mapInArrow(run, "_block long, _at long, doc_id long, n_shingles long, node binary, bands array<long>")
+
+
+def node_name(shingles) -> bytes | None:
+    """128-bit digest of a shingle set; none of an empty one."""
+    import hashlib
+
+    return hashlib.sha256(shingles.tobytes()).digest()[:16] if len(shingles) else None
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, shingles (bytes of sorted numbers) of (content, node)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(c or b"", words).tobytes() for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    base = _contents(docs, text, id_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "content")
-    return base.mapInArrow(run, SIGNED)
+    return texts.mapInArrow(run, "node binary, shingles binary")
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs from their whole shingle sets: the Jaccard distance, and whether
-    100 * intersection >= percent * union, in integers. `sets`: row, shingles (bytes of sorted numbers)."""
+    """(hub, node, size, distance, linked) of pairs (hub, node) from whole shingle sets: bytes of the node's set, the Jaccard
+    distance, and whether 100 * intersection >= percent * union, in integers."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            distance, linked = [], []
+            size, distance, linked = [], [], []
             for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                size.append(len(left))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -162,144 +188,171 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 union = len(x) + len(y) - both
                 distance.append(1 - both / union)
                 linked.append(100 * both >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["hub", "node", "size", "distance", "linked"])
 
-    one = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, distance double, linked boolean")
+    own, hubs = sets.select("node", F.col("shingles").alias("x")), sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
+    both = pairs.join(own.hint("merge"), "node").join(hubs.hint("merge"), "hub").select("hub", "node", "x", "y")
+    return both.mapInArrow(run, "hub binary, node binary, size long, distance double, linked boolean")
 
 
-def near_pairs(seen: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but of two components, one of them not the hub's, whose sketches are near the threshold.
+def linked_matrix(left: list, right: list, percent: int):
+    """Matrix of left x right: whether two sets (sorted distinct numbers, none empty) are linked. Intersections of all pairs
+    are products of incidence matrices, in strips of shingles that both sides have."""
+    import numpy as np
 
-    `seen`: bucket, row, n_shingles, distance (to the bucket's hub), component, outside. Buckets are cut into blocks; each
-    pair of blocks is one group of at most 2 * BLOCK rows, whatever the bucket's size.
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(flat[0], flat[1])
+    entries = []
+    for numbers, size in zip(flat, sizes):
+        at = np.minimum(np.searchsorted(common, numbers), max(0, len(common) - 1))
+        hit = np.flatnonzero(common[at] == numbers) if len(common) else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(size)), size)[hit]
+        order = np.argsort(at[hit], kind="stable")
+        entries.append((rows[order], at[hit][order]))
+    both = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, len(common), STRIP):
+        strips = []
+        for (rows, at), size in zip(entries, sizes):
+            span = slice(*np.searchsorted(at, [low, low + STRIP]))
+            strip = np.zeros((len(size), min(STRIP, len(common) - low)), np.float32)
+            strip[rows[span], at[span] - low] = 1
+            strips.append(strip)
+        both += (strips[0] @ strips[1].T).astype(np.int64)
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def joined_components(seen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that links inside hub groups join, as a spanning forest of every pair of blocks.
+
+    `seen`: hub, node, size, distance, component, outside (not in the hub's component). Members are put in bins by distance:
+    linked ones are in the same or neighbouring bins. A bin has as many blocks as its bytes and its members need, and a
+    member's block follows from a hash, so no group is sorted or numbered in one task.
     """
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1
-    open_ = seen.join(seen.where("outside").select("bucket").distinct(), "bucket", "left_semi").withColumn("block", F.floor(place / BLOCK).cast("int"))
-    blocks = open_.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
-    rows = open_.join(blocks, "bucket").join(sketches, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "n_shingles", "distance", "component", "outside", "sketch")
+    width = 1 - percent / 100 + 1e-9
+    binned = seen.withColumn("bin", F.floor(F.col("distance") / width).cast("int"))
+    blocks = lambda who: F.ceil(F.greatest(F.sum(who.cast("long")) / BLOCK, F.sum(F.when(who, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    bins = binned.groupBy("hub", "bin").agg(blocks(F.lit(True)).alias("mb"), blocks(F.col("outside")).alias("ub"))
+    plan = bins.groupBy("hub").agg(F.collect_list(F.struct("bin", "mb", "ub")).alias("bins"), F.sum("ub").alias("open")).where("open > 0").drop("open")
+    rows = binned.join(plan.hint("merge"), "hub").join(sets.hint("merge"), "node")
+    own = "try_element_at(filter(bins, x -> x.bin = bin), 1)"
+    all_ = f"pmod(xxhash64(node), {own}.mb)"
+    odd = f"pmod(xxhash64(node, 1), {own}.ub)"
+    as_member = f"flatten(transform(filter(bins, x -> abs(x.bin - bin) <= 1 and x.ub > 0), x -> transform(sequence(0, x.ub - 1), k -> named_struct('i', x.bin, 'k', k, 'j', bin, 'l', cast({all_} as int), 'side', 1))))"
+    as_outside = f"flatten(transform(filter(bins, x -> abs(x.bin - bin) <= 1), x -> transform(sequence(0, x.mb - 1), l -> named_struct('i', bin, 'k', cast({odd} as int), 'j', x.bin, 'l', l, 'side', 0))))"
+    rows = rows.withColumn("to", F.explode(F.expr(f"case when outside then concat({as_outside}, {as_member}) else {as_member} end")))
+    rows = rows.select("hub", "to.i", "to.k", "to.j", "to.l", "to.side", "node", "component", "shingles")
+    keys = ["hub", "i", "k", "j", "l"]
     n = max(1, int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "row")
-    share = percent / 100
-    agree = share + (1 - share) / 256
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys, "side", "node")
 
-    def compare(group, out):
+    def forest(group):
         import numpy as np
 
-        block, row, size, distance, component, outside = (np.array(c) for c in list(zip(*group))[3:9])
-        sketch = np.frombuffer(b"".join(g[9] for g in group), np.uint8).reshape(len(group), -1)
-        width = sketch.shape[1]
-        least = width * agree - DEVIATIONS * np.sqrt(width * agree * (1 - agree))
-        left, right = np.flatnonzero(block == group[0][1]), np.flatnonzero(block == group[0][2])
-        for x in left:
-            y = right[right > x] if group[0][1] == group[0][2] else right
-            y = y[(component[y] != component[x]) & (outside[y] | outside[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & (np.abs(distance[y] - distance[x]) <= 1 - share + 1e-9)]
-            for k in y[(sketch[y] == sketch[x]).sum(axis=1) >= least] if len(y) else ():
-                out.append((min(row[x], row[k]), max(row[x], row[k])))
+        sides = [[r for r in group if r[5] == s] for s in (0, 1)]
+        if not sides[0] or not sides[1]:
+            return
+        names, codes = np.unique([r[7] for side in sides for r in side], return_inverse=True)
+        left, right = codes[: len(sides[0])], codes[len(sides[0]) :]
+        linked = linked_matrix(*([np.frombuffer(r[8], np.uint64) for r in side] for side in sides), percent)
+        up = list(range(len(names)))
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, row in zip(left.tolist(), linked):
+            for y in np.unique(right[row]).tolist():
+                a, b = root(x), root(y)
+                if a != b:
+                    up[b] = a
+                    yield bytes(names[x]), bytes(names[y])
 
     def run(batches):
         import pyarrow as pa
 
         def result(pairs):
             a, b = zip(*pairs) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         group, out = [], []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[0][:3] != r[:3]:
-                    compare(group, out)
+                if group and group[0][:5] != r[:5]:
+                    out += forest(group)
                     group = []
-                    if len(out) > 10_000:
-                        yield result(out)
-                        out = []
                 group.append(r)
-        if group:
-            compare(group, out)
+        out += forest(group) if group else []
         yield result(out)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def class_links(docs: DataFrame, text: str, id_col: str, words: int, percent: int, bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(signed rows with their class, links between classes). A class is the smallest row of those with equal shingle sets."""
-    signed = write_table(signatures(docs, text, id_col, words, bands, band_rows), "signed")
-    classes = write_table(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("class")), "classes")
-    heads = signed.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
-    placed = heads.select("row", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = write_table(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    placed = placed.join(shared, "bucket")
-    degrees = placed.groupBy("row").agg(F.sum("members").alias("degree"))
-    members = write_table(placed.join(degrees, "row").select("bucket", "row", "n_shingles", "degree", "members"), "members")
-
-    met = heads.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(members.select("row").distinct(), "row", "left_semi")
-    texts = _contents(docs, text, id_col)
-    texts = texts.join(met, texts["doc_id"].eqNullSafe(met["_id"]) & (texts["text_hash"] == met["_hash"])).select("row", "content")
-
-    def full(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(c or b"", words).tobytes() for c in batch.column(1).to_pylist()], pa.binary())], ["row", "shingles"])
-
-    sets = write_table(texts.mapInArrow(full, "row long, shingles binary").dropDuplicates(["row"]), "sets")
-
-    hub = F.max(F.struct("degree", (-F.col("row")).alias("minus")))
-    hubs = write_table(members.groupBy("bucket").agg(hub.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("hub")), "hubs")
-    around = members.join(hubs, "bucket").withColumn("a", F.least("row", "hub")).withColumn("b", F.greatest("row", "hub"))
-    first = write_table(measured(around.where("row <> hub").select("a", "b").distinct(), sets, percent), "pairs")
-    links = first.where("linked").select("a", "b")
-
-    # Buckets of two are settled. Elsewhere members outside their hub's component are compared with other components.
-    wide = around.where("members > 2").join(first.select("a", "b", "distance"), ["a", "b"], "left")
-    labels = components(links)
-    label = labels.select(F.col("node").alias("row"), "component")
-    hub_label = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    seen = wide.join(label, "row", "left").join(hub_label, "hub", "left").withColumn("component", F.coalesce("component", "row"))
-    seen = seen.withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
-    seen = write_table(seen.select("bucket", "row", "n_shingles", F.coalesce("distance", F.lit(0.0)).alias("distance"), "component", "outside"), "seen")
-    fresh = near_pairs(seen, signed.select("row", "sketch"), percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    fresh = write_table(measured(fresh, sets, percent).where("linked").select("a", "b"), "links")
-    if not fresh.isEmpty():
-        links = write_table(links.unionByName(fresh), "links")
-        labels = components(links)
-    return signed.join(classes, "digest", "left").drop("bands", "digest"), links, labels
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def grouped(docs: DataFrame, words: int, percent: int, bands: int, band_rows: int) -> DataFrame:
+    """_block, _at, doc_id, n_shingles, node, component (a node; null without words) of (_block, _at, doc_id, content)."""
+    signed = write_table(signatures(docs, words, bands, band_rows), "signed")
+    placed = signed.where("node is not null").select("node", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+    shared = write_table(shared, "buckets")
+    members = write_table(placed.join(shared.hint("merge"), "bucket").distinct(), "members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    degrees = members.join(sizes.hint("merge"), "bucket").groupBy("node").agg(F.sum("n").alias("degree"))
+    degrees = write_table(degrees, "degrees")
+    ranked = members.join(degrees.hint("merge"), "node")
+    hubs = write_table(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs")
+    around = write_table(members.join(hubs.hint("merge"), "bucket").where("node <> hub").select("hub", "node").distinct(), "around")
+
+    stands = signed.join(degrees.select("node").hint("merge"), "node").groupBy("node").agg(F.min(F.struct("_block", "_at")).alias("at"))
+    texts = with_marks(docs.select("_block", "_at", "content"), stands.select("at._block", "at._at", "node"))
+    sets = write_table(shingle_sets(texts.select("content", "node"), words), "sets")
+    first = write_table(measured(around, sets, percent), "measured")
+    labels = components(first.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+
+    label, hub_label = labels.select("node", "component"), labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    seen = first.join(label.hint("merge"), "node", "left").join(hub_label.hint("merge"), "hub", "left").withColumn("component", F.coalesce("component", "node"))
+    seen = write_table(seen.select("hub", "node", "size", "distance", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outside")), "seen")
+    fresh = write_table(joined_components(seen, sets, percent).distinct(), "joined")
+    more = components(fresh)
+    final = label.unionByName(more.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    final = final.join(more.select(F.col("node").alias("component"), F.col("component").alias("joined")).hint("merge"), "component", "left")
+    final = final.select("node", F.coalesce("joined", "component").alias("component"))
+    out = signed.drop("bands").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = write_table(out, "near-rows")
+    discard(signed, shared, members, degrees, hubs, around, sets, first, seen, fresh)
+    return out
+
+
+def _found(docs: DataFrame, text: str, id_col: str, words: int, percent: int, bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(located documents, rows with component_id and kept)."""
+    placed = located(docs)
+    base = placed.select("_block", "_at", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.encode(F.col(f"row.`{text}`"), "UTF-8").alias("content"))
+    rows = grouped(base, words, percent, bands, band_rows)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_block", "_at"))
+    groups = rows.where("component is not null").groupBy("component").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1").select("component", "best")
+    out = rows.join(write_table(groups, "near-groups").hint("merge"), "component", "left")
+    alone = F.col("best").isNull()
+    first = (F.col("best._block") == F.col("_block")) & (F.col("best._at") == F.col("_at"))
+    return placed, out.select("_block", "_at", "doc_id", "n_shingles", F.hex("node").alias("set_digest"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | first).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """One row per input row: row, doc_id, text_hash, n_shingles, class, component_id, keep_row, kept.
+    """One row per input row: doc_id, n_shingles, set_digest, component_id, kept.
 
-    component_id is the smallest id reachable over links of at least `percent` per cent similarity, null ids left out;
-    `keep_row` is the row that stays: of the smallest id, the first. Null, empty and word-free texts are linked with
-    nothing. Rows with equal shingle sets are linked by definition. A pair at the threshold is missed by the bands with a
-    probability of (1 - s^band_rows)^bands: 9e-9 at 0.85 and 2e-5 at 0.8 with the defaults.
+    component_id is the smallest id reachable over links of at least `percent` per cent similarity, null ids left out (null
+    if all are); `kept` marks one row of each group: of the smallest id, one. Null, empty and word-free texts are linked with
+    nothing. Rows with equal shingle sets are linked by definition, also repeated rows. Other columns do not matter, and an empty
+    table gives an empty result. A pair at the threshold is missed by the bands with a probability of (1 - s^band_rows)^bands
+    for min-wise independent hashes: 9e-9 at 0.85 and 2e-5 at 0.8 with the defaults.
     """
-    rows, _, labels = class_links(docs, text, id_col, words, percent, bands, band_rows)
-    rows = rows.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
-    rows = write_table(rows.withColumn("component", F.coalesce("component", "class", "row")), "near-rows")
-    groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")).where("n > 1")
-    groups = write_table(groups.select("component", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("keep_row")), "near-groups")
-    out = rows.join(groups, "component", "left")
-    alone = F.col("keep_row").isNull()
-    return out.select(
-        "row",
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.coalesce("class", "row").alias("class"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("component_id"),
-        F.coalesce("keep_row", "row").alias("keep_row"),
-        (alone | (F.col("keep_row") == F.col("row"))).alias("kept"),
-    )
+    return _found(docs, text, id_col, words, percent, bands, band_rows)[1].drop("_block", "_at")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay, one of each group, with all their columns. Rows are found by id and text; where such rows repeat, one stays."""
-    found = write_table(near_duplicates(docs.select(id_col, text), text, id_col, words, percent), "near-found")
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text]) == kept["_hash"]), "left_semi")
-    if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates([id_col, text])
+    """The rows that stay, one of each group, with all their columns, whatever these are called. Texts stay where they are.
+
+    Rows with null, empty or word-free texts all stay; of repeated rows one stays; an empty table gives an empty result.
+    """
+    placed, found = _found(docs, text, id_col, words, percent, BANDS, BAND_ROWS)
+    return with_marks(placed, found.where("kept").select("_block", "_at")).select("row.*")
