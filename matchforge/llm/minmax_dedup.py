@@ -39,19 +39,22 @@ def word_hashes(text: bytes):
     """
     import numpy as np
 
-    raw, none = np.frombuffer(text, np.uint8), np.zeros(1, np.int8)
-    solid = (raw != 32) & ((raw < 9) | (raw > 13))
-    edge = np.flatnonzero(np.diff(np.concatenate((none, solid.view(np.int8), none))))
-    starts, ends = edge[0::2], edge[1::2]
+    raw = np.frombuffer(text, np.uint8)
+    table, space = _table()
+    ends = np.concatenate((np.flatnonzero(space[raw]), [len(raw)]))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    lengths = ends - starts
+    starts, lengths = starts[lengths > 0], lengths[lengths > 0]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    # White space after a word counts as part of it here; its numbers are 0.
+    raw = raw[starts[0] :]
+    first = starts - starts[0]
+    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.concatenate((first, [len(raw)]))))
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_table()[np.minimum(place, LONGEST - 1) << 8 | raw[solid]], first)
+        sums = np.add.reduceat(table[np.minimum(place, LONGEST - 1) << 8 | raw], first)
         for i in np.flatnonzero(lengths > LONGEST):
-            sums[i] = _long_word(text[starts[i] : ends[i]])
+            sums[i] = _long_word(text[starts[i] : starts[i] + lengths[i]])
         return mix(sums + lengths.astype(np.uint64))
 
 
@@ -59,14 +62,17 @@ _TABLE: list = []
 
 
 def _table():
-    """A random number for every place and byte of a word; capitals have those of small letters."""
+    """(a random number for every place and byte of a word, which bytes are white space). Capitals have the numbers of small letters."""
     import numpy as np
 
     if not _TABLE:
         table = np.random.default_rng(20240917).integers(0, 1 << 64, (LONGEST, 256), dtype=np.uint64)
         table[:, 65:91] = table[:, 97:123]
-        _TABLE.append(table.ravel())
-    return _TABLE[0]
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        table[:, space] = 0
+        _TABLE[:] = [table.ravel(), space]
+    return _TABLE
 
 
 def _long_word(word: bytes) -> int:
@@ -105,10 +111,11 @@ def min_max_signature(hashes, factors):
     import numpy as np
 
     low, out = hashes.astype(np.uint32), np.empty((len(factors), 2), np.uint32)
-    h = np.empty_like(low)
-    for i, f in enumerate(factors):
-        np.multiply(low, f, out=h)
-        out[i, 0], out[i, 1] = h.min(), h.max()
+    out[:, 0], out[:, 1] = np.iinfo(np.uint32).max, 0
+    for at in range(0, len(low), 2048):
+        h = np.multiply.outer(factors, low[at : at + 2048])
+        np.minimum(out[:, 0], h.min(axis=1), out=out[:, 0])
+        np.maximum(out[:, 1], h.max(axis=1), out=out[:, 1])
     return out.ravel()
 
 
@@ -294,7 +301,8 @@ def grouped(docs: DataFrame, words: int, percent: int, bands: int, band_rows: in
     """_block, _at, doc_id, n_shingles, node, component (a node; null without words) of (_block, _at, doc_id, content)."""
     signed = write_table(signatures(docs, words, bands, band_rows), "signed")
     placed = signed.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+    name = F.xxhash64("node")
+    shared = placed.groupBy("bucket").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("bucket")
     shared = write_table(shared, "buckets")
     members = write_table(placed.join(shared.hint("merge"), "bucket").distinct(), "members")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -304,7 +312,7 @@ def grouped(docs: DataFrame, words: int, percent: int, bands: int, band_rows: in
     hubs = write_table(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs")
     around = write_table(members.join(hubs.hint("merge"), "bucket").where("node <> hub").select("hub", "node").distinct(), "around")
 
-    stands = signed.join(degrees.select("node").hint("merge"), "node").groupBy("node").agg(F.min(F.struct("_block", "_at")).alias("at"))
+    stands = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("_block", "_at")).alias("at")).join(degrees.select("node").hint("merge"), "node")
     texts = with_marks(docs.select("_block", "_at", "content"), stands.select("at._block", "at._at", "node"))
     sets = write_table(shingle_sets(texts.select("content", "node"), words), "sets")
     first = write_table(measured(around, sets, percent), "measured")
