@@ -2,54 +2,27 @@
 
 The model is over n-grams of whole code points, of order 4, so its tables grow with the trusted text and its scripts. All
 trusted text is counted. Counts, continuation counts, context totals, discounts and the probabilities of all n-grams that
-documents hold are Spark aggregates and joins, keyed (and so sharded) by n-gram. Documents ask by block, a piece of an
-input file: a task sends each n-gram of its block once, and later loads no more than its block's answers. A document is rejected if its
-perplexity is above a quantile, for its language, of the perplexities of trusted documents, times a margin; or if it repeats itself: if deflate makes less of it than a low quantile,
-for its language, of what it makes of trusted documents, divided by that margin. Repeated words have low perplexity.
+documents hold are Spark aggregates and joins, keyed (and so sharded) by n-gram. Documents ask by block, a stretch of an
+input file: a task sends each n-gram of its block once, and later loads no more than its block's answers.
+
+A document is rejected if its perplexity is above a quantile, for its language, of the perplexities of trusted documents,
+times a margin; or if it repeats itself: if deflate makes less of it than a low quantile, for its language, of what it
+makes of trusted documents, divided by that margin. Repeated words have low perplexity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from matchforge.llm._common import filesystem, small_batches, write_table
+from matchforge.llm._common import located, read_block, scratch_path, small_batches, with_marks, write_blocks, write_table
 
-CLASSES = 56
 ORDER = 4
 QUANTILE = 0.999
 MARGIN = 1.1
 REPEAT_QUANTILE = 0.001
-MAX_LANGUAGES = 1024
-
-
-def _class_table():
-    """Class of each code point below 0x250; the last entry serves all others."""
-    import numpy as np
-
-    t = np.full(0x251, 53, np.uint8)
-    for cp in range(0x250):
-        c = chr(cp)
-        if cp < 32 or cp == 127:
-            t[cp] = 54
-        elif "a" <= c <= "z":
-            t[cp] = 2 + cp - 97
-        elif c.isupper():
-            t[cp] = 28
-        elif c.isdigit():
-            t[cp] = 29
-        elif c in "!?;:'\"()-":
-            t[cp] = 32
-        elif cp < 127:
-            t[cp] = 34
-        elif 0xDF <= cp <= 0xFF:
-            t[cp] = 35 + (cp - 0xDF) % 16
-        elif c.isalpha():
-            t[cp] = 51
-    t[[9, 11, 12, 13, 32]] = 0
-    t[10], t[ord(".")], t[ord(",")], t[ord("|")], t[0x250] = 1, 30, 31, 33, 52
-    return t
 
 
 _STATE: dict = {}
@@ -74,33 +47,9 @@ def gram_keys(text: str):
     return points, keys.view(np.int64)
 
 
-def with_block(docs: DataFrame) -> DataFrame:
-    """`docs` and `_block`, the piece of an input file that a row comes from: the same each time, so no text is shuffled.
-
-    What is not itself a scan of files is written first."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
-        docs = write_table(docs, "documents")
-    return docs.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-
-
-def write_blocks(df: DataFrame, folder: str) -> None:
-    """One folder of Parquet files for every block."""
-    df.repartition("_block").write.partitionBy("_block").parquet(folder)
-
-
-def read_block(folder: str, block: int, columns: list[str]):
-    """Arrow table of a block's rows, or None if it has none."""
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    fs, path = filesystem(f"{folder}/_block={block}")
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return None
-    return pq.read_table(path, filesystem=fs, columns=columns, partitioning=None)
-
-
 def count_grams(base: DataFrame, trusted: str) -> DataFrame:
-    """(_block, key, gram, c): the n-grams of each block's texts, and how often trusted texts hold them; `base` is (_block, id, text).
+    """(_block, key, gram, c): the n-grams of each block's texts, and how often trusted texts hold them; `base` is
+    (_block, _at, text), and the folder `trusted` has `_at` of the trusted texts of every block.
 
     A task merges the n-grams of its block before they are sent on, so it holds no more than one piece of a file has."""
     small_batches(base.sparkSession)
@@ -146,8 +95,8 @@ def count_grams(base: DataFrame, trusted: str) -> DataFrame:
             for b, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if b != block:
                     yield from done()
-                    rows = read_block(trusted, b, ["id"])
-                    block, ids, held = b, set() if rows is None else set(rows.column("id").to_pylist()), None
+                    rows = read_block(trusted, b, ["_at"])
+                    block, ids, held = b, set() if rows is None else set(rows.column("_at").to_pylist()), None
                 if t:
                     waiting.append((*gram_keys(t), int(i in ids)))
                     chars += len(t)
@@ -169,19 +118,17 @@ def discounts(grams: DataFrame) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def train(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id") -> str | None:
-    """Train on all texts of trusted ids and look up every n-gram of `docs`, which has `_block`; returns the folder of the
-    model, or None if there is no trusted character.
+def train(base: DataFrame, trusted: DataFrame) -> str | None:
+    """Train on all texts of trusted ids and look up every n-gram of `base` (_block, _at, doc_id, text); returns the folder of
+    the model, or None if there is no trusted character.
 
     Tables: grams (n, gram, c, p: the interpolated probability) of all texts, contexts (n, context, total, held) and,
     by block, scores (key, logp). Every join is keyed, and so sharded, by n-gram.
     """
-    from matchforge.llm._common import scratch_path
-
-    spark = docs.sparkSession
+    spark = base.sparkSession
     folder = scratch_path(spark, "kneser-ney")
-    base = docs.select("_block", F.col(id_col).cast("long").alias("id"), text)
-    write_blocks(base.select("_block", "id").join(trusted, F.col("id") == F.col("_trusted"), "left_semi"), f"{folder}/trusted")
+    write_blocks(base.select("_block", "_at", "doc_id").join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi").select("_block", "_at"), f"{folder}/trusted")
+    base = base.select("_block", "_at", "text")
     found = write_table(count_grams(base, f"{folder}/trusted"), "found")
     grams = {ORDER: write_table(found.groupBy("gram").agg(F.sum("c").alias("c")), "grams")}
     if grams[ORDER].where("c > 0").isEmpty():
@@ -212,33 +159,6 @@ def train(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str =
     return folder
 
 
-def log_table(folder: str):
-    """For inspection of small models: natural log of the probability of each character class after every context seen, as
-    one array; a context's CLASSES numbers are the sums of p over all code points seen and one for all others."""
-    import numpy as np
-    import pyarrow.parquet as pq
-
-    fs, path = filesystem(folder)
-    grams, contexts = (pq.read_table(f"{path}/{t}", filesystem=fs).to_pylist() for t in ("grams", "contexts"))
-    seen, after = {r["gram"]: r for r in grams}, {r["context"]: r for r in contexts}
-    alphabet = sorted(r["gram"] for r in grams if r["n"] == 1)
-
-    def p(context, c):
-        if c is not None and context + c in seen:
-            return seen[context + c]["p"]
-        weight = after[context]["held"] / after[context]["total"] if context in after else 1.0
-        return weight * (p(context[1:], c) if context else 1 / (len(alphabet) + 1))
-
-    classes, out = _class_table(), []
-    for context in sorted(x for x in after if len(x) == ORDER - 1):
-        row = np.zeros(CLASSES)
-        for c in [*alphabet, None]:
-            row[classes[0x250 if c is None else min(ord(c), 0x250)]] += p(context, c)
-        out.append(row)
-    with np.errstate(divide="ignore"):
-        return np.log(np.concatenate(out))
-
-
 def compressed(text: str) -> float:
     """Bytes of the deflated text by bytes of the text. Its window of 32 KB keeps long texts comparable with short ones."""
     import zlib
@@ -247,14 +167,13 @@ def compressed(text: str) -> float:
     return len(zlib.compress(raw, 1)) / len(raw)
 
 
-def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") -> DataFrame:
-    """All columns and `_symbols`, `_perplexity`, `_compressed`; null and empty texts, or no model, have neither of the last two. `docs` is what
-    the model was trained with, with its `_block`. A narrow step."""
-    small_batches(docs.sparkSession)
+def with_perplexity(base: DataFrame, folder: str | None) -> DataFrame:
+    """_block, _at, doc_id, lang, symbols, perplexity, compressed of the texts that the model was trained with; null and empty
+    texts have neither of the last two, and without a model no text has. A narrow step."""
+    small_batches(base.sparkSession)
     if folder is None:
-        return docs.withColumn("_symbols", F.char_length(F.coalesce(text, F.lit(""))).cast("long")).withColumns({c: F.lit(None).cast("double") for c in ("_perplexity", "_compressed")})
-    at, block_at = docs.columns.index(text), docs.columns.index("_block")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_symbols", T.LongType()), T.StructField("_perplexity", T.DoubleType()), T.StructField("_compressed", T.DoubleType())])
+        none = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "compressed")]
+        return base.select("_block", "_at", "doc_id", "lang", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("symbols"), *none)
 
     def run(batches):
         import numpy as np
@@ -263,7 +182,7 @@ def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") ->
         block = None
         for batch in batches:
             size, score, ratio = [], [], []
-            for b, t in zip(batch.column(block_at).to_pylist(), batch.column(at).to_pylist()):
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
                 size.append(len(t or ""))
                 ratio.append(compressed(t) if t else None)
                 if not t:
@@ -279,9 +198,9 @@ def with_perplexity(docs: DataFrame, folder: str | None, text: str = "text") ->
                 if (keys[where] != own).any():
                     raise ValueError("a text holds an n-gram that its block did not ask for")
                 score.append(float(np.exp(-logp[where].mean(dtype=np.float64))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(ratio, pa.float64())], [*batch.schema.names, "_symbols", "_perplexity", "_compressed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(ratio, pa.float64())], ["_block", "_at", "doc_id", "lang", "symbols", "perplexity", "compressed"])
 
-    return docs.mapInArrow(run, schema)
+    return base.select("_block", "_at", "doc_id", "lang", "text").mapInArrow(run, "_block long, _at long, doc_id long, lang string, symbols long, perplexity double, compressed double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -289,64 +208,57 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
 
 
+@dataclass
 class QualityModel:
-    """A trained model with its limits: `thresholds` (of perplexity) and `floors` (of compression) map languages to limits,
-    `limit` and `floor` serve all others."""
+    """folder: the trained tables. limits: lang, threshold (of perplexity), least (of compression), one row per language that
+    has trusted texts. threshold, least: those over all trusted texts, for other languages and null. scores: see with_perplexity."""
 
-    def __init__(self, folder: str | None, thresholds: dict, limit: float | None, floors: dict, floor: float | None, scores: DataFrame | None):
-        self.folder, self.thresholds, self.limit, self.floors, self.floor, self.scores = folder, thresholds, limit, floors, floor, scores
+    folder: str | None
+    limits: DataFrame
+    threshold: float | None
+    least: float | None
+    scores: DataFrame
 
-    @staticmethod
-    def _by_language(limits: dict, other: float | None, lang):
-        out = F.lit(other).cast("double")
-        if limits:
-            pairs = [F.lit(x) for kv in sorted(limits.items()) for x in kv]
-            out = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(lang, F.lit(""))), out)
-        return out
 
-    def threshold(self, lang):
-        """Column: the highest perplexity that is kept in a language."""
-        return self._by_language(self.thresholds, self.limit, lang)
+def _limits(quantile: float, margin: float) -> list:
+    high = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
+    low = F.percentile_approx("compressed", F.lit(REPEAT_QUANTILE), F.lit(10_000)) / margin
+    return [high.alias("threshold"), low.alias("least")]
 
-    def least(self, lang):
-        """Column: the lowest compression that is kept in a language."""
-        return self._by_language(self.floors, self.floor, lang)
 
-    def good(self, perplexity: str, ratio: str, lang):
-        """Column: whether nothing speaks against a document."""
-        return F.coalesce((F.col(perplexity) <= self.threshold(lang)) & (F.col(ratio) >= self.least(lang)), F.lit(True))
+def _fit(placed: DataFrame, labels: DataFrame, text: str, id_col: str, lang: str, quantile: float, margin: float) -> QualityModel:
+    field = lambda c: F.col(f"row.`{c}`")
+    base = placed.select("_block", "_at", field(id_col).cast("long").alias("doc_id"), field(lang).cast("string").alias("lang"), field(text).alias("text"))
+    trusted = write_table(trusted_ids(labels), "trusted")
+    folder = train(base, trusted)
+    scores = write_table(with_perplexity(base, folder), "perplexity")
+    known = scores.where("perplexity is not null").join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    limits = write_table(known.where("lang is not null").groupBy("lang").agg(*_limits(quantile, margin)), "limits")
+    overall = known.agg(*_limits(quantile, margin)).first()
+    return QualityModel(folder, limits, overall["threshold"], overall["least"], scores)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, max_languages: int = MAX_LANGUAGES) -> QualityModel:
-    """Train on the texts of all trusted documents, score all documents, and set a threshold per language.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> QualityModel:
+    """Train on the texts of all trusted documents, score all documents, and set limits per language.
 
-    Thresholds are held for the `max_languages` languages with the most trusted documents (the driver holds that many
-    numbers); others, and null, use the threshold over all trusted documents. No trusted text: nothing is rejected.
+    Languages without trusted texts, and null, have the limits over all trusted documents. No trusted text, or an empty
+    table: no score and no limit, so nothing is rejected. Repeated rows count as often as they stand there.
     """
-    trusted = write_table(trusted_ids(labels), "trusted")
-    docs = docs if "_block" in docs.columns else with_block(docs)
-    folder = train(docs, trusted, text, id_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), "_block")
-    scores = write_table(with_perplexity(base, folder).select("doc_id", "lang", F.col("_symbols").alias("symbols"), F.col("_perplexity").alias("perplexity"), F.col("_compressed").alias("compressed")), "perplexity")
-    known = scores.where("perplexity is not null").join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    limits = [F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"), F.percentile_approx("compressed", F.lit(REPEAT_QUANTILE), F.lit(10_000)).alias("least")]
-    overall = known.agg(*limits).first()
-    rows = known.where("lang is not null").groupBy("lang").agg(*limits, F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    high = {r["lang"]: r["limit"] * margin for r in rows}, None if overall[0] is None else overall[0] * margin
-    low = {r["lang"]: r["least"] / margin for r in rows}, None if overall[1] is None else overall[1] / margin
-    return QualityModel(folder, *high, *low, scores)
+    return _fit(located(docs), labels, text, id_col, lang, quantile, margin)
 
 
-def judge(scores: DataFrame, model: QualityModel) -> DataFrame:
+def judge(model: QualityModel) -> DataFrame:
     """Scores with `threshold`, `least` and `kept`. Documents without perplexity are kept: nothing speaks against them."""
-    out = scores.withColumn("threshold", model.threshold(F.col("lang"))).withColumn("least", model.least(F.col("lang")))
-    return out.withColumn("kept", model.good("perplexity", "compressed", F.col("lang")))
+    out = model.scores.join(model.limits, "lang", "left")
+    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(model.threshold).cast("double"))).withColumn("least", F.coalesce("least", F.lit(model.least).cast("double")))
+    return out.withColumn("kept", F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("compressed") >= F.col("least")), F.lit(True)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The documents that the model does not reject, with their columns; the texts are scored again where they stand, not shuffled."""
-    columns, docs = docs.columns, with_block(docs)
-    model = fit(docs, labels, text, id_col, lang)
-    scored = with_perplexity(docs, model.folder, text)
-    good = model.good("_perplexity", "_compressed", F.col(lang))
-    return scored.where(good).select(*columns)
+    """The documents that the model does not reject, with all their columns, whatever these are called. Texts stay where they are.
+
+    Null and empty texts are kept; an empty table gives an empty result.
+    """
+    placed = located(docs)
+    model = _fit(placed, labels, text, id_col, lang, QUANTILE, MARGIN)
+    return with_marks(placed, judge(model).where("kept").select("_block", "_at")).select("row.*")

@@ -37,7 +37,7 @@ def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_lm.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return quality_lm.judge(model.scores, model).select("doc_id", "lang", "symbols", "perplexity", "threshold", "compressed", "least", "kept")
+    return quality_lm.judge(model).select("doc_id", "lang", "symbols", "perplexity", "threshold", "compressed", "least", "kept")
 
 
 def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
