@@ -10,24 +10,26 @@ source is built from two levels of sums, so no task sees a whole source.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matchforge.llm._common import ranked, word_count, write_table
+from matchforge.llm._common import located, ranked, running_sums, with_marks, word_count, write_table
 
 BLOCK_WORDS = 1024
 MAX_REPEATS = 3
-GOLDEN = 0.6180339887498949
-ROWS_A_BUCKET = 20_000
+#: The golden ratio's fraction as a share of 2^64, so that points are exact integers for any number of slots.
+GOLDEN, WHOLE = 0x9E3779B97F4A7C15, 1 << 64
+ROWS_A_BUCKET = 5_000
 SLOTS_A_CHUNK = 65_536
 BINS = 1024
 
 
 @dataclass
 class Mix:
-    """documents: row, doc_id, source, size, source_size, target, taken. pieces: slot, source, block, row, doc_id, repeat, start, words."""
+    """documents: _block, _at (see located), row, doc_id, source, size, source_size, target, taken. pieces: slot, source, block, row, doc_id, repeat, start, words."""
 
     documents: DataFrame
     pieces: DataFrame
@@ -38,22 +40,20 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     """Targets of sources: place, source, source_size, weight, target (double), words (target rounded).
 
     `sizes` has one row per source with `source_size`. Sources in code-point order, null last, weigh 1, 2, 3, repeating,
-    and share the sum of all sizes. A target stops at `max_repeats` times its source; the excess is shared again by weight.
-    The driver sees a few sums only.
+    and share the sum of all sizes. A target stops at `max_repeats` times its source; the excess is shared again by weight
+    until none is above: in the order of limit by weight, the sources that stop are the first ones, as long as the share of
+    those that are left is above their limit. The driver sees a few sums only.
     """
-    order = [F.col("source").isNull(), F.col("source")]
-    rows = ranked(sizes, order, "place").withColumn("weight", (F.col("place") % 3 + 1).cast("double")).withColumn("cap", F.col("source_size") * F.lit(max_repeats))
-    rows = write_table(rows, "sources")
-    total, weights = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1.0))).first()
-    level, full = total / weights if weights else 0.0, -1
-    while True:
-        capped = F.col("cap") < F.lit(level) * F.col("weight")
-        n, used, left = rows.agg(F.sum(capped.cast("long")), F.sum(F.when(capped, F.col("cap")).otherwise(0)), F.sum(F.when(~capped, F.col("weight")).otherwise(0.0))).first()
-        if n is None or n == full or not left:
-            break
-        full, level = n, (total - used) / left
-    rows = rows.withColumn("target", F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight")))
-    return rows.withColumn("words", F.least(F.floor(F.col("target") + 0.5), F.col("cap")).cast("long"))
+    rows = ranked(sizes, [F.col("source").isNull(), F.col("source")], "place").withColumn("weight", F.col("place") % 3 + 1)
+    rows = rows.withColumn("cap", F.col("source_size") * F.lit(max_repeats)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    rows = write_table(running_sums(rows, ["ratio", "place"], {"caps": F.col("cap"), "weights": F.col("weight")}), "sources")
+    total, weights = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    stops = F.col("ratio") * (F.lit(weights) - F.col("weights")) < F.lit(total) - F.col("caps")
+    used, held = rows.where(stops).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (total - used) / (weights - held) if weights > held else 0.0
+    rows = rows.withColumn("target", F.when(stops, F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight")))
+    rows = rows.withColumn("words", F.least(F.floor(F.col("target") + 0.5), F.col("cap")).cast("long"))
+    return rows.select("place", "source", "source_size", "weight", "target", "words")
 
 
 def golden_slots(sources: DataFrame, total_slots: int) -> DataFrame:
@@ -64,7 +64,9 @@ def golden_slots(sources: DataFrame, total_slots: int) -> DataFrame:
     """
     spark = sources.sparkSession
     width = max(1, -(-total_slots // BINS))
-    points = spark.range(total_slots).select(F.col("id").alias("slot"), F.floor((F.col("id") * F.lit(GOLDEN) % 1.0) * total_slots).cast("long").alias("v"))
+    whole = F.lit(Decimal(WHOLE))
+    point = (F.col("id").cast("decimal(18,0)") * F.lit(Decimal(GOLDEN))) % whole
+    points = spark.range(total_slots).select(F.col("id").alias("slot"), F.floor(point.cast("decimal(20,0)") * F.lit(total_slots).cast("decimal(18,0)") / whole).cast("long").alias("v"))
     spans = sources.where("slots > 0").select("place", "slots", "first_slot", (F.col("first_slot") + F.col("slots")).alias("end_slot"))
     spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_slot") / width), F.floor((F.col("end_slot") - 1) / width))))
     dealt = points.withColumn("bin", F.floor(F.col("v") / width)).join(spans, "bin").where("v >= first_slot and v < end_slot")
@@ -86,17 +88,20 @@ def mix_sources(docs: DataFrame, seed: int = 17, text: str = "text", id_col: str
     Null texts and texts without words have size 0 and are never taken. Null is a source of its own. Repeated rows are
     documents of their own. The order depends on seed, id and text only, so reruns agree. An empty table gives empty results.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), id_col, text).alias("h"))
+    return _mix(located(docs), seed, text, id_col, source, block_words, max_repeats)
+
+
+def _mix(docs: DataFrame, seed: int, text: str, id_col: str, source: str, block_words: int, max_repeats: int) -> Mix:
+    content, name = F.col(f"row.`{text}`"), F.col(f"row.`{id_col}`")
+    base = docs.select("_block", "_at", name.cast("long").alias("doc_id"), F.col(f"row.`{source}`").cast("string").alias("source"), word_count(content).alias("size"), F.xxhash64(F.lit(seed), name, content).alias("h"))
     rows = write_table(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, max_repeats).withColumn("slots", F.ceil(F.col("words") / block_words).cast("long"))
-    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    sources = write_table(sources.withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0))), "targets")
+    sources = write_table(running_sums(sources, ["place"], {"first_slot": F.col("slots")}), "targets")
     total_slots, n_rows = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0], rows.count()
 
     # Place of each document in its source's shuffled stream: sums of buckets of the hash, then sums inside a bucket.
-    buckets = max(16, -(-n_rows // ROWS_A_BUCKET) * 4)
+    buckets = max(256, -(-n_rows // ROWS_A_BUCKET) * 4)
     placed = rows.join(sources.select(F.col("source").alias("_s"), "place", "source_size", "target", "words"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = write_table(placed.withColumn("bucket", F.pmod("h", F.lit(buckets))), "placed")
     ahead = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,16 +120,18 @@ def mix_sources(docs: DataFrame, seed: int = 17, text: str = "text", id_col: str
     pieces = write_table(cut.join(slots, ["place", "block"]).select("slot", "source", "block", "row", "doc_id", "repeat", "start", "words"), "pieces")
 
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    documents = placed.join(taken, "row", "left").select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = placed.join(taken, "row", "left").select("_block", "_at", "row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return Mix(documents, pieces, sources)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """Whole documents in the mix's proportions: as many copies as the words taken come to, rounded to the nearest.
 
-    A document of which the mix takes less than half is left out. Columns are those of `docs`.
+    A mix takes all documents of a source equally often, but for one stretch that it takes once more, so only the document
+    in which that stretch ends is rounded, and left out if less than half of it is taken. Documents without words are left
+    out. All columns of `docs` stay, whatever these are called, and texts stay where they are. An empty table gives an empty result.
     """
-    mix = mix_sources(docs, seed, text, id_col)
-    copies = mix.documents.select(F.col("doc_id").alias("_id"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    copies = write_table(copies.groupBy("_id").agg(F.max("_copies").alias("_copies")), "copies")
-    return docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    placed = located(docs)
+    mix = _mix(placed, seed, text, id_col, source, BLOCK_WORDS, MAX_REPEATS)
+    copies = mix.documents.select("_block", "_at", F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    return with_marks(placed, copies).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
