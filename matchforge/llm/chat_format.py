@@ -7,7 +7,8 @@ Windows: prefix sums of turn tokens choose the longest span of new turns that fi
 the conversation's leading system turn, then repeats a limited history of earlier turns, then holds its new turns. Only
 new assistant turns are under the loss mask; repeated ones are masked, so each assistant text is a target exactly once.
 
-Conversations are streamed in sorted partitions; a task holds the turns of one window, never a whole conversation.
+Conversations are streamed in sorted partitions; a task holds the turns of one window, never a whole conversation. One
+conversation is read by one task, as its digest runs over all its turns in order.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchforge.llm._common import small_batches
+from matchforge.llm.tokens import default_tokenizer, encoder
 
 BUDGET_TOKENS = 1024
 HISTORY_TURNS = 2
@@ -63,66 +65,82 @@ def parse_turns(formatted: str):
         at = m.end()
 
 
-def count_tokens(text: str) -> int:
-    """Tokens of a turn for the budget: runs of word characters and single other marks, at most 4 characters each."""
-    return sum(-(-len(m) // 4) for m in re.findall(r"\w+|[^\w\s]", text)) + 4
+def count_tokens(role: str, text: str, codes) -> int:
+    """Tokens of a turn as it is written. The vocabulary joins nothing across white space and a turn ends with a line end, so
+    the tokens of turns add up to those of their window."""
+    return len(codes.encode(format_turn(role, text)[0].encode("utf-8", "surrogatepass"))) // 2
 
 
 class Windows:
-    """Cuts one conversation's turns into windows as they arrive."""
+    """Cuts one conversation's turns into windows as they arrive.
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
-        self.system, self.past, self.new, self.used, self.number, self.first = None, [], [], 0, 0, True
+    `sums[i]` is the number of tokens of all turns before the i-th held one, so a span's tokens are a difference of two of
+    them. Held are the turns that the next window may repeat and its new ones, never more.
+    """
+
+    def __init__(self, budget: int, history: int, codes):
+        self.budget, self.history, self.codes = budget, history, codes
+        self.turns, self.sums, self.begin, self.number = [], [0], 0, 0
+        self.system, self.started = None, False
 
     def add(self, role: str, text: str) -> list:
-        turn, out = (role, text, count_tokens(text)), []
-        if self.first and role == "system":
-            self.system = turn
-        self.first = False
-        if self.new and sum(t[2] for t in self._repeated()) + self.used + turn[2] > self.budget:
-            out = self.close()
-        self.new.append(turn)
-        self.used += turn[2]
+        out, n = [], count_tokens(role, text, self.codes)
+        if not self.started and role == "system":
+            self.system = (role, text, n)
+        self.started = True
+        self.turns.append((role, text))
+        self.sums.append(self.sums[-1] + n)
+        if len(self.turns) - 1 > self.begin and self._fixed() + self.sums[-1] - self.sums[self._from()] > self.budget:
+            out = self.close(len(self.turns) - 1)
         return out
 
-    def _repeated(self) -> list:
-        """The system turn and as much history as leaves half of the budget to new turns."""
-        if self.number == 0:
-            return []
-        keep, room = [], self.budget // 2 - (self.system[2] if self.system else 0)
-        for turn in reversed(self.past[-self.history :] if self.history else []):
-            if turn is self.system or turn[2] > room:
-                break
-            keep.append(turn)
-            room -= turn[2]
-        return ([self.system] if self.system else []) + keep[::-1]
-
-    def close(self) -> list:
-        if not self.new:
+    def _retained(self):
+        """The system turn if later windows repeat it: where it leaves half of the budget to the others."""
+        return self.system if self.number and self.system and 2 * self.system[2] <= self.budget else None
+
+    def _fixed(self) -> int:
+        return self._retained()[2] if self._retained() else 0
+
+    def _from(self) -> int:
+        """The first turn of the history: at most `history` turns that leave half of the budget to the system turn and new turns."""
+        at = self.begin
+        while at > 0 and self.begin - at < self.history and self._fixed() + self.sums[self.begin] - self.sums[at - 1] <= self.budget // 2:
+            at -= 1
+        return at
+
+    def close(self, end: int | None = None) -> list:
+        """The window of the new turns before `end`."""
+        end = len(self.turns) if end is None else end
+        if end == self.begin:
             return []
-        repeated = self._repeated()
+        first, system = self._from(), self._retained()
+        tokens = self._fixed() + self.sums[end] - self.sums[first]
+        shown = ([system[:2]] if system else []) + self.turns[first:end]
+        repeated = len(shown) - (end - self.begin)
         parts, spans, at = [], [], 0
-        for i, (role, text, _) in enumerate(repeated + self.new):
-            turn, start, end = format_turn(role, text)
-            if i >= len(repeated) and role == "assistant":
-                spans.append({"start": at + start, "end": at + end})
+        for i, (role, text) in enumerate(shown):
+            turn, start, stop = format_turn(role, text)
+            if i >= repeated and role == "assistant":
+                spans.append({"start": at + start, "end": at + stop})
             parts.append(turn)
             at += len(turn)
-        row = (self.number, "".join(parts), spans, [False] * len(repeated) + [True] * len(self.new), sum(t[2] for t in repeated + self.new))
-        self.past = (self.past + self.new)[-max(1, self.history) :]
-        self.new, self.used, self.number = [], 0, self.number + 1
+        row = (self.number, "".join(parts), spans, [False] * repeated + [True] * (end - self.begin), tokens)
+        # The system turn that later windows repeat anyway is never part of their history.
+        keep = max(end - self.history, 1 if self.number == 0 and self.system else 0, 0)
+        self.turns, self.sums, self.begin, self.number = self.turns[keep:], self.sums[keep:], end - min(keep, end), self.number + 1
         return [row]
 
 
-def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET_TOKENS, history: int = HISTORY_TURNS) -> DataFrame:
+def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET_TOKENS, history: int = HISTORY_TURNS, tokenizer: str | None = None) -> DataFrame:
     """Windows of every conversation: conv_id, window, formatted, loss_spans (of the escaped text), new_turns, tokens.
 
     Turns come in the order of `turn` (null first), then role and text, so ties and repeated rows have one order. Null
     texts and roles are empty. Rows with a null conversation id form one conversation. A turn larger than the budget has
-    a window of its own. Partitions are sorted by conversation and window. An empty table gives an empty result.
+    a window of its own. A leading system turn opens every window if it takes no more than half of the budget; a larger one
+    stands in the first window only, so later windows keep to the budget. Partitions are sorted by conversation and window. An empty table gives an empty result.
     """
     small_batches(turns.sparkSession)
+    path = tokenizer or default_tokenizer()
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -136,13 +154,13 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         def batch_of(held):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
 
-        held, key, windows = [], None, None
+        held, key, windows, codes = [], None, None, encoder(path)
         for batch in batches:
             for conv_id, role_, text_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if windows is None or conv_id != key:
                     if windows is not None:
                         held += [(key, *row) for row in windows.close()]
-                    key, windows = conv_id, Windows(budget, history)
+                    key, windows = conv_id, Windows(budget, history, codes)
                 held += [(key, *row) for row in windows.add(role_, text_)]
                 if len(held) >= 500:
                     yield batch_of(held)

@@ -15,15 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm._common import write_table
+from matchforge.llm._common import SPACES, located, write_table
 
 BLOCK_BYTES = 4096
-SPACE_PATTERN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def without_spaces(text):
     """The text without ASCII white space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_PATTERN, "")
+    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
 def _blocks(content, n_blocks, size: int):
@@ -44,11 +43,17 @@ def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
 def name_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: row, doc_id, n_points, text_sha256, n_blocks, name. Equal texts have equal (n_blocks, name).
 
-    Null and white-space-only texts have 0 blocks and the name -1. Repeated rows stay apart by `row`.
+    Null and white-space-only texts have 0 blocks and the name -1. Repeated rows stay apart by `row`. An empty table gives
+    an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_at"), F.lit(0).cast("long").alias("_block"))
+    return _named_rows(base, block_bytes).drop("_block", "_at")
+
+
+def _named_rows(base: DataFrame, block_bytes: int) -> DataFrame:
+    base = base.select("_block", "_at", "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     content = F.encode(without_spaces(F.col("text")), "UTF-8")
-    cut = base.select("doc_id", "text", content.alias("content"))
+    cut = base.select("_block", "_at", "doc_id", "text", content.alias("content"))
     cut = cut.withColumn("n_blocks", F.ceil(F.octet_length("content") / block_bytes).cast("int"))
     cut = cut.withColumn("blocks", _blocks(F.col("content"), F.col("n_blocks"), block_bytes))
 
@@ -64,6 +69,8 @@ def name_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rows = write_table(
         cut.select(
             F.monotonically_increasing_id().alias("row"),
+            "_block",
+            "_at",
             "doc_id",
             F.char_length("text").alias("n_points"),
             F.sha2("content", 256).alias("text_sha256"),
@@ -98,14 +105,22 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bl
     """Groups of equal texts: row, doc_id, keep_id, group_size, kept, text_sha256; one row per input row.
 
     Of equal texts, the row with the most code points stays, then the smallest id (a null id comes last), then the
-    first row; `kept` marks exactly one row of each group, also where ids repeat. An empty table gives an empty result.
+    first row; `kept` marks exactly one row of each group, also where ids repeat. Null, empty and white-space-only texts are
+    equal. Other columns do not matter. An empty table gives an empty result.
     """
-    members = write_table(name_documents(docs, text, id_col, block_bytes), "named")
+    base = docs.select(F.lit(0).cast("long").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _groups(base, block_bytes).drop("_block", "_at")
+
+
+def _groups(base: DataFrame, block_bytes: int) -> DataFrame:
+    members = write_table(_named_rows(base, block_bytes), "named")
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     groups = members.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1")
     groups = write_table(groups.select("n_blocks", "name", "group_size", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row")), "copies")
     alone = F.col("group_size").isNull()
     return members.join(groups, ["n_blocks", "name"], "left").select(
+        "_block",
+        "_at",
         "row",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
@@ -116,12 +131,12 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bl
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay, one of each group, with all their columns. Where ids repeat, rows are told apart by their text too."""
-    groups = write_table(exact_groups(docs.select(id_col, text), text, id_col), "exact-groups")
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    marked = docs.withColumn("_key", F.sha2(F.encode(without_spaces(F.col(text)), "UTF-8"), 256))
-    one = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_key"] == kept["_sha"]), "left_semi")
-    longest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.char_length(F.coalesce(F.col(text), F.lit(""))))
-    return one.groupBy(F.col(id_col).alias("_id"), "_key").agg(longest.alias("_row")).select("_row.*")
+    """The rows that stay, one of each group, with all their columns, whatever these are called.
+
+    Rows are told apart by their place in the files, so ids may be null or repeat. Of null, empty and white-space-only texts
+    one row stays. An empty table gives an empty result. The plan is the same at every size: a sort-merge join by place.
+    """
+    placed = located(docs)
+    base = placed.select("_block", "_at", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text}`").alias("text"))
+    kept = _groups(base, BLOCK_BYTES).where("kept").select("_block", "_at")
+    return placed.join(kept.hint("merge"), ["_block", "_at"], "left_semi").select("row.*")

@@ -3,8 +3,12 @@
 Every vector is summarised by the mean and the deviation norm of its segments, for a coarse and a fine cut. Of two
 vectors, the squared distance is at least the sum over segments of length * (difference of means)^2 +
 (difference of deviation norms)^2; with both squared norms known this bounds their inner product from above. Blocks of
-queries meet blocks of rows: coarse bounds first, fine bounds for what is left, then exact integer products for the
-survivors, against the k-th best score known so far. Bounds get a small allowance for rounding, so no row is lost.
+rows meet blocks of queries: coarse bounds first, fine bounds for what is left, then exact integer products for the
+survivors. Bounds get a small allowance for rounding, so no row is lost.
+
+Rows stay where they are: a task holds one block of its rows, and the blocks of queries, read from the shared folder, go
+past it. Every query brings along its k-th best score in a bounded sample of rows, below which nothing can be among its
+best; so most blocks send nothing on, and neither rows nor queries are copied in a shuffle.
 """
 
 from __future__ import annotations
@@ -13,20 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matchforge.llm._common import small_batches, write_table
+from matchforge.llm._common import filesystem, small_batches, write_table
 
-QUERY_BLOCK = 512
-ROW_BLOCK = 8192
+QUERY_BLOCK = 2048
+ROW_BLOCK = 16_384
+#: Rows that give every query its first k-th best score. It decides what is skipped early, never what is found.
+SAMPLE_ROWS = 4096
 SEGMENTS = (4, 16)
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    """row, vec_id, dims, ints = floor(scale * component). Vectors that are null or hold null, NaN or infinite components are left out."""
+def finite_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """row, vec_id, dims, parts (doubles). Vectors that are null or hold null, NaN or infinite components are left out."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = vectors.where(F.col(vector).isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    ints = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    return good.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.size(vector).alias("dims"), ints.alias("ints"))
+    return good.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.size(vector).alias("dims"), v.alias("parts"))
 
 
 def segment_statistics(m, segments: int):
@@ -44,84 +49,161 @@ def segment_statistics(m, segments: int):
     return np.stack(means + devs, axis=1)
 
 
-def block_top_k(queries, query_rows, rows, row_ids, vec_ids, k: int, segments=SEGMENTS):
-    """(query position, row position, score) of the k best rows of this block for each query; ties go to the smaller id.
+def exact_products(rows, query, scale: int):
+    """Inner products of floor(scale * x) of rows with those of a query, as Python integers, for components of any size."""
+    whole = [[_floor(x, scale) for x in r] for r in rows.tolist()]
+    own = [_floor(x, scale) for x in query.tolist()]
+    return [sum(a * b for a, b in zip(r, own)) for r in whole]
 
-    `queries` and `rows` are integer matrices. A query never meets its own row.
-    """
+
+def _floor(x: float, scale: int) -> int:
+    n, d = x.as_integer_ratio()
+    return n * scale // d
+
+
+class Side:
+    """Vectors of one block as doubles floor(scale * x), their statistics, and which are small enough for exact sums of doubles."""
+
+    def __init__(self, parts, scale: int, segments=SEGMENTS):
+        import numpy as np
+
+        self.parts = parts
+        with np.errstate(over="ignore"):
+            self.ints = np.floor(parts * scale)
+        top = np.abs(self.ints).max(axis=1, initial=0)
+        self.small = top * top * max(1, parts.shape[1]) < 2.0**53
+        self.bounded = top < 1e150
+        ints = np.where(self.bounded[:, None], self.ints, 0)
+        self.norms = 1 + np.sqrt((ints * ints).sum(axis=1))
+        self.stats = [segment_statistics(ints, s) for s in segments]
+
+
+def block_top_k(queries: Side, query_rows, rows: Side, row_ids, vec_ids, least, k: int, scale: int):
+    """(query position, row position, score) of the k best rows of this block for each query, of those with a score of at
+    least `least` (one number per query); ties go to the smaller id. A query never meets its own row. Scores are Python integers."""
     import numpy as np
 
-    q, r = queries.astype(np.float64), rows.astype(np.float64)
-    slack = 1e-9 * (1 + np.sqrt((q * q).sum(axis=1)))[:, None] * (1 + np.sqrt((r * r).sum(axis=1)))[None, :]
-    stats = [(segment_statistics(q, s), segment_statistics(r, s)) for s in segments]
-    bound = stats[0][0] @ stats[0][1].T + slack
-    own = query_rows[:, None] == row_ids[None, :]
-    bound[own] = -np.inf
-    out_q, out_r, out_s = [], [], []
-    whole = float((np.abs(q).max(initial=0) * np.abs(r).max(initial=0)) * max(1, q.shape[1])) < 2.0**53
-    for i in range(len(q)):
-        exact = (lambda at: (r[at] @ q[i]).astype(np.int64)) if whole else (lambda at: np.array([sum(int(a) * int(b) for a, b in zip(rows[t], queries[i])) for t in at], dtype=object))
-        n = int((~own[i]).sum())
-        if n == 0:
+    out = []
+    if not len(row_ids):
+        return out
+    coarse = queries.stats[0] @ rows.stats[0].T
+    for i in range(len(query_rows)):
+        other = row_ids != query_rows[i]
+        slack = 1e-9 * queries.norms[i] * rows.norms
+        loose = ~rows.bounded if queries.bounded[i] else np.ones(len(other), bool)
+        left = np.flatnonzero(other & (loose | (coarse[i] + slack >= least[i])))
+        for a, b in zip(queries.stats[1:], rows.stats[1:]):
+            left = left[loose[left] | (b[left] @ a[i] + slack[left] >= least[i])]
+        if not len(left):
             continue
-        first = np.argpartition(-bound[i], min(4 * k, len(r)) - 1)[: 4 * k]
-        first = first[~own[i][first]]
-        least = np.sort(exact(first))[::-1][min(k, n, len(first)) - 1] if len(first) >= min(k, n) else -np.inf
-        left = np.flatnonzero((bound[i] >= least) & ~own[i])
-        for a, b in stats[1:]:
-            left = left[b[left] @ a[i] + slack[i, left] >= least]
-        s = exact(left)
-        best = np.lexsort((row_ids[left], vec_ids[left], -s))[:k]
-        out_q.append(np.full(len(best), i))
-        out_r.append(left[best])
-        out_s.append(s[best])
-    if not out_q:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
+        if queries.small[i] and rows.small[left].all():
+            s = (rows.ints[left] @ queries.ints[i]).astype(np.int64)
+            best = left[np.lexsort((row_ids[left], vec_ids[left], -s))[:k]]
+            scores = (rows.ints[best] @ queries.ints[i]).astype(np.int64).tolist()
+        else:
+            if not loose[left].any():
+                about = rows.ints[left] @ queries.ints[i]
+                at_least = min(2.0**62, np.sort(about - slack[left])[::-1][min(k, len(left)) - 1])
+                left = left[about + slack[left] >= at_least]
+            s = [min((1 << 63) - 1, max(-(1 << 63), x)) for x in exact_products(rows.parts[left], queries.parts[i], scale)]
+            order = sorted(range(len(left)), key=lambda t: (-s[t], vec_ids[left[t]], row_ids[left[t]]))[:k]
+            best, scores = left[order], [s[t] for t in order]
+        out += [(i, j, x) for j, x in zip(best.tolist(), scores) if x >= least[i]]
+    return out
+
+
+def _held(batches, rows: int):
+    """Arrow tables of at most about `rows` rows each."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _by_dims(table):
+    """(dims, row, vec_id with null as the largest number, parts, positions) of the vectors of each dimension."""
+    import numpy as np
+
+    dims = table.column("dims").to_numpy()
+    ids = table.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        parts = np.array(table.column("parts").take(at).combine_chunks().flatten(), np.float64).reshape(len(at), d)
+        yield int(d), table.column("row").to_numpy()[at], ids[at], parts, at
+
+
+def _files(folder: str, rows: int):
+    """Blocks of a Parquet table in the shared folder."""
+    import pyarrow.dataset as ds
+
+    fs, path = filesystem(folder)
+    return _held(ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=rows), rows)
 
 
 def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, query_every: int = 50, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k rows of the highest inner product for every query row.
+    """query_id, rank (from 1), vec_id, score: the k rows of the highest inner product of floor(scale * component) for every query row.
 
     Queries are rows whose id is divisible by `query_every`; candidates are all other rows of the same dimension. Ties go
     to the smaller id, then to the earlier row; rows with a null id are candidates and come last in ties. Fewer
-    candidates give fewer rows. Blocks of rows and of queries have a fixed size, so tasks need the same memory at any
-    scale; each block pair sends at most k rows per query on.
+    candidates give fewer rows; an empty table gives none. Products are exact; one that 64 bits
+    do not hold counts as the nearest number that they hold, also in ties. Blocks of rows and of queries have a fixed size, so tasks need the same memory at any
+    scale; each block sends at most k rows per query on.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
-    rows = write_table(integer_vectors(vectors, id_col, vector, scale), "vectors")
-    is_query = F.col("vec_id") % query_every == 0
-    n, nq = rows.agg(F.count("*"), F.sum(is_query.cast("long"))).first()
-    row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-(nq or 0) // query_block))
-    spread = F.xxhash64("row")
-    placed = rows.withColumn("row_block", F.pmod(spread, F.lit(row_blocks)))
-    held = placed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("row_block", F.col("row_block").cast("int"))
-    asked = rows.where(is_query).withColumn("query_block", F.pmod(spread, F.lit(query_blocks)).cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-
-    def pair(keys, left, right):
+    rows = write_table(finite_vectors(vectors, id_col, vector), "vectors")
+    sample = write_table(rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS), "sample")
+    sample_at = sample._scratch
+
+    def first(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-
-        def matrix(t):
-            return np.array(t.column("ints").combine_chunks().flatten()).reshape(t.num_rows, keys[0].as_py())
-
-        def column(t, name, null):
-            return np.array(t.column(name).fill_null(null))
-
-        top = np.iinfo(np.int64).max
-        a = left.take(np.argsort(column(left, "row", 0))) if left.num_rows else left
-        qr, rr, rv = column(right, "row", 0), column(a, "row", 0), column(a, "vec_id", top)
-        i, j, s = block_top_k(matrix(right), qr, matrix(a), rr, rv, k)
-        return pa.table([pa.array(qr[i], pa.int64()), right.column("vec_id").take(pa.array(i)), pa.array(rr[j], pa.int64()), a.column("vec_id").take(pa.array(j)), pa.array([int(x) for x in s], pa.int64())], schema=schema)
+        known = {d: (r, v, Side(p, scale)) for t in _files(sample_at, SAMPLE_ROWS) for d, r, v, p, _ in _by_dims(t)}
+        for table in _held(batches, query_block):
+            least = [None] * table.num_rows
+            for d, qr, _, parts, at in _by_dims(table):
+                if d in known:
+                    r, v, side = known[d]
+                    best: dict = {}
+                    for i, _, x in block_top_k(Side(parts, scale), qr, side, r, v, np.full(len(qr), -np.inf), k, scale):
+                        best.setdefault(i, []).append(x)
+                    for i, found in best.items():
+                        if len(found) >= k and abs(found[-1]) < 1 << 53:
+                            least[at[i]] = float(found[-1])
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), pa.array(least, pa.float64())], [*table.column_names, "least"])
+
+    asked = rows.where(F.col("vec_id") % query_every == 0)
+    queries = write_table(asked.mapInArrow(first, "row long, vec_id long, dims int, parts array<double>, least double"), "queries")
+    queries_at = queries._scratch
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    keys = ["dims", "query_block", "row_block"]
-    found = held.select("row", "vec_id", "ints", *keys).groupBy(*keys).cogroup(asked.select("row", "vec_id", "ints", *keys).groupBy(*keys)).applyInArrow(pair, "query_row long, query_id long, row long, vec_id long, score long")
+        names = ["query_row", "query_id", "row", "vec_id", "score"]
+        null = np.iinfo(np.int64).max
+        for table in _held(batches, row_block):
+            mine = {d: (r, v, Side(p, scale)) for d, r, v, p, _ in _by_dims(table)}
+            for block in _files(queries_at, query_block):
+                least = block.column("least").fill_null(-np.inf).to_numpy()
+                out = []
+                for d, qr, qv, parts, at in _by_dims(block):
+                    if d in mine:
+                        r, v, side = mine[d]
+                        for i, j, x in block_top_k(Side(parts, scale), qr, side, r, v, least[at], k, scale):
+                            out.append((int(qr[i]), int(qv[i]), int(r[j]), None if v[j] == null else int(v[j]), x))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+
+    found = rows.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_RECORDS = 400
+#: Header that says how a URI is encoded that no header line can hold.
+ENCODED = "X-Target-URI-Encoding"
+_UNSAFE = re.compile(r"[\x00-\x1f\x7f]")
 DATE = "2024-01-01T00:00:00Z"
 READ = "record_id string, record_type string, uri string, refers_to string, payload binary, payload_bytes long, payload_digest string"
 MANIFEST = "path string, records long, bytes long"
@@ -34,11 +39,19 @@ def sha1_label(payload_hex: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(payload_hex)).decode()
 
 
+def _uri_headers(uri: str) -> list[tuple[str, str]]:
+    """Header lines of a URI. One that a header line cannot hold as it stands (control characters, white space at its ends)
+    is percent-encoded, and a line of its own says so; all others are written unchanged."""
+    if _UNSAFE.search(uri) or uri != uri.strip():
+        return [("WARC-Target-URI", quote(uri, safe="/:?&=#")), (ENCODED, "percent")]
+    return [("WARC-Target-URI", uri)]
+
+
 def record_bytes(record_id: str, uri: str, kind: str, payload: bytes, payload_bytes: int, sha1_hex: str, refers_to: str | None) -> bytes:
     """One WARC 1.1 record. A revisit's block holds the HTTP header only; its Content-Length tells the full payload's bytes."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", sha1_label(sha1_hex)), ("WARC-Block-Digest", sha1_label(hashlib.sha1(block).hexdigest()))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE), *_uri_headers(uri), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", sha1_label(sha1_hex)), ("WARC-Block-Digest", sha1_label(hashlib.sha1(block).hexdigest()))]
     if kind == "revisit":
         head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{refers_to}>")]
     head.append(("Content-Length", str(len(block))))
@@ -71,8 +84,11 @@ def parse_record(data: bytes) -> dict:
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex() if "warc-payload-digest" in fields else hashlib.sha1(payload).hexdigest()
     if fields["warc-type"] == "response" and (length != len(payload) or digest != hashlib.sha1(payload).hexdigest()):
         raise ValueError("the payload is not what the headers say")
+    uri = fields.get("warc-target-uri")
+    if uri is not None and fields.get(ENCODED.lower()) == "percent":
+        uri = unquote(uri)
     strip = lambda x: x.removeprefix("<").removesuffix(">") if x is not None else None
-    return {"record_id": strip(fields["warc-record-id"]), "record_type": fields["warc-type"], "uri": fields.get("warc-target-uri"), "refers_to": strip(fields.get("warc-refers-to")), "payload": payload if fields["warc-type"] == "response" else None, "payload_bytes": length, "payload_digest": digest}
+    return {"record_id": strip(fields["warc-record-id"]), "record_type": fields["warc-type"], "uri": uri, "refers_to": strip(fields.get("warc-refers-to")), "payload": payload if fields["warc-type"] == "response" else None, "payload_bytes": length, "payload_digest": digest}
 
 
 def archive_records(stream):

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -93,6 +94,29 @@ def test_near_duplicates_against_brute_force(docs, none, words, percent):
     assert minmax_dedup.drop_near_copies(docs, words=words, percent=percent).columns == docs.columns
 
 
+def test_words_are_told_apart():
+    tied = ["a"]
+    for _ in range(11):
+        tied.append(tied[-1] + tied[-1].translate(str.maketrans("ab", "ba")))
+    words = {w for t in tied for w in (t, t.translate(str.maketrans("ab", "ba")))} | {tied[-1][:i] + "x" + tied[-1][i + 1 :] for i in range(0, 2048, 97)} | {"aa", "aaa", "ab", "ba"}
+    words = sorted(words)
+    hashes = minmax_dedup.word_hashes((" \n" + " \t ".join(words) + "  ").encode())
+    assert len(set(hashes.tolist())) == len(hashes) == len(words)
+    assert minmax_dedup.word_hashes(" ".join(words).upper().encode()).tolist() == hashes.tolist() and len(minmax_dedup.word_hashes(b" \n ")) == 0
+    long = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    factors = minmax_dedup._factors(5)
+    want = [f(int(v) % 2**32 * x % 2**32 for v in long.tolist()) for x in factors.tolist() for f in (min, max)]
+    assert minmax_dedup.min_max_signature(long, factors).tolist() == want
+
+
+def test_linked_matrix_against_sets():
+    random.seed(12)
+    sets = [np.unique(np.array(random.choices(range(60), k=random.randint(1, 60)), np.uint64)) for _ in range(80)]
+    for percent in (30, 80):
+        got = minmax_dedup.linked_matrix(sets[:50], sets[30:], percent)
+        assert got.tolist() == [[100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) for y in sets[30:]] for x in sets[:50]]
+
+
 def test_large_near_group_with_a_common_passage(spark):
     random.seed(3)
     words = [f"v{i}" for i in range(5000)]
@@ -187,12 +211,13 @@ def test_feistel_is_a_permutation(n):
 
 def test_warc_round_trip(spark):
     long_page = "<p>" + "ä" * 3000
-    rows = [(1, "u1", long_page), (5, "u5", long_page), (3, None, long_page), (2, "u2", "short"), (4, "u4", "short"), (6, "u6", None), (None, "n", long_page), (7, "x: y", "z" * 100_000)]
+    rows = [(1, "u1", long_page), (5, "u5", long_page), (3, None, long_page), (2, "u2", "short"), (4, "u4", "short"), (6, "u6", None), (None, "n", long_page), (7, "x: y", "z" * 100_000), (8, "a\r\nWARC-Type: metadata\r\n\r\nb%20", "cut"), (9, " %41\x00\x85", "ends"), (10, "http://e.org/%0D?a=b c#d", "plain")]
     pages = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id long, url string, html string, sha1 string, n int")
     manifest = warc_zstd.write_archives(pages)
     got = {r.record_id: r for r in warc_zstd.read_archives(manifest).collect()}
-    assert len(got) == 8 and manifest.agg({"records": "sum"}).first()[0] == 8
-    for page_id, _, html in rows:
+    assert len(got) == 11 and manifest.agg({"records": "sum"}).first()[0] == 11
+    for page_id, url, html in rows:
+        assert got[f"urn:page:{'' if page_id is None else page_id}"].uri == (url or "")
         r = got[f"urn:page:{'' if page_id is None else page_id}"]
         data = (html or "").encode()
         again = page_id in (1, 3, None)
@@ -238,6 +263,12 @@ def test_chat_round_trip_and_mask(spark):
     first = [r for r in windows.collect() if r.conv_id == 1]
     assert len(first) > 1 and all(next(chat.parse_turns(r.formatted))[0] == "system" for r in first)
     assert all(r.tokens <= 200 or sum(r.new_turns) == 1 for r in first)
+    coder = tokens.encoder(tokens.default_tokenizer())
+    assert all(r.tokens == len(coder.tokenizer.encode(r.formatted, add_special_tokens=False).ids) for r in windows.collect())
+    large = spark.createDataFrame([(1, 0, "system", "rule " * 500)] + [(1, i, "user", f"turn {i} " * 10) for i in range(1, 40)], "conv_id long, turn long, role string, text string")
+    later = chat.format_conversations(large, budget=200, history=2).where("window > 0").collect()
+    assert later and all(r.tokens <= 200 and "### system" not in r.formatted for r in later)
+    assert chat.read_digests(chat.format_conversations(large, budget=200)).first().n_turns == 40
     assert chat.read_digests(chat.format_conversations(df.where("false"))).count() == 0
 
 
@@ -245,12 +276,13 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 13)]) for i in range(300)]
     rows += [(i, rows[0][1]) for i in range(300, 320)] + [(400, None), (450, [float("nan")] * 13), (500, [None] * 13), (550, [1.0, 2.0]), (600, [3.0, 4.0]), (50, rows[7][1]), (650, []), (None, rows[1][1])]
+    rows += [(i, [x * 1e30 if i % 2 else float(10**16) + x for x in rows[i % 7][1]]) for i in range(700, 712)] + [(750, [1e300] * 13), (751, [-1e300] * 13), (752, [1e9] * 13)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for a, (q, x) in enumerate(good):
         if q is not None and q % 50 == 0:
-            s = sorted(((-sum(p * r for p, r in zip(x, y)), i is None, i or 0) for b, (i, y) in enumerate(good) if b != a and len(y) == len(x)))[:5]
+            s = sorted(((-min(2**63 - 1, max(-(2**63), sum(p * r for p, r in zip(x, y)))), i is None, i or 0) for b, (i, y) in enumerate(good) if b != a and len(y) == len(x)))[:5]
             want += [(q, k + 1, None if none else i, -score) for k, (score, none, i) in enumerate(s)]
     got = topk_search.top_k(df, query_block=3, row_block=40)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
@@ -283,7 +315,11 @@ def test_mixing_targets_and_limits(spark, docs, none):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
     assert mixing.mix_sources(none).documents.count() == 0
     assert mixing.mix_sources(docs).documents.count() == docs.count()
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(none).count() == 0
+    whole = mixing.mixed_documents(df).collect()
+    for s in order:
+        words = sum(len(r.text.split()) for r in whole if r.source == s)
+        assert abs(words - sum(r.taken for r in got if r.source == s)) <= 200, s
 
 
 def test_schedule_spreads_sources(spark):
@@ -294,6 +330,42 @@ def test_schedule_spreads_sources(spark):
         assert abs(sum(r.place == 0 for r in rows[at : at + 100]) - 70) <= 5
 
 
+def plain_kneser_ney(texts, order=4):
+    """p(context, character) and the alphabet: interpolated modified Kneser-Ney over code points, written out plainly."""
+    counts = {order: {}}
+    for t in texts:
+        padded = "\n" * (order - 1) + t
+        for i in range(len(t)):
+            g = padded[i : i + order]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discounts, alphabet = {}, sorted(counts[1])
+    for n, table in counts.items():
+        of = [sum(c == k for c in table.values()) for k in range(5)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+        discounts[n] = [0.0, *(min(k, max(0.0, k - (k + 1) * y * of[k + 1] / of[k] if of[k] and of[k + 1] else 0.5 * k)) for k in (1, 2, 3))]
+    totals = {n: {} for n in counts}
+    for n, table in counts.items():
+        for g, c in table.items():
+            total = totals[n].setdefault(g[:-1], [0, 0.0])
+            total[0] += c
+            total[1] += min(discounts[n][min(c, 3)], c)
+
+    def p(context, c):
+        n = len(context) + 1
+        low = p(context[1:], c) if context else 1 / (len(alphabet) + 1)
+        if context not in totals[n]:
+            return low
+        total, held = totals[n][context]
+        count = counts[n].get(context + c, 0)
+        return (count - min(discounts[n][min(count, 3)], count)) / total + held / total * low
+
+    return p, alphabet
+
+
 def test_kneser_ney_sums_to_one_and_rejects_noise(spark, docs, none):
     random.seed(4)
     good = [(i, " ".join(random.choices(["the", "cat", "sat", "on", "mats", "and", "slept"], k=60)) + ".", "en") for i in range(120)]
@@ -301,9 +373,13 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark, docs, none):
     df = spark.createDataFrame([(*r, "s") for r in good + bad], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(1000, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     model = quality_lm.fit(df, labels)
-    p = np.exp(quality_lm.log_table(model.folder).astype(np.float64)).reshape(-1, quality_lm.CLASSES)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    kept = {r.doc_id for r in quality_lm.judge(model.scores, model).where("kept").collect()}
+    p, alphabet = plain_kneser_ney([t for i, t, _ in good if i < 60])
+    for context in ("\n\n\n", "the", " ca", "zzz", "on "):
+        assert sum(p(context, c) for c in alphabet) + p(context, "\0") == pytest.approx(1)
+    for r, (i, t, _) in zip(model.scores.orderBy("doc_id").collect(), good[:50]):
+        padded = "\n\n\n" + t
+        assert r.doc_id == i and r.perplexity == pytest.approx(math.exp(-sum(math.log(p(padded[k : k + 3], padded[k + 3])) for k in range(len(t))) / len(t)), rel=1e-5)
+    kept = {r.doc_id for r in quality_lm.judge(model).where("kept").collect()}
     assert kept == {i for i in range(120)} | {2000, 2001}
     out = quality_lm.keep_good(df, labels)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
@@ -318,7 +394,7 @@ def test_model_tells_texts_of_other_scripts_from_junk(spark):
     junk = [(9000 + i * 100 + j, "".join(random.choices(sorted(set("".join(words))), k=200)), lang) for i, (lang, words) in enumerate(scripts.items()) for j in range(20)]
     df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
     model = quality_lm.fit(df, spark.createDataFrame([(r[0], 1) for r in rows if r[0] % 1000 < 60], "doc_id long, quality int"))
-    kept = {r.doc_id for r in quality_lm.judge(model.scores, model).where("kept").collect()}
+    kept = {r.doc_id for r in quality_lm.judge(model).where("kept").collect()}
     assert kept == {r[0] for r in rows}
     seen = {r.gram for r in spark.read.parquet(f"{model.folder}/grams").where("n = 4").collect()}
     text = ["\n\n\n" + r[1] for r in rows if r[0] % 1000 < 60]
