@@ -12,7 +12,7 @@ c = F.col
 DURABILITY = ("damageselfmitigated", "totalheal", "-totalhealsonteammates", "totaldamagetaken")
 WARDS = ("detectorwardsplaced", "wardsplaced")
 JUNGLE = ("totalallyjungleminionskilled", "totalenemyjungleminionskilled")
-STRUCTURES = ("turrettakedowns", "inhibitortakedowns")
+STRUCTURES = ("turretkills", "turrettakedowns", "inhibitorkills", "inhibitortakedowns")
 STRUCTURE_DAMAGE = ("damagedealttobuildings", "damagedealttoturrets")
 LOSSES = ("turretslost", "inhibitorslost")
 SUPPORT = ("totalhealsonteammates", "totaldamageshieldedonteammates")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matchforge.functions.scalar import clip, over_one, signed_log
+from matchforge.operators.windows import middle_rows, quantiles
 
 
 def identity_base(players: DataFrame, keys: list[str], stats: list[str]) -> DataFrame:
@@ -52,11 +53,11 @@ def versus_opponent(players: DataFrame, stats: list[str]) -> DataFrame:
 
 
 def median_mad(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long table (metric, median, mad): exact medians, over rows of metric and value."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])))
-    centre = long.groupBy("metric").agg(F.expr("percentile(value, 0.5)").alias("median"))
-    spread = long.join(centre, "metric").groupBy("metric").agg(F.first("median").alias("median"), F.expr("percentile(abs(value - median), 0.5)").alias("mad"))
-    return spread
+    """Long table (metric, median, mad): exact medians of rows of metric and value, found by rank over ranges."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value is not null")
+    centre = quantiles(long, ["metric"], "value", {"median": 0.5})
+    spread = long.join(centre, "metric").select("metric", F.abs(F.col("value") - F.col("median")).alias("value"))
+    return centre.join(quantiles(spread, ["metric"], "value", {"mad": 0.5}), "metric")
 
 
 def standardise(df: DataFrame, columns: list[str], keys: list[str], limit: float = 8.0) -> DataFrame:
@@ -87,3 +88,36 @@ def temporal_shrink(bins: DataFrame, key: str, parent: str, value: str, parent_s
     n = F.coalesce("frames", F.lit(0))
     shrunk = (F.coalesce(F.col(value), F.lit(0.0)) + strength * near) / (n + strength)
     return own.select(key, parent, "bucket", shrunk.alias("mean"), (n > 0).cast("int").alias("observed"))
+
+
+def combine_contexts(shares: DataFrame, duels: DataFrame, keys: list[str], counts: dict[str, str]) -> DataFrame:
+    """Two aggregates of the same keys side by side, each value over its own count (one at least); what one lacks is 0."""
+    out = shares.join(duels, keys, "left").fillna(0, [c for c in (*counts, *counts.values())])
+    return out.withColumns({v: F.col(v) / F.greatest(F.col(n), F.lit(1)) for v, n in counts.items()})
+
+
+def temporal_events(events: DataFrame) -> DataFrame:
+    """Kills, assists, deaths and plates by lane of every participant and minute: one row per event, exploded by whom it counts for."""
+    kill, plate = F.col("type") == "CHAMPION_KILL", F.col("type") == "TURRET_PLATE_DESTROYED"
+    one = lambda who, what: F.array(F.struct(who.cast("int").alias("participantid"), what.alias("what")))
+    none = F.array().cast("array<struct<participantid:int,what:string>>")
+    helped = F.transform(F.coalesce("assistingParticipantIds", F.array().cast("array<int>")), lambda a: F.struct(a.alias("participantid"), F.lit("assists").alias("what")))
+    lane = F.when(F.col("laneType") == "TOP_LANE", "plate_top").when(F.col("laneType") == "MID_LANE", "plate_mid").otherwise("plate_bot")
+    parts = F.when(kill, F.concat(one(F.col("killerId"), F.lit("kills")), one(F.col("victimId"), F.lit("deaths")), helped)).when(plate, one(F.col("killerId"), lane)).otherwise(none)
+    rows = events.where(kill | plate).select("matchid", "frame_timestamp", F.inline(parts)).where("participantid > 0")
+    names = ["kills", "assists", "deaths", "plate_top", "plate_mid", "plate_bot"]
+    return rows.groupBy("matchid", "participantid", "frame_timestamp").agg(*[F.count(F.when(F.col("what") == n, 1)).alias(n) for n in names])
+
+
+def temporal_standardise(df: DataFrame, keys: list[str], bucket: str, value: str, limit: float = 8.0) -> DataFrame:
+    """keys, bucket, mask (1 where observed), z: signed log by the median and MAD of its bucket, cut at the limit; 0 where unobserved.
+
+    Medians are the middle row of each bucket (the lower of two), found by rank over ranges.
+    """
+    logged = df.select(*keys, bucket, signed_log(F.col(value).cast("double")).alias("_v"))
+    centre = middle_rows(logged.where("_v is not null"), [bucket], "_v").withColumnRenamed("_v", "_m")
+    near = logged.join(centre, bucket, "left").withColumn("_a", F.abs(F.col("_v") - F.col("_m")))
+    width = middle_rows(near.where("_a is not null"), [bucket], "_a").withColumnRenamed("_a", "_s")
+    scale = F.when(F.col("_s") * 1.4826 > 1e-9, F.col("_s") * 1.4826).otherwise(1.0)
+    z = F.coalesce(clip((F.col("_v") - F.col("_m")) / scale, -limit, limit), F.lit(0.0))
+    return near.join(width, bucket, "left").select(*keys, bucket, F.col("_v").isNotNull().cast("int").alias("mask"), z.alias("z"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from matchforge.functions import scalar as S
 from matchforge.functions import smoothing as M
 from matchforge.operators import catalog, combos, correct, evaluate, filters, incremental, joins, labels, profiles, reports, windows
-from matchforge.plans.adapters import EVENTS, PARTICIPANTS, SPLIT, match_events, participants, split_players, table
+from matchforge.plans.adapters import EVENTS, PARTICIPANTS, SPLIT, match_events, match_split, participants, split_players, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,7 +42,7 @@ def train(spark, d):
 
 @query(WITH_SPLIT + "SELECT matchid, split FROM split")
 def win5_chrono_split(spark, d):
-    return split_players(spark, d).select("matchid", "split").distinct()
+    return match_split(spark, d)
 
 
 SOLO = f"SELECT championid, teamposition, build, count(*) AS matchups, sum(win)::BIGINT AS wins, round(sum(win)::DOUBLE / count(*), 6) AS win_rate FROM {TRAIN} GROUP BY ALL"
