@@ -80,11 +80,12 @@ def read_block(folder: str, block: int, columns: list[str]):
     return pq.read_table(path, filesystem=fs, columns=columns, partitioning=None)
 
 
-def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def with_marks(rows: DataFrame, marks: DataFrame, then=None, schema: str | None = None) -> DataFrame:
     """Inner join of `rows` and `marks` by `_block` and `_at` (unique in `marks`) in which `rows` stay where they are.
 
     Marks are dealt by block and written; the task that reads a block of rows loads the marks of that block only. So texts
-    are never shuffled and nothing is broadcast, at any size.
+    are never shuffled and nothing is broadcast, at any size. `then` makes batches of `schema` of the joined batches in the
+    same Python worker.
     """
     small_batches(rows.sparkSession)
     folder = scratch_path(rows.sparkSession, "marks")
@@ -117,7 +118,9 @@ def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
                     mine, theirs = batch.slice(low, high - low).filter(pa.array(hit)), held.take(pa.array(place[hit])).combine_chunks()
                     yield pa.RecordBatch.from_arrays([*mine.columns, *(theirs.column(n).combine_chunks() for n in names)], [*batch.schema.names, *names])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *extra]))
+    if then is not None:
+        return rows.mapInArrow(tidy(lambda batches: then(run(batches))), schema)
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, *extra]))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -127,6 +130,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidy(run):
+    """`run` of mapInArrow that gives memory back when its task ends: Python workers serve many tasks, of other steps too."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def word_count(text):
     """Number of maximal runs of characters other than ASCII white space; 0 for null."""
     flat = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm._common import discard, located, small_batches, with_marks, write_table
+from matchforge.llm._common import discard, located, small_batches, tidy, with_marks, write_table
 from matchforge.llm.components import components
 
 BANDS, BAND_ROWS = 48, 7
@@ -152,7 +152,7 @@ def signatures(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataF
                 values.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["_block", "_at", "doc_id", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(run, "_block long, _at long, doc_id long, n_shingles long, node binary, bands array<long>")
+    return docs.mapInArrow(tidy(run), "_block long, _at long, doc_id long, n_shingles long, node binary, bands array<long>")
 
 
 def node_name(shingles) -> bytes | None:
@@ -162,8 +162,8 @@ def node_name(shingles) -> bytes | None:
     return hashlib.sha256(shingles.tobytes()).digest()[:16] if len(shingles) else None
 
 
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """node, shingles (bytes of sorted numbers) of (content, node)."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, shingles (bytes of sorted numbers) of the documents at the places of `nodes` (_block, _at, node)."""
 
     def run(batches):
         import pyarrow as pa
@@ -172,7 +172,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(c or b"", words).tobytes() for c in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node binary, shingles binary")
+    return with_marks(docs.select("_block", "_at", "content"), nodes, run, "node binary, shingles binary")
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     own, hubs = sets.select("node", F.col("shingles").alias("x")), sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
     both = pairs.join(own.hint("merge"), "node").join(hubs.hint("merge"), "hub").select("hub", "node", "x", "y")
-    return both.mapInArrow(run, "hub binary, node binary, size long, distance double, linked boolean")
+    return both.mapInArrow(tidy(run), "hub binary, node binary, size long, distance double, linked boolean")
 
 
 def linked_matrix(left: list, right: list, percent: int):
@@ -294,7 +294,7 @@ def joined_components(seen: DataFrame, sets: DataFrame, percent: int) -> DataFra
         out += forest(group) if group else []
         yield result(out)
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def grouped(docs: DataFrame, words: int, percent: int, bands: int, band_rows: int) -> DataFrame:
@@ -313,8 +313,7 @@ def grouped(docs: DataFrame, words: int, percent: int, bands: int, band_rows: in
     around = write_table(members.join(hubs.hint("merge"), "bucket").where("node <> hub").select("hub", "node").distinct(), "around")
 
     stands = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("_block", "_at")).alias("at")).join(degrees.select("node").hint("merge"), "node")
-    texts = with_marks(docs.select("_block", "_at", "content"), stands.select("at._block", "at._at", "node"))
-    sets = write_table(shingle_sets(texts.select("content", "node"), words), "sets")
+    sets = write_table(shingle_sets(docs, stands.select("at._block", "at._at", "node"), words), "sets")
     first = write_table(measured(around, sets, percent), "measured")
     labels = components(first.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
 

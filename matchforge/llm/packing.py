@@ -13,7 +13,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm._common import small_batches, write_table
+from matchforge.llm._common import small_batches, tidy, write_table
 from matchforge.llm.tokens import END_ID, default_tokenizer, encoder
 
 WINDOW = 4096
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return run
 
     content = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("content"))
-    packed = write_table(content.mapInArrow(first, PIECE), "packed-0")
+    packed = write_table(content.mapInArrow(tidy(first), PIECE), "packed-0")
     out, tasks = packed.where("full"), packed.agg(F.max("task")).first()[0]
     tasks = 0 if tasks is None else tasks + 1
     left = packed.where("not full")

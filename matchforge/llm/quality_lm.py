@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm._common import located, read_block, scratch_path, small_batches, with_marks, write_blocks, write_table
+from matchforge.llm._common import located, read_block, scratch_path, small_batches, tidy, with_marks, write_blocks, write_table
 
 ORDER = 4
 QUANTILE = 0.999
 MARGIN = 1.1
 REPEAT_QUANTILE = 0.001
+#: Characters whose n-grams a task holds before it merges them.
+MERGE_CHARS = 400_000
 
 
 _STATE: dict = {}
@@ -100,11 +102,11 @@ def count_grams(base: DataFrame, trusted: str) -> DataFrame:
                 if t:
                     waiting.append((*gram_keys(t), int(i in ids)))
                     chars += len(t)
-                    if chars > 2_000_000:
+                    if chars > MERGE_CHARS:
                         merge()
         yield from done()
 
-    return base.mapInArrow(run, "_block long, key long, gram string, c long")
+    return base.mapInArrow(tidy(run), "_block long, key long, gram string, c long")
 
 
 def discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -200,7 +202,7 @@ def with_perplexity(base: DataFrame, folder: str | None) -> DataFrame:
                 score.append(float(np.exp(-logp[where].mean(dtype=np.float64))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(ratio, pa.float64())], ["_block", "_at", "doc_id", "lang", "symbols", "perplexity", "compressed"])
 
-    return base.select("_block", "_at", "doc_id", "lang", "text").mapInArrow(run, "_block long, _at long, doc_id long, lang string, symbols long, perplexity double, compressed double")
+    return base.select("_block", "_at", "doc_id", "lang", "text").mapInArrow(tidy(run), "_block long, _at long, doc_id long, lang string, symbols long, perplexity double, compressed double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
