@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchforge.plans import metric_queries  # noqa: F401  registers its queries
+from matchforge.plans import metric_queries, shred_queries  # noqa: F401  these register their queries
 from matchforge.plans import queries as plans
 
 

@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 SUMMARY = (
     "metadata struct<matchId:string,dataVersion:string,participants:array<string>>, info struct<endOfGameResult:string,gameMode:string,gameCreation:bigint,gameDuration:bigint,gameVersion:string,gameStartTimestamp:bigint,"
     "teams:array<struct<teamId:int,bans:array<struct<championId:int,pickTurn:int>>,objectives:map<string,struct<first:boolean,kills:int>>,feats:map<string,struct<featState:int>>>>,"
-    "participants:array<struct<participantId:int,puuid:string,teamId:int,championId:int,teamPosition:string,win:boolean,kills:int,deaths:int,assists:int,unrealKills:int,challenges:map<string,string>,"
+    "participants:array<struct<participantId:int,puuid:string,teamId:int,championId:int,teamPosition:string,win:boolean,kills:int,deaths:int,assists:int,unrealKills:int,challenges:map<string,string>,PlayerBehavior:struct<PlayerBehavior_IsHeroInCombat:int>,gameEndedInIGNBSurrender:boolean,causedGameEndFromIGNBSurrender:boolean,teamIGNBSurrendered:boolean,wasPremadeWithIGNBGameEndCauser:boolean,wasSevereTransgressor:boolean,wasPremadeWithSevereTransgressor:boolean,"
     "perks:struct<styles:array<struct<description:string,style:int,selections:array<struct<perk:int,var1:int,var2:int,var3:int>>>>>>>>"
 )
+# Statistics of a participant frame that are kept, by the object that holds them.
+CHAMPION_STATS = "abilityHaste abilityPower armor armorPen armorPenPercent attackDamage attackSpeed bonusArmorPenPercent bonusMagicPenPercent ccReduction cooldownReduction health healthMax healthRegen lifesteal magicPen magicPenPercent magicResist movementSpeed omnivamp physicalVamp power powerMax powerRegen spellVamp".split()
+DAMAGE_STATS = "magicDamageDone magicDamageDoneToChampions magicDamageTaken physicalDamageDone physicalDamageDoneToChampions physicalDamageTaken totalDamageDone totalDamageDoneToChampions totalDamageTaken trueDamageDone trueDamageDoneToChampions trueDamageTaken".split()
+FRAME_STATS = "currentGold goldPerSecond jungleMinionsKilled level minionsKilled timeEnemySpentControlled totalGold xp".split()
+
+
+def _ints(names: list[str]) -> str:
+    return ",".join(f"{n}:int" for n in names)
+
+
+_DAMAGE = "array<struct<name:string,participantId:int,physicalDamage:int,magicDamage:int,trueDamage:int,type:string>>"
 TIMELINE = (
     "metadata struct<matchId:string>, info struct<endOfGameResult:string,frames:array<struct<timestamp:bigint,"
-    "participantFrames:map<string,struct<participantId:int,currentGold:int,totalGold:int,level:int,xp:int,minionsKilled:int,jungleMinionsKilled:int,position:struct<x:int,y:int>>>,"
+    f"participantFrames:map<string,struct<participantId:int,championStats:struct<{_ints(CHAMPION_STATS)}>,damageStats:struct<{_ints(DAMAGE_STATS)}>,{_ints(FRAME_STATS)},position:struct<x:int,y:int>>>,"
     "events:array<struct<type:string,timestamp:bigint,participantId:int,creatorId:int,killerId:int,victimId:int,itemId:int,beforeId:int,afterId:int,goldGain:int,level:int,skillSlot:int,levelUpType:string,wardType:string,"
     "killType:string,multiKillLength:int,killStreakLength:int,bounty:int,shutdownBounty:int,monsterType:string,monsterSubType:string,killerTeamId:int,teamId:int,name:string,buildingType:string,towerType:string,laneType:string,"
     "winningTeam:int,gameId:bigint,realTimestamp:bigint,actualStartTime:bigint,featType:int,featValue:int,transformType:string,assistingParticipantIds:array<int>,position:struct<x:int,y:int>,"
-    "victimDamageDealt:array<struct<name:string,participantId:int,physicalDamage:int,magicDamage:int,trueDamage:int,type:string>>,victimDamageReceived:array<struct<name:string,participantId:int,physicalDamage:int,magicDamage:int,trueDamage:int,type:string>>>>>>>"
+    f"victimDamageDealt:{_DAMAGE},victimDamageReceived:{_DAMAGE},victimTeamfightDamageDealt:{_DAMAGE},victimTeamfightDamageReceived:{_DAMAGE}>>>>>"
 )
+# Nullable behaviour flags of a participant.
+BEHAVIOUR = ["gameEndedInIGNBSurrender", "causedGameEndFromIGNBSurrender", "teamIGNBSurrendered", "wasPremadeWithIGNBGameEndCauser", "wasSevereTransgressor", "wasPremadeWithSevereTransgressor"]
 #: table: (event type, its own fields); a + marks fields of which a missing value is an empty list.
 EVENTS = {
     "tl_champion_special_kill": ("CHAMPION_SPECIAL_KILL", "type killType killerId multiKillLength position"),
@@ -85,7 +98,7 @@ def shred_match(raw: DataFrame, payload: str = "payload") -> dict[str, DataFrame
         "bans": teams.select("matchid", F.col("t.teamId").alias("teamid"), F.inline("t.bans")),
         "feats": teams.select("matchid", F.col("t.teamId").alias("teamid"), F.explode("t.feats").alias("feat", "v")).where("v is not null").select("matchid", "teamid", "feat", "v.featState"),
         "objectives": teams.select("matchid", F.col("t.teamId").alias("teamid"), F.explode("t.objectives").alias("objective", "v")).where("v is not null").select("matchid", "teamid", "objective", F.col("v.first").cast("int").alias("first"), "v.kills"),
-        "participant_stats": people.select("matchid", "p.participantId", "p.puuid", "p.teamId", "p.championId", "p.teamPosition", F.col("p.win").cast("int").alias("win"), "p.kills", "p.deaths", "p.assists", F.least("p.unrealKills", F.lit(255)).alias("unrealKills")),
+        "participant_stats": people.select("matchid", "p.participantId", "p.puuid", "p.teamId", "p.championId", "p.teamPosition", F.col("p.win").cast("int").alias("win"), "p.kills", "p.deaths", "p.assists", F.least("p.unrealKills", F.lit(255)).alias("unrealKills"), F.col("p.PlayerBehavior.PlayerBehavior_IsHeroInCombat").alias("playerBehaviorIsHeroInCombat"), *[F.col(f"p.{b}").cast("int").alias(b) for b in BEHAVIOUR]),
         "participant_challenges": people.select("matchid", F.col("p.participantId").alias("participantid"), F.explode(F.map_filter("p.challenges", lambda k, v: ~k.startswith("SWARM_"))).alias("challenge", "v")).select("matchid", "participantid", "challenge", F.col("v").try_cast("double").alias("value")),
         "participant_perk_values": slots.select("matchid", "participantid", *[perk(i, f"var{v}").alias(f"perk{i}_var{v}") for i in range(6) for v in (1, 2, 3)]),
         "participant_perk_ids": slots.select("matchid", "participantid", *[perk(i, "perk").alias(f"perk{i}") for i in range(6)], key.alias("perk_combo_key")),
@@ -99,7 +112,8 @@ def shred_timeline(raw: DataFrame, payload: str = "payload") -> dict[str, DataFr
     people = d.select("matchid", "frame_timestamp", F.explode(F.map_values("f.participantFrames")).alias("p"))
     events = d.select("matchid", "frame_timestamp", F.explode("f.events").alias("e")).select("matchid", "frame_timestamp", "e.*")
     place = [F.coalesce(F.col(f"p.position.{a}"), F.lit(0)).alias(f"position_{a}") for a in "xy"]
-    out = {"tl_participant_stats": people.select("matchid", "frame_timestamp", *[F.col(f"p.{c}") for c in ("participantId", "currentGold", "totalGold", "level", "xp", "minionsKilled", "jungleMinionsKilled")], *place)}
+    stats = [*[F.col(f"p.championStats.{c}") for c in CHAMPION_STATS], *[F.col(f"p.damageStats.{c}") for c in DAMAGE_STATS], *[F.col(f"p.{c}") for c in FRAME_STATS]]
+    out = {"tl_participant_stats": people.select("matchid", "frame_timestamp", "p.participantId", *stats, *place)}
     for name, (kind, fields) in EVENTS.items():
         columns = []
         for f in fields.split():
@@ -113,9 +127,10 @@ def shred_timeline(raw: DataFrame, payload: str = "payload") -> dict[str, DataFr
     kills = events.where("type = 'CHAMPION_KILL'").withColumn("champion_kill_event_id", F.concat_ws(":", "matchid", "timestamp", "killerId", "victimId"))
     ids = ["matchid", "frame_timestamp", "timestamp", "champion_kill_event_id"]
     out["tl_champion_kill"] = kills.select(*ids, "killerId", "victimId", "bounty", "shutdownBounty", "killStreakLength", F.coalesce("assistingParticipantIds", F.array().cast("array<int>")).alias("assistingParticipantIds"), *[F.col(f"position.{a}").alias(f"position_{a}") for a in "xy"])
-    for name, field in (("dealt", "victimDamageDealt"), ("received", "victimDamageReceived")):
-        rows = kills.select(*ids, F.posexplode(field).alias("idx", "v"))
-        out[f"tl_ck_victim_damage_{name}"] = rows.select(*ids, F.lit(name).alias("direction"), "idx", "v.*")
+    for name in ("Dealt", "Received"):
+        held = F.coalesce(f"victimDamage{name}", f"victimTeamfightDamage{name}")
+        rows = kills.select(*ids, F.posexplode(held).alias("idx", "v"))
+        out[f"tl_ck_victim_damage_{name.lower()}"] = rows.select(*ids, F.lit(name.upper()).alias("direction"), "idx", "v.*")
     return out
 
 
