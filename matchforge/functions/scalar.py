@@ -66,3 +66,16 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
+
+
+def season_of(at: Column, starts: list) -> Column:
+    """Number of the season (from 1) whose start is the last one not after a time; null before the first."""
+    out = F.lit(None).cast("int")
+    for i, start in enumerate(sorted(starts), 1):
+        out = F.when(at >= F.lit(start), F.lit(i)).otherwise(out)
+    return out
+
+
+def ordered_distinct(items: Column) -> Column:
+    """Items of an array without empties and repeats, in the order of their first appearance."""
+    return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))

@@ -13,10 +13,15 @@ def col(x) -> Column:
 
 
 def bayes_rate(rate, n, prior, strength) -> Column:
-    """The rate drawn to its prior as by `strength` further observations; the prior where there is nothing else."""
+    """The rate drawn to its prior as by `strength` further observations; the prior where there is nothing else.
+
+    A prior outside 0 to 1, and a negative count or strength, end the query with an error; nulls give null.
+    """
     rate, n, prior, strength = map(col, (rate, n, prior, strength))
     total = n + strength
-    return F.when(total > 0, prior + (rate - prior) * n / total).otherwise(prior)
+    wrong = (prior < 0) | (prior > 1) | (n < 0) | (strength < 0)
+    value = F.when(total > 0, prior + (rate - prior) * n / total).otherwise(prior)
+    return F.when(wrong, F.raise_error(F.lit("a prior is outside 0 to 1, or a count or strength is negative")).cast("double")).otherwise(value)
 
 
 def amplification(n, threshold) -> Column:
@@ -139,3 +144,41 @@ def patch_delta(wins, n, own=None, least: int = 50, strength: float = 30.0) -> C
     """Shrunken logit of a side's rate in a patch, without the row's own outcome if given; 0 below the least count."""
     n, wins = (col(n), col(wins)) if own is None else (col(n) - 1.0, col(wins) - col(own))
     return F.when(n >= least, (logit(wins / n) - math.log(1.0)) * n / (n + strength)).otherwise(0.0)
+
+
+def smooth_metrics(metrics: list[str], n, priors: list, confidence_threshold=0.0) -> dict[str, Column]:
+    """Blend of each metric with its prior levels: `priors` lists (prefix, weight); a level's metric is the column prefix + name."""
+    strong = amplification(n, confidence_threshold)
+    return {m: weighted_blend(F.col(m), n, [(F.coalesce(F.col(f"{p}{m}"), F.lit(0.0)), col(w) * strong) for p, w in priors]) for m in metrics}
+
+
+def match_total(weights: list, selected) -> list[Column]:
+    """Weights of levels in cascade: the selected level takes the sum of all weights, the others none; as they are without one."""
+    total = sum((col(w) for w in weights), F.lit(0.0))
+    return [F.when(selected.isNull(), col(w)).when(selected == i, total).otherwise(0.0) for i, w in enumerate(weights)]
+
+
+def floor_prior(kind: str, a=None, b=None) -> Column:
+    """What the last level of a pair is drawn to: the even rate, or the mean of the two solo rates."""
+    if kind == "even":
+        return F.lit(0.5)
+    if kind == "solo":
+        return pair_prior(a, b)
+    raise ValueError(f"unknown floor prior {kind!r}")
+
+
+def hierarchical(target: DataFrame, levels: list[tuple[str, DataFrame, list[str], float]], metrics: list[str], threshold: float = 0.0, isolated: tuple[str, list[str], list[str]] | None = None) -> DataFrame:
+    """Metrics of `target` (with `matchups`) blended with those of coarser levels.
+
+    A level is (name, table with its keys, matchups and metrics, keys, cap): its evidence is its count up to the cap, times the
+    amplification of thin targets. `isolated` (column, values, level names) leaves levels out for some values.
+    """
+    out, priors = target, []
+    for name, table, keys, cap in levels:
+        out = out.join(table.select(*keys, F.col("matchups").alias(f"{name}_n"), *[F.col(m).alias(f"{name}_{m}") for m in metrics]), keys, "left")
+        weight = capped_weight(F.col(f"{name}_n").cast("double"), cap)
+        if isolated and name in isolated[2]:
+            weight = F.when(F.col(isolated[0]).isin(isolated[1]), 0.0).otherwise(weight)
+        priors.append((f"{name}_", weight))
+    smoothed = smooth_metrics(metrics, F.col("matchups").cast("double"), priors, threshold)
+    return out.select(*[c for c in target.columns if c not in metrics], *[v.alias(m) for m, v in smoothed.items()])

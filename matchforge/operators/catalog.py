@@ -70,3 +70,33 @@ def marginalise(scored: DataFrame, game: str, weight: str = "weight", score: str
     """Score of a game over its worlds: sum of weight * score over the sum of weights, the mass, and whether it is low."""
     out = scored.groupBy(game).agg((F.sum(F.col(weight) * F.col(score)) / F.sum(weight)).alias("score"), F.sum(weight).alias("retained_mass"), F.count("*").alias("worlds"))
     return out.withColumn("low_confidence", (F.col("retained_mass") < floor).cast("int"))
+
+
+def prior_vector(roles: DataFrame, role_counts: DataFrame, all_counts: DataFrame) -> DataFrame:
+    """Share of every build in each role of `roles`: the role's own vector, or the one over all roles where it has none (fallback_source)."""
+    role, _ = prior_vectors(role_counts)
+    _, every = prior_vectors(all_counts)
+    given = role.select("teamposition").distinct().withColumn("_given", F.lit(1))
+    wide = roles.crossJoin(every).join(role, ["teamposition", "build"], "left").join(given, "teamposition", "left")
+    own = F.col("_given").isNotNull()
+    share = F.when(own, F.coalesce("role_share", F.lit(0.0))).otherwise(F.col("global_share"))
+    return wide.select("teamposition", "build", share.alias("share"), F.when(own, "role").otherwise("global").alias("fallback_source"))
+
+
+def content_version(catalog: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: version, a digest that follows from the rows, not from their order or files.
+
+    Digests of rows are added up, so partial sums are made before anything is shuffled.
+    """
+    row = F.sha1(F.to_json(F.struct(*columns)))
+    part = lambda i: F.sum(F.conv(F.substring(row, 10 * i + 1, 10), 16, 10).cast("decimal(38,0)"))
+    sums = catalog.agg(*[part(i).alias(f"p{i}") for i in range(4)], F.count("*").alias("n"))
+    return sums.select(F.sha1(F.concat_ws(":", "n", *[F.col(f"p{i}").cast("string") for i in range(4)])).alias("version"), "n")
+
+
+def apply_modal(rows: DataFrame, modal: DataFrame, priors: DataFrame, defaults: dict) -> DataFrame:
+    """Rows with the modal build of their champion and role (their own where there is none) and the priors of that build."""
+    out = rows.join(modal.select("championid", "teamposition", "modal_build"), ["championid", "teamposition"], "left")
+    out = out.withColumn("build", F.coalesce("modal_build", "build")).drop("modal_build", *defaults)
+    out = out.join(priors.select("championid", "teamposition", "build", *defaults), ["championid", "teamposition", "build"], "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

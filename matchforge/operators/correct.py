@@ -55,3 +55,12 @@ def apply_deltas(stats: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFr
     named = deltas.withColumnsRenamed({d: f"_d_{d}" for d in DELTAS})
     out = stats.join(named, keys, "left")
     return out.withColumns({d: F.greatest(F.col(d) - F.coalesce(F.col(f"_d_{d}"), F.lit(0.0)), F.lit(0.0)) for d in DELTAS if d in stats.columns}).drop(*[f"_d_{d}" for d in DELTAS])
+
+
+def damage_deltas(instances: DataFrame) -> list[DataFrame]:
+    """Deltas of padded damage, both directions: `instances` holds matchid, dealer, victimid and three kinds of damage."""
+    total = (F.col("physicaldamage") + F.col("magicdamage") + F.col("truedamage")).cast("double")
+    return [
+        instances.select("matchid", F.col("dealer").alias("participantid"), total.alias("damage_dealt")),
+        instances.select("matchid", F.col("victimid").alias("participantid"), total.alias("damage_taken")),
+    ]

@@ -50,3 +50,18 @@ def fit_bias(df: DataFrame, logit: str = "logit", y: str = "y", steps: int = 12)
             break
         b -= gap / slope
     return b
+
+
+def fit_scale(df: DataFrame, logit: str = "logit", y: str = "y", steps: int = 25) -> tuple[float, float]:
+    """(scale, bias) of sigmoid(scale * logit + bias) of the largest likelihood: Newton steps, one aggregate each."""
+    a, b = 0.0, 0.0
+    x = F.col(logit)
+    for _ in range(steps):
+        p = 1.0 / (1.0 + F.exp(-(x * F.lit(a) + F.lit(b))))
+        gap, w = p - F.col(y), p * (1.0 - p)
+        ga, gb, haa, hab, hbb = df.agg(F.avg(gap * x), F.avg(gap), F.avg(w * x * x), F.avg(w * x), F.avg(w)).first()
+        det = None if haa is None else haa * hbb - hab * hab
+        if not det or max(abs(ga), abs(gb)) < 1e-10:
+            break
+        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+    return a, b

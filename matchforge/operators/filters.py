@@ -84,17 +84,46 @@ def high_winrate(players: DataFrame, order: list, least_games: int = 40, lifetim
     return run.select("puuid", "matchid", (F.col("suffix_wins") * 100 >= F.col("suffix_games") * recent).cast("int").alias("high_winrate"))
 
 
-def participant_flags(players: DataFrame) -> DataFrame:
-    """All flags that the columns of `players` allow, per participant. Flags that are not given are 0."""
+def participant_flags(players: DataFrame, without: tuple = ()) -> DataFrame:
+    """All flags per participant, 0 or 1. Flags that `players` has no columns for have to be named in `without`, and are 0.
+
+    A flag that is given as a column of its own name is taken over, null as 0; `best_build_value` gives low_build_value.
+    """
     teams = team_totals(players)
     joined = players.join(teams, ["matchid", "teamid"], "left")
     flags = participant_rules() | team_rules() | behaviour_rules(players.columns)
+    if "best_build_value" in players.columns:
+        flags["low_build_value"] = F.coalesce((F.col("best_build_value") < 0.5).cast("int"), F.lit(0))
     for b in BITS:
-        if b not in flags:
-            flags[b] = F.coalesce(F.col(b).cast("int"), F.lit(0)) if b in players.columns else F.lit(0)
+        if b in flags:
+            continue
+        if b not in players.columns and b not in without:
+            raise ValueError(f"no column gives the flag {b}; name it in `without` to leave it out")
+        flags[b] = F.coalesce(F.col(b).cast("int"), F.lit(0)) if b in players.columns else F.lit(0)
     return joined.select("matchid", "participantid", "teamid", "win", *[flags[b].alias(b) for b in BITS])
 
 
+def valid_rows(df: DataFrame, result: DataFrame) -> DataFrame:
+    """The rows of valid matches: `result` is what filter_result gives."""
+    return df.join(result.where("is_valid = 1").select("matchid").distinct(), "matchid", "left_semi")
+
+
+def rule_win_rates(flags: DataFrame) -> DataFrame:
+    """rule, flagged, win_rate: participants with each flag and how often they won; one pass, unpivoted."""
+    sums = flags.agg(*[F.sum(b).alias(b) for b in BITS], *[F.sum(F.col(b) * F.col("win")).alias(f"w_{b}") for b in BITS])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(b).alias("rule"), F.col(b).cast("long").alias("flagged"), F.try_divide(F.col(f"w_{b}"), F.col(b)).alias("win_rate")) for b in BITS])))
+
+
+def cumulative_removal(flags: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
+    """category, place, games: games that are flagged by a category or one before it, in the order given."""
+    games, parts, so_far = game_flags(flags), [], F.lit(0)
+    for name, rules in categories.items():
+        so_far = F.greatest(so_far, *[F.col(x) for x in rules])
+        parts.append((name, F.sum(so_far)))
+    sums = games.agg(*[s.cast("long").alias(n) for n, s in parts])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("category"), F.lit(i).alias("place"), F.col(n).alias("games")) for i, n in enumerate(categories)])))
+
+
 def clean_matches(flags: DataFrame) -> DataFrame:
     """Matches in which no participant has any flag."""
     return flags.groupBy("matchid").agg(*[F.max(b).alias(b) for b in BITS]).where(sum(F.col(b) for b in BITS) == 0).select("matchid")

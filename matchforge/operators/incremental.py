@@ -72,3 +72,25 @@ def delete_where(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def first_seen(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return limit_by(df, key, order, 1)
+
+
+def missing_streams(ids: DataFrame, streams: dict[str, DataFrame], key: str = "matchid") -> DataFrame:
+    """key, missing: the stream that each id lacks, or `both`; ids that lack none are left out."""
+    out = ids.select(key).distinct()
+    for name, rows in streams.items():
+        out = out.join(rows.select(key).distinct().withColumn(f"_{name}", F.lit(1)), key, "left")
+    lacking = {n: F.col(f"_{n}").isNull() for n in streams}
+    first, second = streams
+    missing = F.when(lacking[first] & lacking[second], "both").when(lacking[first], first).when(lacking[second], second)
+    return out.select(key, missing.alias("missing")).where("missing is not null")
+
+
+def anchored(rows: DataFrame, anchors: DataFrame, run: str = "run_id") -> DataFrame:
+    """Rows of runs that an anchor names; what failed runs have left is not among them."""
+    return rows.join(anchors.select(run).distinct(), run, "left_semi")
+
+
+def merge_payloads(info: DataFrame, timeline: DataFrame, key: str, one: str, two: str) -> DataFrame:
+    """One row per match from two streams: key, both payloads, complete (1 where both are there)."""
+    out = info.select(key, one).join(timeline.select(key, two), key, "full")
+    return out.withColumn("complete", (F.col(one).isNotNull() & F.col(two).isNotNull()).cast("int"))

@@ -50,3 +50,49 @@ def bracket(df: DataFrame, centres: list[float], value: str) -> DataFrame:
 def tail_window(events: DataFrame, ends: DataFrame, on: str, at: str, end: str, width) -> DataFrame:
     """Events within `width` before the end of their match."""
     return events.join(ends.select(on, end), on).where((F.col(at) <= F.col(end)) & (F.col(at) >= F.col(end) - width))
+
+
+class Dictionary:
+    """Entries by key with defaults for what is not there; the planner broadcasts them if their size allows."""
+
+    def __init__(self, entries: DataFrame, keys: list[str], defaults: dict):
+        self.entries, self.keys, self.defaults = entries.dropDuplicates(keys), keys, defaults
+
+    def look_up(self, df: DataFrame, keys: dict[str, str]) -> DataFrame:
+        """`df` with the attributes and `found` (1 or 0); `keys` maps the dictionary's keys to columns of `df`. Attributes replace columns of their name."""
+        named = self.entries.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], *[F.col(a).alias(f"_a_{a}") for a in self.defaults], F.lit(1).alias("_found"))
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & (F.col(keys[k]) == F.col(f"_k_{k}"))
+        out = df.drop("found").join(named, same, "left")
+        given = F.col("_found") == 1
+        out = out.withColumns({a: F.when(given, F.col(f"_a_{a}")).otherwise(F.lit(v)) for a, v in self.defaults.items()} | {"found": F.coalesce("_found", F.lit(0))})
+        return out.drop("_found", *[f"_k_{k}" for k in self.keys], *[f"_a_{a}" for a in self.defaults])
+
+
+def known_items(df: DataFrame, entries: DataFrame, items: str, key: str, name: str) -> DataFrame:
+    """Number of items of an array that a dictionary (one that fits in memory) holds; the array is not exploded."""
+    held = entries.agg(F.collect_set(key).alias("_known"))
+    return df.crossJoin(held).withColumn(name, F.size(F.filter(items, lambda x: F.array_contains("_known", x)))).drop("_known", items)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, within: int) -> DataFrame:
+    """The last `value` of `right` at or before each left row, not older than `within`; null if none.
+
+    Both sides are put in one order by key and time, and the last value is carried along: no pairs are made. At equal times
+    the right side comes first, the largest value last.
+    """
+    rows = left.withColumn("_side", F.lit(1)).withColumn(f"_{value}", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_at", F.lit(None).cast("long"))
+    other = right.select(key, at, F.col(value).alias(f"_{value}"), F.col(at).cast("long").alias("_at"), F.lit(0).alias("_side"))
+    both = rows.unionByName(other, allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy(at, "_side", f"_{value}").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_side") == 0, F.struct("_at", f"_{value}")), ignorenulls=True).over(order)
+    out = both.withColumn("_last", last).where("_side = 1")
+    return out.withColumn(value, F.when(F.col(at) - F.col("_last._at") <= within, F.col(f"_last._{value}"))).drop("_side", "_at", f"_{value}", "_last")
+
+
+def gather_latent(df: DataFrame, latent: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
+    """The vector of each row's identity and confidence 1; a vector of zeros and confidence 0 where there is none."""
+    out = df.join(latent.select(*keys, vector), keys, "left")
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return out.withColumn("confidence", F.col(vector).isNotNull().cast("int")).withColumn(vector, F.coalesce(F.col(vector), zeros))

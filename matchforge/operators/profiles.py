@@ -121,3 +121,20 @@ def temporal_standardise(df: DataFrame, keys: list[str], bucket: str, value: str
     scale = F.when(F.col("_s") * 1.4826 > 1e-9, F.col("_s") * 1.4826).otherwise(1.0)
     z = F.coalesce(clip((F.col("_v") - F.col("_m")) / scale, -limit, limit), F.lit(0.0))
     return near.join(width, bucket, "left").select(*keys, bucket, F.col("_v").isNotNull().cast("int").alias("mask"), z.alias("z"))
+
+
+def prior_levels(base: DataFrame, levels: dict[str, list[str]], sums: list[str], sibling_keys: list[str], sibling_build: Column) -> DataFrame:
+    """Coarser levels of sufficient statistics as one table (level, key, sums), and the sibling level: the same table under the sibling build."""
+    text = lambda keys: F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    out = None
+    for name, keys in levels.items():
+        part = base.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums]).select(F.lit(name).alias("level"), text(keys).alias("key"), *sums)
+        out = part if out is None else out.unionByName(part)
+    sibling = base.withColumn("build", sibling_build)
+    return out.unionByName(sibling.select(F.lit("sibling").alias("level"), text(sibling_keys).alias("key"), *sums))
+
+
+def static_champion(stats: DataFrame, levels: int = 18) -> DataFrame:
+    """Champion statistics with their values at the last level: flat + (levels - 1) * per level, for every pair of such columns."""
+    names = [c.removesuffix("_flat") for c in stats.columns if c.endswith("_flat")]
+    return stats.select("*", *[(F.coalesce(f"{n}_flat", F.lit(0.0)) + (levels - 1) * F.coalesce(f"{n}_perLevel", F.lit(0.0))).alias(f"{n}_at_{levels}") for n in names])

@@ -49,3 +49,34 @@ def skew_profiles(df: DataFrame, key: str, early, late, least: int, top: int = 1
     skew = n.where((F.col("n") >= least) & F.col("early").isNotNull() & F.col("late").isNotNull()).withColumn("skew", F.round(F.col("late") - F.col("early"), 6))
     first = skew.orderBy(F.desc("skew"), key).limit(top).withColumn("end", F.lit("late"))
     return first.unionByName(skew.orderBy("skew", key).limit(top).withColumn("end", F.lit("early"))).select(key, "n", "skew", "end")
+
+
+def player_inspector(players: DataFrame, champion: int, role: str, build: str, images) -> DataFrame:
+    """Players of one champion, role and build with outcome, KDA and the image of their item; `images` is a Dictionary by itemid."""
+    rows = players.where((F.col("championid") == champion) & (F.col("teamposition") == role) & (F.col("build") == build))
+    rows = images.look_up(rows, {"itemid": "itemid"})
+    outcome = F.when(F.col("win") == 1, "WIN").otherwise("LOSS")
+    return rows.withColumn("outcome", outcome).withColumn("kda", (F.col("kills") + F.col("assists")) / F.greatest(F.col("deaths"), F.lit(1)))
+
+
+def season_counts(players: DataFrame) -> DataFrame:
+    """season, n (participants), lacking (matches without ten different pairs of team and role)."""
+    seats = players.groupBy("season", "matchid").agg(F.count_distinct("teamid", "teamposition").alias("seats"), F.count_distinct("participantid").alias("n"))
+    return seats.groupBy("season").agg(F.sum("n").cast("long").alias("n"), F.sum((F.col("seats") < 10).cast("long")).alias("lacking"))
+
+
+def completed_items(players: DataFrame, known: DataFrame, items: str, size: int = 10) -> DataFrame:
+    """matchid, items: completed items of a participant on average, of matches with exactly `size` participants."""
+    from matchforge.operators.joins import known_items
+
+    counted = known_items(players.select("matchid", items), known, items, known.columns[0], "_done")
+    return counted.groupBy("matchid").agg(F.avg("_done").alias("items"), F.count("*").alias("_n")).where(F.col("_n") == size).drop("_n")
+
+
+def bin_checks(binned: DataFrame, key: str, bin_: str, bins: int) -> DataFrame:
+    """check, value: rows, repeated keys, rows outside all bins, and bins without rows."""
+    keys = binned.groupBy(key).agg(F.count("*").alias("c"), F.sum(F.col(bin_).isNull().cast("long")).alias("out"))
+    sums = keys.agg(F.sum("c").alias("rows"), F.sum(F.col("c") - 1).alias("repeated"), F.sum("out").alias("outside"))
+    filled = binned.agg((F.lit(bins) - F.count_distinct(bin_)).alias("empty_bins"))
+    names = ["rows", "repeated", "outside", "empty_bins"]
+    return sums.crossJoin(filled).select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).cast("double").alias("value")) for n in names])))

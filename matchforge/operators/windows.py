@@ -93,3 +93,10 @@ def resolve_rules(rules: DataFrame, targets: DataFrame, scopes: list[str]) -> Da
     found = targets.join(r, match).withColumn("_special", special)
     place = F.row_number().over(Window.partitionBy(*targets.columns).orderBy(F.desc("_special"), F.desc("priority"), "rule_id"))
     return found.withColumn("_place", place).where("_place = 1").select(*targets.columns, "rule_id")
+
+
+def equal_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """part, low, high, n: ranges of equally many distinct keys, in their order, by rank over ranges."""
+    ranked = part_ranks(df.select(F.lit(0).alias("_one"), key).distinct(), ["_one"], [key])
+    part = F.least(F.floor((F.col("_rank") - 1) * parts / F.col("_n")), F.lit(parts - 1)).cast("int")
+    return ranked.groupBy(part.alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))

@@ -178,9 +178,10 @@ def joi3_semi(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def joi4_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
 BINS = [(0.0, 10_000.0), (10_000.0, 50_000.0), (50_000.0, 150_000.0), (150_000.0, None)]
@@ -318,6 +319,7 @@ FLAGS = (
   (teamposition <> 'UTILITY' AND timeplayed > 0 AND (totalminionskilled + neutralminionskilled) * 60 < timeplayed * 3)::INT AS low_minions, (win = 0 AND spellcasts = 0)::INT AS zero_spell_casts_loss, (win = 0 AND itemspurchased = 0)::INT AS zero_item_purchases_loss,
   (team_kills * 5 < team_deaths * 2)::INT AS team_kd, (enemy_cs - team_cs > 2)::INT AS team_cs_gap, (enemy_damage > 0 AND team_damage * 2 < enemy_damage)::INT AS team_damage_ratio FROM players JOIN teams USING (matchid, teamid))"""
 )
+ABSENT = ("high_winrate", "low_build_value", "game_ruining", *filters.BEHAVIOUR)
 USED = ["low_kda", "gold_spent", "solo_carried", "too_little_damage", "low_minions", "zero_spell_casts_loss", "zero_item_purchases_loss", "team_kd", "team_cs_gap", "team_damage_ratio"]
 
 
@@ -328,7 +330,7 @@ def tea1_team_totals(spark, d):
 
 @query(FLAGS + f" SELECT matchid, participantid, {', '.join(USED)} FROM flags")
 def rul_a_participant_flags(spark, d):
-    return filters.participant_flags(participants(spark, d)).select("matchid", "participantid", *USED)
+    return filters.participant_flags(participants(spark, d), ABSENT).select("matchid", "participantid", *USED)
 
 
 def mask_sql(names, agg="{}"):
@@ -338,19 +340,19 @@ def mask_sql(names, agg="{}"):
 @query(FLAGS + f""", g AS (SELECT matchid, {mask_sql(USED, 'max({})')} AS rule_mask FROM flags GROUP BY matchid)
 SELECT matchid, participantid, {mask_sql([u for u in USED if u not in filters.TEAM])} AS player_rule_mask, {mask_sql(filters.TEAM)} AS team_rule_mask, rule_mask, (rule_mask = 0)::INT AS is_valid FROM flags JOIN g USING (matchid)""")
 def rul_d_filter_result(spark, d):
-    return filters.filter_result(filters.participant_flags(participants(spark, d)))
+    return filters.filter_result(filters.participant_flags(participants(spark, d), ABSENT))
 
 
 @query(FLAGS + f" SELECT matchid FROM flags GROUP BY matchid HAVING {' + '.join(f'max({u})' for u in USED)} = 0")
 def rul_b_clean_matches(spark, d):
-    return filters.clean_matches(filters.participant_flags(participants(spark, d)))
+    return filters.clean_matches(filters.participant_flags(participants(spark, d), ABSENT))
 
 
 @query(FLAGS + f""", g AS (SELECT matchid, {', '.join(f'max({u}) AS {u}' for u in USED)}, greatest({', '.join(f'max({u})' for u in USED)}) AS a FROM flags GROUP BY matchid), cnt AS (SELECT count(*) AS n_games FROM g),
 rows_ AS ({' UNION ALL '.join(f"SELECT '{b}' AS rule, " + (f'sum({b})' if b in USED else 'sum(0)') + '::BIGINT AS games FROM g' for b in filters.BITS)} UNION ALL SELECT 'any', sum(a)::BIGINT FROM g UNION ALL SELECT 'valid', (count(*) - sum(a))::BIGINT FROM g)
 SELECT rule, games, round(games::DOUBLE / n_games, 6) AS share FROM rows_, cnt""")
 def rep4_filter_statistics(spark, d):
-    return filters.filter_statistics(filters.participant_flags(participants(spark, d)))
+    return filters.filter_statistics(filters.participant_flags(participants(spark, d), ABSENT))
 
 
 @query(WITH + """, life AS (SELECT puuid FROM players GROUP BY puuid HAVING count(*) > 20 AND sum(win) * 100 > count(*) * 50),
@@ -449,17 +451,25 @@ def cat7_eligibility_pool(spark, d):
     return catalog.eligibility_pool(_catalog(spark, d)).withColumn("weight", r("weight"))
 
 
-WORLDS = """WITH p AS (SELECT l_orderkey AS g, l_linenumber AS s, l_partkey || '-' || l_suppkey AS build, (1 + l_quantity) / 200 AS p, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_partkey || '-' || l_suppkey) AS i FROM lineitem WHERE l_linenumber <= 2),
-a AS (SELECT * FROM p WHERE s = 1 AND i <= 3), b AS (SELECT * FROM p WHERE s = 2 AND i <= 3),
-j AS (SELECT a.g, a.build || '|' || b.build AS builds, a.p * b.p AS w FROM a JOIN b USING (g)), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, builds) AS world FROM j),
-c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY g ORDER BY world ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE world <= 8)
+#: Slots of a game are its lines, all of them. A line's choices are its part with its supplier and the two next suppliers.
+WORLDS = """WITH RECURSIVE sl AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS s, l_partkey AS pk, l_suppkey AS sk, l_quantity::DOUBLE AS q FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 10)),
+ch AS (SELECT g, s, pk || '-' || sk AS build, (50 + q) / 110 AS p FROM sl UNION ALL SELECT g, s, pk || '-' || (sk + 1), (60 - q) / 110 * 0.7::DOUBLE FROM sl UNION ALL SELECT g, s, pk || '-' || (sk + 2), (60 - q) / 110 * 0.3::DOUBLE FROM sl),
+w AS (SELECT g, 1 AS s, [build] AS builds, p AS wt FROM ch WHERE s = 1
+  UNION ALL SELECT g, s, builds, wt FROM (SELECT w.g, ch.s, list_append(w.builds, ch.build) AS builds, w.wt * ch.p AS wt, row_number() OVER (PARTITION BY w.g ORDER BY w.wt * ch.p DESC, list_append(w.builds, ch.build)) AS i FROM w JOIN ch ON ch.g = w.g AND ch.s = w.s + 1) WHERE i <= 16),
+n AS (SELECT g, max(s) AS slots FROM sl GROUP BY g), o AS (SELECT w.g, wt AS w, row_number() OVER (PARTITION BY w.g ORDER BY wt DESC, builds) AS world FROM w JOIN n ON n.g = w.g AND n.slots = w.s),
+c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY g ORDER BY world ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 """
 
 
 def _worlds(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("s"), F.struct(F.concat_ws("-", "l_partkey", "l_suppkey").alias("build"), ((1 + F.col("l_quantity")) / 200.0).alias("p")).alias("c"))
-    slots = rows.groupBy("g", "s").agg(F.collect_list("c").alias("c")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "c"))), lambda x: x["c"]).alias("slots")).where(F.size("slots") == 2)
-    return catalog.joint_worlds(slots, "slots", 3, 8, 0.9)
+    li = table(spark, d, "lineitem")
+    whole = li.groupBy("l_orderkey").count().where("count <= 10").select("l_orderkey")
+    q = F.col("l_quantity").cast("double")
+    choice = lambda step, p: F.struct(F.concat_ws("-", "l_partkey", F.col("l_suppkey") + step).alias("build"), p.alias("p"))
+    choices = F.array(choice(0, (50 + q) / 110.0), choice(1, (60 - q) / 110.0 * 0.7), choice(2, (60 - q) / 110.0 * 0.3))
+    rows = li.join(whole, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("g"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", choices.alias("c")).alias("x"))
+    slots = rows.groupBy("g").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]).alias("slots"))
+    return catalog.joint_worlds(slots, "slots", 3, 16, 0.9)
 
 
 @query(WORLDS + "SELECT g, count(*) AS worlds, round(sum(w), 6) AS mass FROM c WHERE before < 0.9 GROUP BY g")
@@ -624,15 +634,14 @@ def str12_window_rollup(spark, d):
     return out.withColumn("start", F.col("start").cast(kind))
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_inner_product(q.embedding, e.embedding)::DOUBLE, 4) AS s FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
-SELECT a, count(*) AS n, round(max(s), 3) AS best FROM s GROUP BY a""")
+@query()
 def pro22_neighbours(spark, d):
-    """Blocked comparison of a query set with all vectors: the best inner product of each."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(e, F.col("a") != F.col("vec_id")).select("a", dot.alias("s"))
-    return pairs.groupBy("a").agg(F.count("*").alias("n"), r(F.max("s"), 3).alias("best"))
+    """Two spaces (all components; the first half): share of the ten nearest that they agree on, and how their distances correlate."""
+    from matchforge.operators.spaces import neighbour_agreement
+
+    e = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("whole"))
+    e = e.withColumn("half", F.slice("whole", 1, F.floor(F.size("whole") / 2).cast("int")))
+    return neighbour_agreement(e, "vec_id", "whole", "half", k=10, query_every=20).select("queries", "pairs", r("recall").alias("recall"), r("distance_correlation").alias("distance_correlation"))
 
 
 DERIVED = ["takedowns", "net_kills", "kills_to_deaths_ratio", "assists_to_deaths_ratio", "takedowns_to_deaths_ratio", "kills_to_assists_ratio", "kills_to_assists_ratio_to_goldearned_ratio", "goldearned_to_deaths_ratio"]

@@ -26,7 +26,14 @@ def flatten_stats(df: DataFrame, stats: list[str], parts: tuple = ("flat", "perL
 
 
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+    """Rows of a run in a partition of their own: a run that is written again replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
+def rewrite_without(df: DataFrame, keys: DataFrame, on: list[str], path: str) -> int:
+    """Delete by key from a table of files: what stays is written to a new path, and its number returned."""
+    df.join(keys.select(*on).distinct(), on, "left_anti").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
 
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -44,5 +51,5 @@ def backup_subset(df: DataFrame, ids: DataFrame, key: str, path: str) -> int:
     return copied
 
 
-def page_after(df: DataFrame, key: str, last, n: int) -> DataFrame:
+def next_page(df: DataFrame, key: str, last, n: int) -> DataFrame:
     return df.where(F.col(key) > last).orderBy(key).limit(n)
