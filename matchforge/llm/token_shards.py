@@ -1,6 +1,6 @@
 """Token ids in training order: fixed-length sequences at keyed pseudo-random slots, in shards of a fixed stride.
 
-Texts become ids, laid end to end within a task and cut into sequences. A keyed Feistel network with cycle-walking
+Texts become ids, laid end to end in an order that follows from their contents, and cut into sequences. A keyed Feistel network with cycle-walking
 permutes 0..N-1, so every sequence has a global slot that can be computed, and undone, without a table. Slots are dealt
 by range: shard k holds the slots from k * shard_sequences on, in order, each record at a place that follows from its slot.
 So a reader starts anywhere, and goes on after a stop, by one seek.
@@ -8,14 +8,14 @@ So a reader starts anywhere, and goes on after a stop, by one seek.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from matchforge.llm._common import filesystem, scratch_path, small_batches, write_file, write_table
+from matchforge.llm._common import filesystem, located, running_sums, scratch_path, small_batches, tidy, with_marks, write_file, write_table
 from matchforge.llm.tokens import END_ID, default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -54,39 +54,52 @@ def feistel(x, n: int, key: int, inverse: bool = False):
     return out.astype(np.int64)
 
 
-def token_sequences(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:
-    """(task, ordinal, tokens, ids: compressed little-endian 16-bit ids) of all texts, each followed by the end id.
-
-    Null texts are empty. Only a task's last sequence may be shorter. Memory: one sequence and one document.
-    """
+def document_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, digest, tokens, ids: little-endian 16-bit ids with the end id) of every text; null texts are empty. A narrow step."""
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        codes, end = encoder(path), struct.pack("<H", END_ID)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            ids = [codes.encode(t) + end for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "digest", "tokens", "ids"])
+
+    content = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("content"))
+    return content.mapInArrow(tidy(run), "doc_id long, digest binary, tokens long, ids binary")
+
+
+def sequence_pieces(tokens: DataFrame, offsets: DataFrame, total: int, key: int, sequence: int) -> DataFrame:
+    """(slot, start, ids: compressed) of the pieces into which the borders of sequences cut documents.
+
+    `tokens` is a located table of document_tokens, `offsets` tells for each of its places how many ids come before it.
+    """
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import zstandard
-        from pyspark import TaskContext
 
-        codes, task, coder = encoder(path), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
-        end, width, ordinal, held, size = np.array([END_ID], "<u2").tobytes(), 2 * sequence, 0, [], 0
+        coder = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            out = []
-            for content in batch.column(0).to_pylist():
-                held.append(codes.encode(content or b"") + end)
-                size += len(held[-1])
-                if size >= width:
-                    data = b"".join(held)
-                    whole = size - size % width
-                    out += [data[i : i + width] for i in range(0, whole, width)]
-                    held, size = [data[whole:]], size - whole
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([task] * len(out), pa.int64()), pa.array(range(ordinal, ordinal + len(out)), pa.int64()), pa.array([sequence] * len(out), pa.int64()), pa.array([coder.compress(s) for s in out], pa.binary())], ["task", "ordinal", "tokens", "ids"])
-                ordinal += len(out)
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([ordinal], pa.int64()), pa.array([size // 2], pa.int64()), pa.array([coder.compress(b"".join(held))], pa.binary())], ["task", "ordinal", "tokens", "ids"])
-
-    return docs.select(F.encode(F.col(text), "UTF-8").alias("content")).mapInArrow(run, "task long, ordinal long, tokens long, ids binary")
+            numbers, starts, parts = [], [], []
+            for row, first in zip(batch.column(0).field("ids").to_pylist(), batch.column(3).to_pylist()):
+                at, done, n = first, 0, len(row) // 2
+                while done < n:
+                    take = min(n - done, sequence - at % sequence)
+                    numbers.append(at // sequence)
+                    starts.append(at % sequence)
+                    parts.append(coder.compress(row[2 * done : 2 * (done + take)]))
+                    at, done = at + take, done + take
+            slots = feistel(np.array(numbers, np.int64), total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], ["slot", "start", "ids"])
+
+    return with_marks(tokens, offsets, run, "slot long, start long, ids binary")
 
 
 @dataclass
@@ -108,43 +121,51 @@ class Shards:
         return slot // self.shard_sequences, slot % self.shard_sequences * self.stride
 
 
-def write_shards(docs: DataFrame, key: int = 20240501, directory: str | None = None, text: str = "text", sequence: int = SEQUENCE, shard_sequences: int = SHARD_SEQUENCES, tokenizer: str | None = None) -> Shards:
+def write_shards(docs: DataFrame, key: int = 20240501, directory: str | None = None, text: str = "text", id_col: str = "doc_id", sequence: int = SEQUENCE, shard_sequences: int = SHARD_SEQUENCES, tokenizer: str | None = None) -> Shards:
     """Write all sequences of all texts to shards in the order of their slots. An empty table writes none.
 
-    Ids are computed once and kept in the shared folder, so tasks that are run again find the same sequences. The
-    offset of each task's sequences (two numbers per task) is broadcast.
+    The texts' ids, each text's followed by the end id, are laid end to end in the order of document id (null first) and a digest
+    of the text, and cut into sequences; only the last may be shorter. So slots follow from the contents and the key, however
+    the input is dealt and however often a task runs; rows of equal id and text are alike. Ids are computed once and kept in
+    the shared folder, and only narrow rows are sorted: places come from sums over ranges.
     """
     spark = docs.sparkSession
     directory = directory or scratch_path(spark, "shards")
-    rows = write_table(token_sequences(docs, text, sequence, tokenizer), "sequences")
-    counts = rows.groupBy("task").agg(F.count("*").alias("n"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    total = rows.count()
+    made = document_tokens(docs, text, id_col, tokenizer)
+    path = scratch_path(spark, "tokens")
+    made.write.option("compression", "zstd").parquet(path)
+    tokens = located(spark.read.schema(made.schema).parquet(path))
+    places = tokens.select("_block", "_at", F.col("row.doc_id").alias("doc_id"), F.col("row.digest").alias("digest"), F.col("row.tokens").alias("tokens"))
+    offsets = running_sums(places, ["doc_id", "digest", "_block", "_at"], {"first": F.col("tokens")})
+    total_ids = places.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    total = -(-total_ids // sequence)
     shards = max(1, -(-total // shard_sequences))
-
-    @F.pandas_udf("long")
-    def slot_of(n):
-        import pandas as pd
-
-        return pd.Series(feistel(n.to_numpy(), total, key))
-
-    placed = rows.join(F.broadcast(offsets), "task").select(slot_of(F.col("before") + F.col("ordinal")).alias("slot"), "tokens", "ids")
-    dealt = placed.repartitionById(shards, F.floor(F.col("slot") / shard_sequences).cast("int")).sortWithinPartitions("slot")
+    pieces = sequence_pieces(tokens, offsets.select("_block", "_at", F.col("first").cast("long").alias("first")), total, key, sequence)
+    dealt = pieces.repartitionById(shards, F.floor(F.col("slot") / shard_sequences).cast("int")).sortWithinPartitions("slot", "start")
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
-        decoder, first, n, width = zstandard.ZstdDecompressor(), None, 0, 2 * sequence
+        decoder, first, n = zstandard.ZstdDecompressor(), None, 0
+
+        def record(parts):
+            ids = b"".join(parts)
+            return (len(ids) // 2).to_bytes(LENGTH_BYTES, "little") + ids.ljust(2 * sequence, b"\0")
 
         def records():
             nonlocal first, n
+            held, parts = None, []
             for batch in batches:
-                for slot, tokens, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                    first = slot if first is None else first
-                    n += 1
-                    yield tokens.to_bytes(LENGTH_BYTES, "little") + decoder.decompress(ids, max_output_size=width).ljust(width, b"\0")
+                for slot, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    if slot != held and parts:
+                        yield record(parts)
+                        parts = []
+                    if slot != held:
+                        first, held, n = slot if first is None else first, slot, n + 1
+                    parts.append(decoder.decompress(ids, max_output_size=2 * sequence))
+            if parts:
+                yield record(parts)
 
         source = records()
         head = next(source, None)
