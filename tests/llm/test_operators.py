@@ -196,7 +196,11 @@ def test_shards_round_trip_and_resume(docs, none):
     coder = tokens.encoder(tokens.default_tokenizer())
     whole = b"".join(r.ids for r in sorted(rows, key=lambda r: r.sequence))
     end = np.array([tokens.END_ID], "<u2").tobytes()
-    assert len(whole) == sum(len(coder.encode((r[1] or "").encode()) + end) for r in edge_documents())
+    order = sorted(((r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()[:16], r[1] or "") for r in edge_documents()))
+    assert whole == b"".join(coder.encode(text.encode()) + end for *_, text in order)
+    assert all(r.slot == token_shards.feistel(np.array([r.sequence]), shards.total, shards.key)[0] and r.ids_crc32 == zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in rows)
+    again = token_shards.write_shards(docs.repartition(7), sequence=128, shard_sequences=10)
+    assert {r.slot: r.ids for r in token_shards.read_shards(again).collect()} == {r.slot: r.ids for r in rows}
     later = sorted(r.slot for r in token_shards.read_shards(shards, 17).collect())
     assert later == list(range(17, shards.total)) and shards.place(17) == (1, 7 * shards.stride)
     assert token_shards.read_shards(token_shards.write_shards(none)).count() == 0
@@ -424,14 +428,32 @@ def test_toxicity_held_out(spark, docs, none):
     assert toxicity.score(docs, model).count() == docs.count() and toxicity.score(none, model).count() == 0
 
 
-def test_label_model_weighs_repeated_voters_less():
+def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.3
-    vote = lambda right: np.where(rng.random(4000) < right, y, ~y).astype(np.int8)
-    a, b, c = vote(0.9), vote(0.85), vote(0.8)
-    votes = np.stack([a, b, c, c, c], axis=1)
-    post, _, weights = toxicity.label_model(votes, 0.3)
-    assert weights[2] < weights[0] and ((post > 0.5) == y).mean() > 0.88
+    n = 8000
+    y = rng.random(n) < 0.3
+
+    def vote(right, silent=0.0):
+        v = np.where(rng.random(n) < right, y, ~y).astype(np.int8)
+        v[rng.random(n) < silent] = -1
+        return v
+
+    rights = [0.9, 0.85, 0.8, 0.75, 0.85, 0.8, 0.9]
+    columns = [vote(x, silent) for x, silent in zip(rights, (0, 0.3, 0, 0.5, 0, 0, 0.2))]
+    copy = np.where(rng.random(n) < 0.8, columns[2], vote(0.8)).astype(np.int8)
+    post, accuracy, correlation = toxicity.label_model(np.stack([*columns, copy, np.full(n, -1, np.int8)], axis=1), 0.3)
+    assert np.abs(accuracy - [*rights, 0.8, 0.5]).max() < 0.06
+    assert correlation[2, 7] > 0.6 and np.abs(correlation[0, [1, 3, 4, 5, 6]]).max() < 0.2
+    assert ((post > 0.5) == y).mean() > 0.94
+
+
+def test_voters_of_three_kinds_can_say_yes_no_and_nothing():
+    quiet, loud = [0.0] * 4, [9.0, 0.0, 0.0, 0.0]
+    rows = [(1, [1], [11], loud)] + [(0, [2], [12], quiet)] * 300 + [(0, [], [], [0.5, 0.0, 0.0, 0.0])] * 4
+    votes = toxicity.term_votes(rows, [1], [2], [11])
+    words, patterns = votes[:, : toxicity.TOXIC_VOTERS + toxicity.CLEAN_VOTERS], votes[:, toxicity.TOXIC_VOTERS + toxicity.CLEAN_VOTERS : -4]
+    assert words[0].max() == 1 and (words[1] >= 0).sum() == 1 and words[1].max() == 0 and (words[301] == -1).all()
+    assert patterns[0].max() == 1 and (patterns[1:] == -1).all() and votes[0, -4] == 1 and votes[1, -4] == 0 and votes[301, -4] == -1 and (votes[:, -3:] == 0).all()
 
 
 def test_pipeline_stages(spark):
