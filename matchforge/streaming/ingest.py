@@ -1,4 +1,4 @@
-"""Live ingest: file streams, minute roll-ups with a watermark, first-seen ids, idempotent multi-table sinks."""
+"""Live ingest: file streams, merging of two streams, minute roll-ups with a watermark, first-seen ids, idempotent multi-table sinks."""
 
 from __future__ import annotations
 
@@ -11,9 +11,16 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def merge_streams(summaries: DataFrame, timelines: DataFrame) -> DataFrame:
-    """Two payload streams as one, tagged by their source."""
-    return summaries.withColumn("stream", F.lit("summary")).unionByName(timelines.withColumn("stream", F.lit("timeline")))
+def merge_streams(summaries: DataFrame, timelines: DataFrame, key: str = "matchid", at: str = "ts", apart: str = "1 hour", late: str = "10 minutes", how: str = "inner") -> DataFrame:
+    """One row per match from two streams (key, at, payload each): key, summary, timeline, their times.
+
+    The two arrivals of a match are at most `apart` from each other, so state is bounded by that and the watermarks; with
+    `left_outer` a summary whose timeline never came is given out when the watermark has passed.
+    """
+    s = summaries.select(F.col(key), F.col(at).alias("summary_at"), F.col("payload").alias("summary")).withWatermark("summary_at", late)
+    t = timelines.select(F.col(key).alias("_key"), F.col(at).alias("timeline_at"), F.col("payload").alias("timeline")).withWatermark("timeline_at", late)
+    near = F.expr(f"timeline_at between summary_at - interval {apart} and summary_at + interval {apart}")
+    return s.join(t, (F.col(key) == F.col("_key")) & near, how).drop("_key")
 
 
 def minute_rollup(events: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "1 minute", keys: tuple = ("event_type",)) -> DataFrame:

@@ -173,7 +173,60 @@ def test_streaming_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/clicks").count() == events.where("event_type = 'click'").count()
 
 
-ORACLES = ["smo20_solo_prior_features", "cmb1_matchup_1v1", "rul_d_filter_result", "cat1_build_catalog", "win7_resolve_rules", "shr2_info"]
+def test_two_streams_become_one_row_per_match(spark, tmp_path):
+    import datetime
+
+    from matchforge.streaming import ingest
+
+    start = datetime.datetime(2024, 1, 1)
+    for name, ids, minutes in (("s", range(20), 0), ("t", range(10, 30), 5)):
+        rows = [(i, start + datetime.timedelta(minutes=i + minutes), f"{name}{i}") for i in ids]
+        spark.createDataFrame(rows, "matchid long, ts timestamp, payload string").write.parquet(f"{tmp_path}/{name}")
+    read = lambda n: ingest.file_stream(spark, f"{tmp_path}/{n}", "matchid long, ts timestamp, payload string")
+    q = ingest.merge_streams(read("s"), read("t")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {(r.matchid, r.summary, r.timeline) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(i, f"s{i}", f"t{i}") for i in range(10, 20)}
+
+
+def test_ranks_and_quantiles_of_parts(spark):
+    rows = [("a", float(v)) for v in (5, 1, 3, 3, 9, 2)] + [("b", 4.0), (None, 7.0)]
+    df = spark.createDataFrame(rows, "p string, v double")
+    ranked = windows.part_ranks(df, ["p"], ["v"]).collect()
+    assert sorted((r.v, r._rank) for r in ranked if r.p == "a") in ([(1.0, 1), (2.0, 2), (3.0, 3), (3.0, 4), (5.0, 5), (9.0, 6)],)
+    assert {(r.p, r._n) for r in ranked} == {("a", 6), ("b", 1), (None, 1)}
+    q = {r.p: (r.low, r.mid) for r in windows.quantiles(df.where("p is not null"), ["p"], "v", {"low": 0.1, "mid": 0.5}).collect()}
+    assert q["a"] == (pytest.approx(1.5), pytest.approx(3.0)) and q["b"] == (4.0, 4.0)
+    assert windows.part_ranks(df.where("false"), ["p"], ["v"]).count() == 0
+    assert windows.chrono_split(df.where("false"), ["p"], ["v"]).count() == 0
+
+
+def test_nulls_and_empty_tables(spark):
+    from matchforge.operators import augment, event_metrics, joins, semantic
+
+    base = spark.read.parquet(f"{SF}/orders.parquet").select(F.col("o_orderkey").alias("matchid"), "o_custkey")
+    d = joins.Dictionary(spark.createDataFrame([(1, "one"), (None, "nothing")], "k long, name string"), ["k"], {"name": "?"})
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "x long")
+    assert sorted(((r.x or 0), r.name, r.found) for r in d.look_up(rows, {"k": "x"}).collect()) == [(0, "?", 0), (1, "one", 1), (2, "?", 0)]
+    events = spark.createDataFrame([(1, 0, 100, "CHAMPION_KILL", 2, None, None)], "matchid long, frame_timestamp long, timestamp long, type string, killerId int, victimId int, assistingParticipantIds array<int>")
+    names = "participantId creatorId bounty shutdownBounty killStreakLength multiKillLength".split()
+    events = events.withColumns({n: F.lit(None).cast("int") for n in names} | {n: F.lit(None).cast("string") for n in "killType laneType towerType buildingType monsterType monsterSubType".split()})
+    for grain in ("minute", "player", "match"):
+        assert event_metrics.event_metrics(events.where("false"), grain).count() == 0
+    killer = {r.participantid: r for r in event_metrics.event_metrics(events, "minute").collect()}[2]
+    assert killer.championKillEventsPerMinuteBin == 1.0 and killer.kdaPerMinuteBin == 1.0 and killer.wardsPlacedPerMinuteBin == 0.0
+    one = spark.createDataFrame([(0.6, 0.3, 0.1, 0.95, 0.9, 0.2, 0.7, 0.1, 0.3, 2500.0, 600.0, 100, "TOP", 1, "crit", 887)], ", ".join(f"{c} double" for c in [*semantic.SHARES, *semantic.PRESSURES, "hp", "attack_range"]) + ", teamid int, teamposition string, matchid int, build string, championid int")
+    r = semantic.group_features(one).first()
+    assert (r.burst, r.hard_cc, r.high_hp, r.ranged, r.skirmish, r.same_role_range, r.range_pressure) == (0.0, 1.0, 1.0, 1.0, 1.0, 0.0, pytest.approx(0.875))
+    assert r.mixed_damage == pytest.approx(0.6) and r.frontline_intensity == pytest.approx(max((0.9 - 0.702) / 0.24, (2500 - 2253.5) / 450))
+    assert semantic.group_features(one.where("false")).count() == 0 and augment.side_swap(base.where("false").withColumn("label", F.lit(1)), [], [], "label").count() == 0
+    with pytest.raises(ValueError):
+        filters.participant_flags(spark.createDataFrame([], "matchid long, participantid int, teamid int, win int, kills long, deaths long, assists long, damage long, goldearned long, goldspent long, totalminionskilled long, neutralminionskilled long, timeplayed long, teamposition string, spellcasts int, itemspurchased int"))
+    with pytest.raises(Exception, match="outside 0 to 1"):
+        spark.range(1).select(M.bayes_rate(0.5, 3, 1.5, 2)).collect()
+
+
+ORACLES = ["der_all_identity_metrics", "frm_all_frame_metrics", "tot_all_total_metrics", "qty_all_team_shares", "qty_all_role_opponents", "met_minute_event_metrics", "met_player_event_metrics", "met_match_event_metrics", "sem_all_group_features", "shr10_participant_frames", "shr11_3_elite_monster_kill", "shr13_victim_damage_dealt", "shr9_perk_ids", "smo_scalar_family", "smo18_hierarchical", "dic6_matchup_1v1", "scf_scalars", "cor5_signed_deltas", "cat5_marginal_score", "joi17_interval_as_of", "win5_chrono_split", "smo20_solo_prior_features", "cmb1_matchup_1v1", "rul_d_filter_result", "cat1_build_catalog", "win7_resolve_rules", "shr2_info"]
 
 
 @pytest.mark.parametrize("name", ORACLES)
