@@ -60,15 +60,14 @@ def document_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        import hashlib
-
         import pyarrow as pa
+        import xxhash
 
         codes, end = encoder(path), struct.pack("<H", END_ID)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             ids = [codes.encode(t) + end for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "digest", "tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "digest", "tokens", "ids"])
 
     content = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("content"))
     return content.mapInArrow(tidy(run), "doc_id long, digest binary, tokens long, ids binary")
@@ -85,7 +84,7 @@ def sequence_pieces(tokens: DataFrame, offsets: DataFrame, total: int, key: int,
         import pyarrow as pa
         import zstandard
 
-        coder = zstandard.ZstdCompressor(level=3)
+        coder = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             numbers, starts, parts = [], [], []
             for row, first in zip(batch.column(0).field("ids").to_pylist(), batch.column(3).to_pylist()):

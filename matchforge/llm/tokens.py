@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 
-CACHE_CHUNKS, CACHE_WORDS = 300_000, 100_000
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 100_000
 #: Ends every document.
 END_ID = 2
 

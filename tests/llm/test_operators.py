@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 
 from matchforge.llm import chat_format as chat
 from matchforge.llm import components, exact_dedup, minmax_dedup, mixing, packing, quality_lm, token_shards, tokens, topk_search, toxicity, warc_zstd
@@ -196,7 +197,7 @@ def test_shards_round_trip_and_resume(docs, none):
     coder = tokens.encoder(tokens.default_tokenizer())
     whole = b"".join(r.ids for r in sorted(rows, key=lambda r: r.sequence))
     end = np.array([tokens.END_ID], "<u2").tobytes()
-    order = sorted(((r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()[:16], r[1] or "") for r in edge_documents()))
+    order = sorted(((r[0] is not None, r[0] or 0, xxhash.xxh3_128_digest((r[1] or "").encode()), r[1] or "") for r in edge_documents()))
     assert whole == b"".join(coder.encode(text.encode()) + end for *_, text in order)
     assert all(r.slot == token_shards.feistel(np.array([r.sequence]), shards.total, shards.key)[0] and r.ids_crc32 == zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in rows)
     again = token_shards.write_shards(docs.repartition(7), sequence=128, shard_sequences=10)
@@ -456,6 +457,58 @@ def test_voters_of_three_kinds_can_say_yes_no_and_nothing():
     assert patterns[0].max() == 1 and (patterns[1:] == -1).all() and votes[0, -4] == 1 and votes[1, -4] == 0 and votes[301, -4] == -1 and (votes[:, -3:] == 0).all()
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage's rows on a small fixture: what is rejected, which copy stays, the mix, and every packed piece."""
+    import corpus_pipeline
+
+    random.seed(21)
+    words = ["".join(random.choices("abcdefghilmnorstu", k=random.randint(3, 9))) for _ in range(400)]
+    text = lambda n=90: " ".join(random.choices(words, [30] * 5 + [1] * 395, k=n))
+    rows = [(i, text(), "en", random.choice("ab")) for i in range(160)]
+    edited = rows[7][1].split()
+    edited[40] = "edited"
+    rows += [(200, rows[3][1], "en", "a"), (201, rows[3][1] + " ", "en", "b"), (202, " ".join(edited), "en", "a"), (203, "zq" * 150, "en", "a"), (204, None, "en", "b"), (205, "", "en", None), (206, "word " * 150, "en", "b")]
+    rows = [(*r, len(r[1] or ""), "kept", 5) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _block string, copies int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    spaces = lambda t: re.sub(SPACES, "", t or "")
+
+    good = stage["quality"](spark, df, str(tmp_path)).collect()
+    assert {r.doc_id for r in good} == {r[0] for r in rows} - {203, 206} and all(r._block == "kept" and r.copies == 5 for r in good)
+
+    exact = stage["exact_dedup"](spark, spark.createDataFrame(good, df.schema), str(tmp_path)).collect()
+    best = {}
+    for r in good:
+        k = (-len(r.text or ""), r.doc_id)
+        best[spaces(r.text)] = min(best.get(spaces(r.text), k), k)
+    assert sorted(r.doc_id for r in exact) == sorted(i for _, i in best.values())
+
+    near = stage["near_dedup"](spark, spark.createDataFrame(exact, df.schema), str(tmp_path)).collect()
+    sets, group = {r.doc_id: shingles(r.text, 5) for r in exact}, {r.doc_id: r.doc_id for r in exact}
+    for _ in exact:
+        for a, b in combinations(sorted(sets), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group[a] = group[b] = min(group[a], group[b])
+        if all(group[g] == g for g in group.values()):
+            break
+    assert sorted(r.doc_id for r in near) == sorted(set(group.values())) and 202 not in {r.doc_id for r in near}
+
+    mixed = stage["mixing"](spark, spark.createDataFrame(near, df.schema), str(tmp_path)).collect()
+    sizes = {s: sum(len((r.text or "").split()) for r in near if r.source == s) for s in ("a", "b", None)}
+    total = sum(sizes.values())
+    targets = {"a": min(3 * sizes["a"], total / 3), "b": min(3 * sizes["b"], total * 2 / 3)}  # null holds no words and stops at 0
+    for s, target in targets.items():
+        assert abs(sum(len(r.text.split()) for r in mixed if r.source == s) - target) <= 90
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in near} and all(r._block == "kept" for r in mixed)
+
+    packed = stage["packing"](spark, spark.createDataFrame(mixed, df.schema), str(tmp_path)).collect()
+    coder = tokens.encoder(tokens.default_tokenizer())
+    ids = {r.doc_id: np.array(coder.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [tokens.END_ID], "<u4") for r in mixed}
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed) == sorted((r.doc_id, at, len(ids[r.doc_id][at : at + 4096]), zlib.crc32(ids[r.doc_id][at : at + 4096].tobytes()), len(ids[r.doc_id])) for r in mixed for at in range(0, len(ids[r.doc_id]), 4096))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
