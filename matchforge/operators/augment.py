@@ -59,3 +59,17 @@ def hypotheses(known: DataFrame, cells: DataFrame, keys: list[str], strength: fl
     out = table.join(cells, keys, "left")
     n = F.coalesce("n", F.lit(0.0))
     return out.select(*keys, M.bayes_rate(F.coalesce("rate", F.lit(0.5)), n, 0.5, strength).alias("prior"), n.alias("n"))
+
+
+def surface(df: DataFrame, allowed: list[str], keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Keys and the columns of a feature surface. A wanted column that the surface does not allow, or that is missing, is an error."""
+    wanted = allowed if columns is None else columns
+    if wrong := sorted((set(wanted) - set(allowed)) | (set(wanted) - set(df.columns))):
+        raise ValueError(f"not columns of this surface: {wrong}")
+    return df.select(*keys, *wanted)
+
+
+def level_matrix(level: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Unique keys with `features`, an array of doubles in the order given; nulls are 0."""
+    vector = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    return level.select(*keys, vector.alias("features")).dropDuplicates(keys)

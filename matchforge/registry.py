@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchforge.plans import metric_queries, more_queries, shred_queries  # noqa: F401  these register their queries
+from matchforge.plans import metric_queries, more_queries, shred_queries, source_queries  # noqa: F401  these register their queries
 from matchforge.plans import queries as plans
 
 
