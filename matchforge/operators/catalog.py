@@ -56,10 +56,10 @@ def joint_worlds(games: DataFrame, slots: str = "slots", k: int = 3, width: int
     start = F.array(F.struct(F.lit(-1.0).alias("weight"), F.array().cast("array<string>").alias("builds")))
 
     def grow(worlds, slot):
-        made = F.flatten(F.transform(worlds, lambda w: F.transform(best(slot), lambda x: F.struct((w["weight"] * -x["p"]).alias("weight"), F.concat(w["builds"], F.array(x["build"])).alias("builds")))))
+        made = F.flatten(F.transform(worlds, lambda w: F.transform(slot, lambda x: F.struct((w["weight"] * -x["p"]).alias("weight"), F.concat(w["builds"], F.array(x["build"])).alias("builds")))))
         return F.slice(F.array_sort(made), 1, width)
 
-    out = games.withColumn("_worlds", F.aggregate(F.col(slots), start, grow)).drop(slots)
+    out = games.withColumn("_worlds", F.aggregate(F.transform(slots, best), start, grow)).drop(slots)
     rows = out.select(*[x for x in out.columns if x != "_worlds"], F.posexplode("_worlds").alias("world", "_w")).select("*", F.col("_w.builds").alias("builds"), (-F.col("_w.weight")).alias("weight")).drop("_w")
     keys = [x for x in out.columns if x != "_worlds"]
     before = F.coalesce(F.sum("weight").over(Window.partitionBy(*keys).orderBy("world").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from matchforge.functions.scalar import bitmask
 from matchforge.operators.windows import suffix_rate
@@ -66,6 +67,22 @@ def team_totals(players: DataFrame) -> DataFrame:
     return players.groupBy("matchid").agg(*aggs).select("matchid", F.inline(F.array(side(100, 200), side(200, 100))))
 
 
+def with_team_totals(players: DataFrame) -> DataFrame:
+    """Participants with the totals of team_totals, by one window over the match: rows are not grouped and joined again."""
+    match = Window.partitionBy("matchid")
+    per_minute = (F.col("totalminionskilled") + F.col("neutralminionskilled")) * 60.0 / F.col("timeplayed")
+    lane = (F.col("teamposition") != "UTILITY") & (F.col("timeplayed") > 0)
+    sums = {}
+    for t in (100, 200):
+        mine = F.col("teamid") == t
+        sums |= {f"_{x}_{t}": F.coalesce(F.sum(F.when(mine, F.col(x))).over(match), F.lit(0)) for x in ("kills", "deaths", "damage")}
+        sums[f"_cs_{t}"] = F.coalesce(F.avg(F.when(mine & lane, per_minute)).over(match), F.lit(0.0))
+    own = lambda x: F.when(F.col("teamid") == 100, F.col(f"_{x}_100")).when(F.col("teamid") == 200, F.col(f"_{x}_200"))
+    other = lambda x: F.when(F.col("teamid") == 100, F.col(f"_{x}_200")).when(F.col("teamid") == 200, F.col(f"_{x}_100"))
+    out = players.withColumns(sums)
+    return out.withColumns({"team_kills": own("kills"), "team_deaths": own("deaths"), "team_damage": own("damage"), "enemy_damage": other("damage"), "team_cs": own("cs"), "enemy_cs": other("cs")}).drop(*sums)
+
+
 def team_rules() -> dict[str, Column]:
     c = F.col
     return {
@@ -89,8 +106,7 @@ def participant_flags(players: DataFrame, without: tuple = ()) -> DataFrame:
 
     A flag that is given as a column of its own name is taken over, null as 0; `best_build_value` gives low_build_value.
     """
-    teams = team_totals(players)
-    joined = players.join(teams, ["matchid", "teamid"], "left")
+    joined = with_team_totals(players)
     flags = participant_rules() | team_rules() | behaviour_rules(players.columns)
     if "best_build_value" in players.columns:
         flags["low_build_value"] = F.coalesce((F.col("best_build_value") < 0.5).cast("int"), F.lit(0))
@@ -138,9 +154,9 @@ def filter_result(flags: DataFrame) -> DataFrame:
     """Per participant: masks of its own flags (player, team), of the whole game, and whether the game is valid."""
     own = [(F.col(b), i) for b, i in BITS.items() if b not in TEAM]
     team = [(F.col(b), i) for b, i in BITS.items() if b in TEAM]
-    game = flags.groupBy("matchid").agg(*[F.max(b).alias(b) for b in BITS]).select("matchid", bitmask([(F.col(b), i) for b, i in BITS.items()]).alias("rule_mask"))
     mine = flags.select("matchid", "participantid", bitmask(own).alias("player_rule_mask"), bitmask(team).alias("team_rule_mask"))
-    return mine.join(game, "matchid").withColumn("is_valid", (F.col("rule_mask") == 0).cast("int"))
+    game = F.bit_or(F.col("player_rule_mask").bitwiseOR(F.col("team_rule_mask"))).over(Window.partitionBy("matchid"))
+    return mine.withColumn("rule_mask", game).withColumn("is_valid", (F.col("rule_mask") == 0).cast("int"))
 
 
 def filter_statistics(flags: DataFrame) -> DataFrame:
