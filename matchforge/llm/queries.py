@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null roles and texts are empty; ties in `turn` are ordered by role and text; repeated rows are turns of their own."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -20,48 +21,58 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts hold the end id only; repeated rows are documents of their own; an empty table writes no shard."""
     shards = token_shards.write_shards(_table(spark, sf_dir, "documents"))
     return token_shards.read_shards(shards).select("slot", "sequence", "shard", "offset", "tokens", "ids_crc32")
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html is an empty payload, null urls are empty, any character of a url comes back; rows of equal id are records of their own."""
     records = warc_zstd.read_archives(warc_zstd.write_archives(_table(spark, sf_dir, "pages")), payloads=False)
     number = lambda c: F.expr(f"try_cast(nullif(substring({c}, 10), '') as bigint)")  # noqa: E731  after urn:page:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are scored like texts without any term; repeated rows are scored alike."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no perplexity and are kept; null languages have the limits over all trusted texts."""
     model = quality_lm.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality_lm.judge(model).select("doc_id", "lang", "symbols", "perplexity", "threshold", "compressed", "least", "kept")
 
 
 def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, empty and word-free texts are linked with nothing; rows of equal sets are linked; an empty table gives no rows."""
     found = minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts hold the end id only; repeated rows are documents of their own; an empty table gives no rows."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op8_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null or hold null or non-finite components take no part; ties go to the smaller id."""
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
 def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null counts as empty, and all texts of white space only are equal; repeated rows are members of their group."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 0 and are never taken; null is a source; repeated rows are documents of their own."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five stages over all documents; see corpus_pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
