@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame, written as Parquet in the shared folder and read again. All but
 the last return the columns of `documents`. SQL expresses neither the language model, the near-duplicate search nor the
-packing, so ORACLE_SQL is None and the tests hold the stages against brute force.
+packing, so ORACLE_SQL is None and the tests hold every stage's rows against brute force on a small fixture. Empty tables give
+empty results, repeated rows are rows of their own, and extra columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ from matchforge.llm._common import write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model rejects go; null and empty texts stay, as nothing speaks against them."""
     return quality_lm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space one row stays, also of null and empty ones."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicate groups one row stays; texts without words stay all."""
     return minmax_dedup.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources come near their targets; texts without words go."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens; null texts hold the end id only."""
     return packing.pack_documents(docs)
 
 
