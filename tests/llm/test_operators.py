@@ -142,6 +142,30 @@ def test_large_near_group_with_a_common_passage(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(label))
 
 
+def test_near_duplicates_of_a_whole_table_against_brute_force(spark):
+    """Recall on all documents of sf0.01: every component of the exact links is found, and no other."""
+    from matchforge.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, shingles(r.text, 3)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    by_size = sorted((r for r in rows if r[1]), key=lambda r: len(r[1]))
+    label, links = {i: i for i, _ in rows}, []
+    for i, (a, x) in enumerate(by_size):
+        for b, y in by_size[i + 1 :]:
+            if 100 * len(x) < 85 * len(y):
+                break
+            if 100 * len(x & y) >= 85 * len(x | y):
+                links.append((a, b))
+    for _ in links:
+        old = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            break
+    got = {r.doc_id: r.component_id for r in queries.op6_minmax_dedup(spark, sf).collect()}
+    assert len(links) > 50 and got == label
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(100, 5), (7, 100)], "a long, b long")
     got = {r.node: r.component for r in components.components(df).collect()}
