@@ -241,6 +241,7 @@ def joined_components(seen: DataFrame, sets: DataFrame, percent: int) -> DataFra
     blocks = lambda who: F.ceil(F.greatest(F.sum(who.cast("long")) / BLOCK, F.sum(F.when(who, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int")
     bins = binned.groupBy("hub", "bin").agg(blocks(F.lit(True)).alias("mb"), blocks(F.col("outside")).alias("ub"))
     plan = bins.groupBy("hub").agg(F.collect_list(F.struct("bin", "mb", "ub")).alias("bins"), F.sum("ub").alias("open")).where("open > 0").drop("open")
+    plan = write_table(plan, "plan")  # one row a hub, of known size: broadcast if small, else a skewed hub's members are split
     rows = binned.join(plan, "hub").join(sets.hint("merge"), "node")
     own = "try_element_at(filter(bins, x -> x.bin = bin), 1)"
     all_ = f"pmod(xxhash64(node), {own}.mb)"
