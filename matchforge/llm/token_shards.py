@@ -184,8 +184,9 @@ def write_shards(docs: DataFrame, key: int = 20240501, directory: str | None = N
     return Shards(manifest, total, key, sequence, shard_sequences)
 
 
-def read_shards(shards: Shards, start_slot: int = 0) -> DataFrame:
-    """(slot, sequence, shard, offset, tokens, ids) from `start_slot` on, read sequentially shard by shard.
+def read_shards(shards: Shards, start_slot: int = 0, with_ids: bool = True) -> DataFrame:
+    """(slot, sequence, shard, offset, tokens, ids, ids_crc32) from `start_slot` on, read sequentially shard by shard; null ids if
+    they are not wanted, so that only their digests leave the task.
 
     `sequence` is the number before the permutation. A shard whose size does not fit its stride fails the job.
     """
@@ -208,10 +209,13 @@ def read_shards(shards: Shards, start_slot: int = 0) -> DataFrame:
                         count = min(1024, sequences - at)
                         data = f.read(count * stride)
                         slots = np.arange(at, at + count) + shard * per
-                        lengths = [int.from_bytes(data[i * stride : i * stride + LENGTH_BYTES], "little") for i in range(count)]
-                        ids = [data[i * stride + LENGTH_BYTES : i * stride + LENGTH_BYTES + 2 * m] for i, m in enumerate(lengths)]
+                        rows = np.frombuffer(data, np.uint8).reshape(count, stride)
+                        lengths = rows[:, :LENGTH_BYTES].copy().view("<u4").ravel().astype(np.int64)
+                        wide = rows[:, LENGTH_BYTES:].copy().view("<u2").astype("<u4")
+                        crcs = [zlib.crc32(r[:m]) for r, m in zip(wide, lengths)]
+                        ids = [data[i * stride + LENGTH_BYTES : i * stride + LENGTH_BYTES + 2 * m] if with_ids else None for i, m in enumerate(lengths)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(slots, pa.int64()), pa.array(feistel(slots, total, key, inverse=True), pa.int64()), pa.array([shard] * count, pa.int64()), pa.array((np.arange(at, at + count)) * stride, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()) for b in ids], pa.int64())],
+                            [pa.array(slots, pa.int64()), pa.array(feistel(slots, total, key, inverse=True), pa.int64()), pa.array([shard] * count, pa.int64()), pa.array((np.arange(at, at + count)) * stride, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(crcs, pa.int64())],
                             ["slot", "sequence", "shard", "offset", "tokens", "ids", "ids_crc32"],
                         )
 
