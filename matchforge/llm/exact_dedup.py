@@ -15,14 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm._common import SPACES, located, write_table
+from matchforge.llm._common import located, write_table
 
 BLOCK_BYTES = 4096
+SPACE_PATTERN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def without_spaces(text):
     """The text without ASCII white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_PATTERN, "")
 
 
 def _blocks(content, n_blocks, size: int):
