@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchforge.llm import chat_format, exact_dedup, minmax_dedup, mixing, packing, quality_lm, token_shards, topk_search, toxicity, warc_zstd
+from matchforge.llm import chat_format, exact_dedup, line_runs, minmax_dedup, mixing, packing, periodic_runs, quality_lm, token_shards, topk_search, toxicity, warc_zstd, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,47 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one empty line, which always stays; repeated rows are documents of their own."""
+    rows = line_runs.without_frequent_lines(_table(spark, sf_dir, "documents"), documents=10, least_points=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def planted_period(doc_id: int | None, words: list) -> list:
+    """The words of one document in ten end in a repetition that follows from its id; rows without an id stay as they are."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    block = words[a : a + p]
+    return words[:a] + (block * (-(-(n - a) // p)))[: n - a]
+
+
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no runs; repeated rows are documents of their own."""
+    rows = periodic_runs.repeated_words(_table(spark, sf_dir, "documents"), least=12, rewrite=planted_period)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length AS l, r.start AS s, r.period AS p)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = rows.withColumns({"best": longest, "lines": lines})
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("(-1000 * best.l) div best.p").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null or hold null or non-finite components take no part; see whitening.whitened for other lengths and ties."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five stages over all documents; see corpus_pipeline."""
     import corpus_pipeline
@@ -118,11 +161,25 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
 """
 
+OP11_SQL = """
+WITH l AS (
+  SELECT rowid AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+), k AS (
+  SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
+"""
+
 
 def queries() -> dict:
-    ops = [op1_chat_windows, op2_token_shards, op3_warc_revisits, op4_weak_toxicity, op5_kneser_ney, op6_minmax_dedup, op7_online_packing, op8_segment_topk, op9_block_naming, op10_golden_mix, pipeline]
+    ops = [op1_chat_windows, op2_token_shards, op3_warc_revisits, op4_weak_toxicity, op5_kneser_ney, op6_minmax_dedup, op7_online_packing, op8_segment_topk, op9_block_naming, op10_golden_mix, op11_line_runs, op12_lyndon_runs, op13_lanczos_whitening, pipeline]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": OP3_SQL, "op8_segment_topk": OP8_SQL, "op9_block_naming": OP9_SQL}
+    return {"op3_warc_revisits": OP3_SQL, "op8_segment_topk": OP8_SQL, "op9_block_naming": OP9_SQL, "op11_line_runs": OP11_SQL}
