@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.operators.windows import quantiles
+from matchforge.operators.selection import quantiles
 
 
 def scores(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -28,7 +28,7 @@ def calibration_error(df: DataFrame, p: str = "p", y: str = "y", bins: int = 15)
 
 
 def mass_report(df: DataFrame, mass: str, floor: float = 0.5) -> DataFrame:
-    """p10, p50, least, mean, and share below the floor. Quantiles are found by rank over ranges."""
+    """p10, p50, least, mean, and share below the floor. Quantiles are found by selection."""
     q = quantiles(df.select(F.lit(1).alias("_one"), mass).where(F.col(mass).isNotNull()), ["_one"], mass, {"p10": 0.1, "p50": 0.5})
     rest = df.agg(F.min(mass).alias("least"), F.avg(mass).alias("mean"), F.avg((F.col(mass) < floor).cast("double")).alias("below_floor"))
     return q.crossJoin(rest).drop("_one")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matchforge.functions.scalar import clip, over_one, signed_log
-from matchforge.operators.windows import middle_rows, quantiles
+from matchforge.operators.selection import middle_rows, quantiles
 
 
 def identity_base(players: DataFrame, keys: list[str], stats: list[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def versus_opponent(players: DataFrame, stats: list[str]) -> DataFrame:
 
 
 def median_mad(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long table (metric, median, mad): exact medians of rows of metric and value, found by rank over ranges."""
+    """Long table (metric, median, mad): exact medians of rows of metric and value, found by selection."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value is not null")
     centre = quantiles(long, ["metric"], "value", {"median": 0.5})
     spread = long.join(centre, "metric").select("metric", F.abs(F.col("value") - F.col("median")).alias("value"))
@@ -112,7 +112,7 @@ def temporal_events(events: DataFrame) -> DataFrame:
 def temporal_standardise(df: DataFrame, keys: list[str], bucket: str, value: str, limit: float = 8.0) -> DataFrame:
     """keys, bucket, mask (1 where observed), z: signed log by the median and MAD of its bucket, cut at the limit; 0 where unobserved.
 
-    Medians are the middle row of each bucket (the lower of two), found by rank over ranges.
+    Medians are the middle row of each bucket (the lower of two), found by selection.
     """
     logged = df.select(*keys, bucket, signed_log(F.col(value).cast("double")).alias("_v"))
     centre = middle_rows(logged.where("_v is not null"), [bucket], "_v").withColumnRenamed("_v", "_m")

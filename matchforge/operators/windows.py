@@ -1,4 +1,4 @@
-"""Window and order operators: splits, running rates, limits by key, interleaving, rule resolution."""
+"""Window and order operators: running rates, limits by key, interleaving, rule resolution."""
 
 from __future__ import annotations
 
@@ -9,59 +9,6 @@ from pyspark.sql.window import Window
 from matchforge.functions.scalar import hash32
 
 
-def part_ranks(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    """Add `_rank` (from 1 in the order of `order`; ties may take either place) and `_n`, the size of the part.
-
-    The values of the first order column are cut at bounds (approximate quantiles, one number for each shuffle partition), so a
-    part is sorted by many tasks: rows are numbered inside (part, range), and the counts of ranges, one row each, are added up
-    in order. Only rows with one and the same value of that column are bound to meet in a task. Nulls come first.
-    """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = F.col(order[0])
-    if dict(df.dtypes)[order[0]].startswith("timestamp"):
-        first = F.unix_micros(first.cast("timestamp"))
-    held = df.agg(F.percentile_approx(first, [i / n for i in range(1, n)] or [0.5], F.lit(10_000))).first()[0] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(held))]) if held else F.array().cast("array<double>")
-    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < first)))
-    rows = rows.withColumn("_range", F.coalesce("_range", F.lit(-1)))
-    inside = F.row_number().over(Window.partitionBy(*part, "_range").orderBy(*order))
-    every = Window.partitionBy(*[f"_p_{p}" for p in part])
-    before = F.coalesce(F.sum("_c").over(every.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = rows.groupBy(*[F.col(p).alias(f"_p_{p}") for p in part], F.col("_range").alias("_r")).agg(F.count("*").alias("_c"))
-    offsets = counts.select(*[f"_p_{p}" for p in part], "_r", before.alias("_before"), F.sum("_c").over(every).alias("_n"))
-    same = F.col("_range") == F.col("_r")
-    for p in part:
-        same = same & F.col(p).eqNullSafe(F.col(f"_p_{p}"))
-    out = rows.withColumn("_in", inside).join(offsets, same).withColumn("_rank", F.col("_in") + F.col("_before"))
-    return out.select(*df.columns, "_rank", "_n")
-
-
-def quantiles(df: DataFrame, part: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles of each part, straight between neighbours: one column per name in `shares`."""
-    ranked = part_ranks(df.select(*part, value), part, [value])
-    aggs = []
-    for name, share in shares.items():
-        at = (F.col("_n") - 1) * F.lit(float(share)) + 1
-        low, high = F.floor(at), F.ceil(at)
-        pick = lambda k: F.max(F.when(F.col("_rank") == k, F.col(value)))
-        aggs += [pick(low).alias(f"_{name}_low"), pick(high).alias(f"_{name}_high"), F.max(at - low).alias(f"_{name}_part")]
-    out = ranked.groupBy(*part).agg(*aggs)
-    return out.select(*part, *[(F.col(f"_{k}_low") + (F.col(f"_{k}_high") - F.col(f"_{k}_low")) * F.col(f"_{k}_part")).alias(k) for k in shares])
-
-
-def middle_rows(df: DataFrame, part: list[str], value: str) -> DataFrame:
-    """The middle value of each part, the lower of two."""
-    ranked = part_ranks(df.select(*part, value), part, [value])
-    return ranked.where(F.col("_rank") == F.floor((F.col("_n") + 1) / 2)).select(*part, value)
-
-
-def chrono_split(df: DataFrame, part: list[str], order: list, share: float = 0.8) -> DataFrame:
-    """`split`: the first floor(share * n) rows of a part, one at least, train; the rest test. No part is sorted in one task."""
-    ranked = part_ranks(df, part, order)
-    keep = F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(1))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= keep, "train").otherwise("test")).drop("_rank", "_n")
-
-
 def suffix_rate(df: DataFrame, part: list[str], order: list, won: str) -> DataFrame:
     """Games and wins from the newest row to this one; `order` has to end in a unique key."""
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -93,10 +40,3 @@ def resolve_rules(rules: DataFrame, targets: DataFrame, scopes: list[str]) -> Da
     found = targets.join(r, match).withColumn("_special", special)
     place = F.row_number().over(Window.partitionBy(*targets.columns).orderBy(F.desc("_special"), F.desc("priority"), "rule_id"))
     return found.withColumn("_place", place).where("_place = 1").select(*targets.columns, "rule_id")
-
-
-def equal_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """part, low, high, n: ranges of equally many distinct keys, in their order, by rank over ranges."""
-    ranked = part_ranks(df.select(F.lit(0).alias("_one"), key).distinct(), ["_one"], [key])
-    part = F.least(F.floor((F.col("_rank") - 1) * parts / F.col("_n")), F.lit(parts - 1)).cast("int")
-    return ranked.groupBy(part.alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))

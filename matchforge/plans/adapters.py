@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from matchforge.functions.derived import NAMES, inputs
 from matchforge.functions.formulas import FRAME, QUANTITY, TOTAL
 from matchforge.functions.scalar import ROLES, nearest_minute
-from matchforge.operators.windows import chrono_split
+from matchforge.operators.selection import chrono_split
 from matchforge.sources.shred import EVENTS as SHREDDED
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from matchforge.functions import scalar as S
 from matchforge.functions import smoothing as M
-from matchforge.operators import augment, catalog, combos, correct, evaluate, filters, incremental, joins, profiles, reports, windows
+from matchforge.operators import augment, catalog, combos, correct, evaluate, filters, incremental, joins, profiles, reports, selection, windows
 from matchforge.plans.adapters import EVENTS, TIMELINE, WIDE, match_events, participants, split_players, table, timeline, wide_players
 from matchforge.plans.queries import CATALOG, FIELDS, FLAGS, KEY, QUERIES, SQL, TRAIN, USED, WITH, WITH_SPLIT, _catalog, flat, games, mask_sql, members, pivot, query, r, train
 
@@ -223,7 +223,20 @@ def win8_ranks_and_ranges(spark, d):
 
 @query("SELECT least((i * 8) // n, 7)::INT AS part, min(k) AS low, max(k) AS high, count(*) AS n FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS k FROM orders)) GROUP BY 1")
 def srt7_equal_ranges(spark, d):
-    return windows.equal_ranges(table(spark, d, "orders"), "o_custkey", 8)
+    return selection.equal_ranges(table(spark, d, "orders"), "o_custkey", 8)
+
+
+@query("SELECT ((i * 50) // n)::INT AS part, min(k) AS low, max(k) AS high, count(*) AS n FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT 'EUW1_' || o_orderkey AS k FROM orders)) GROUP BY 1")
+def srt7_text_ranges(spark, d):
+    """Ids as texts that share a prefix, in byte order: 50 ranges."""
+    return selection.equal_ranges(table(spark, d, "orders").select(F.concat(F.lit("EUW1_"), "o_orderkey").alias("id")), "id", 50)
+
+
+@query("SELECT l_returnflag, k AS middle FROM (SELECT l_returnflag, 'SKU-' || l_partkey AS k, row_number() OVER (PARTITION BY l_returnflag ORDER BY 'SKU-' || l_partkey) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i = (n + 1) // 2")
+def agg17_middle_text(spark, d):
+    """The middle of text keys with many ties, per part."""
+    li = table(spark, d, "lineitem").select("l_returnflag", F.concat(F.lit("SKU-"), "l_partkey").alias("middle"))
+    return selection.middle_rows(li, ["l_returnflag"], "middle")
 
 
 @query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")

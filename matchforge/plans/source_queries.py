@@ -7,16 +7,21 @@ import uuid
 from pyspark.sql import functions as F
 
 from matchforge.functions import derived
-from matchforge.operators import augment, latent, profiles, windows
+from matchforge.operators import augment, latent, profiles
 from matchforge.plans.adapters import RAW, WIDE, table, wide_players
 from matchforge.plans.metric_queries import AXES, _axes, off
 from matchforge.plans.queries import FIELDS, query, r
 from matchforge.sources import readers
+from matchforge.sources.replacing import ReplacingTable
 
 
 def _path(spark, name: str) -> str:
-    """A new path in the folder that all machines share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that all machines share; without one, a local folder on local masters only."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = "file:///tmp/checkpoints/matchforge"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,13 +55,23 @@ def src6_append_runs(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0")
 def src7_full_refresh(spark, d):
-    """Truncate and insert: the second write is what is there (SRC-7); rows of some customers are deleted by key (SRC-8)."""
-    path, o = _path(spark, "refresh"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    readers.overwrite(o.where("o_custkey % 2 = 1"), path)
-    readers.overwrite(o, path)
-    kept = _path(spark, "kept")
-    readers.rewrite_without(spark.read.parquet(path), o.where("o_custkey % 2 = 1"), ["o_custkey"], kept)
-    return spark.read.parquet(kept)
+    """Truncate and insert in one step (SRC-7); then rows of some customers are deleted, in the slices that hold them (SRC-8)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    held = ReplacingTable(spark, _path(spark, "refresh"), ["o_orderkey"], buckets=8)
+    held.replace_all(o.where("o_custkey % 2 = 1"))
+    held.replace_all(o)
+    held.delete(o.where("o_custkey % 2 = 1").select("o_custkey"))
+    return held.read()
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 10 = 3)")
+def src8_delete_touched(spark, d):
+    """Matches of some players are deleted by id; slices without such a match keep their files."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    held = ReplacingTable(spark, _path(spark, "delete"), ["o_orderkey"], buckets=16)
+    held.merge(o)
+    held.delete(table(spark, d, "lineitem").where("l_suppkey % 10 = 3").select(F.col("l_orderkey").alias("o_orderkey")))
+    return held.read()
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0)")
@@ -69,10 +84,35 @@ def src9_backup(spark, d):
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM orders) WHERE i = 1")
 def src10_replacing_table(spark, d):
-    """Of rows with equal keys the newest stays, after two batches of which the second repeats rows of the first."""
+    """One row per entity across all runs: the newest stays, after three batches of which the last brings older rows again."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderdate")
-    both = o.unionByName(o.where("o_orderkey % 3 = 0"))
-    return windows.limit_by(both, ["o_custkey", "o_orderpriority"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 1).select("o_custkey", "o_orderpriority", "o_orderkey")
+    held = ReplacingTable(spark, _path(spark, "entities"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], buckets=16)
+    for rest in (1, 2, 0):
+        held.merge(o.where(F.col("o_orderkey") % 3 == rest))
+    held.merge(o.where("year(o_orderdate) = 1993"))
+    return held.read().select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderpriority, o_orderdate, max(o_orderkey) AS run_id, count(*) AS seen FROM orders WHERE year(o_orderdate) IN (1994, 1996) GROUP BY ALL")
+def src10_versioned_rows(spark, d):
+    """Versions are rows: the key ends in the time and the run; partitioned by year, of which two are read."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderdate", F.col("o_orderkey").alias("run_id"))
+    held = ReplacingTable(spark, _path(spark, "versions"), ["o_custkey", "o_orderpriority", "o_orderdate", "run_id"], partition=F.year("o_orderdate"), buckets=2)
+    held.merge(o)
+    held.merge(o.where("run_id % 5 = 0"))  # sent again: nothing doubles
+    rows = held.read(partitions=[1994, 1996])
+    return rows.groupBy("o_custkey", "o_orderpriority", "o_orderdate").agg(F.max("run_id").alias("run_id"), F.count("*").alias("seen"))
+
+
+@query("SELECT year(o_orderdate)::INT AS run_id, o_custkey, max(o_totalprice) AS o_totalprice FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY ALL")
+def src10_run_snapshots(spark, d):
+    """Snapshots by run: the key leads with the run, readers take the newest run only, older runs are deleted."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("run_id"), "o_custkey", "o_totalprice", F.year("o_orderdate").alias("stored_at"))
+    held = ReplacingTable(spark, _path(spark, "snapshots"), ["run_id", "o_custkey"], ["stored_at", "o_totalprice"], buckets=8)
+    held.merge(o.where("run_id % 2 = 0"))
+    held.merge(o)
+    held.delete(F.col("run_id") < 1995)
+    return held.latest_run("run_id", "stored_at").drop("stored_at")
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::INT AS day_year FROM orders WHERE year(o_orderdate) >= 1997")

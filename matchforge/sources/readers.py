@@ -37,6 +37,7 @@ def rewrite_without(df: DataFrame, keys: DataFrame, on: list[str], path: str) ->
 
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Write a table that nobody reads meanwhile: what was there goes first. ReplacingTable.replace_all keeps readers whole."""
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 

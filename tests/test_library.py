@@ -154,12 +154,6 @@ def test_mask_grain(spark):
     assert got == {1: (1, 0, 1, 0), 2: (0, 0, 1, 0)}
 
 
-def test_chrono_split_of_one_game(spark):
-    df = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0)], "p int, t int")
-    got = windows.chrono_split(df, ["p"], ["t"]).orderBy("p", "t").collect()
-    assert [r.split for r in got] == ["train"] * 4 + ["test", "train"]
-
-
 def test_streaming_tables(spark, tmp_path):
     from matchforge.streaming import ingest
 
@@ -189,18 +183,6 @@ def test_two_streams_become_one_row_per_match(spark, tmp_path):
     assert got == {(i, f"s{i}", f"t{i}") for i in range(10, 20)}
 
 
-def test_ranks_and_quantiles_of_parts(spark):
-    rows = [("a", float(v)) for v in (5, 1, 3, 3, 9, 2)] + [("b", 4.0), (None, 7.0)]
-    df = spark.createDataFrame(rows, "p string, v double")
-    ranked = windows.part_ranks(df, ["p"], ["v"]).collect()
-    assert sorted((r.v, r._rank) for r in ranked if r.p == "a") in ([(1.0, 1), (2.0, 2), (3.0, 3), (3.0, 4), (5.0, 5), (9.0, 6)],)
-    assert {(r.p, r._n) for r in ranked} == {("a", 6), ("b", 1), (None, 1)}
-    q = {r.p: (r.low, r.mid) for r in windows.quantiles(df.where("p is not null"), ["p"], "v", {"low": 0.1, "mid": 0.5}).collect()}
-    assert q["a"] == (pytest.approx(1.5), pytest.approx(3.0)) and q["b"] == (4.0, 4.0)
-    assert windows.part_ranks(df.where("false"), ["p"], ["v"]).count() == 0
-    assert windows.chrono_split(df.where("false"), ["p"], ["v"]).count() == 0
-
-
 def test_nulls_and_empty_tables(spark):
     from matchforge.operators import augment, event_metrics, joins, semantic
 
