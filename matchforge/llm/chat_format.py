@@ -28,7 +28,9 @@ WINDOWS = "conv_id long, window long, formatted string, loss_spans array<struct<
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, windows long"
 _MARK = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\]|\\\\|\\###|\\</turn>)*?) </turn>\n", re.S)
+_HEAD = re.compile(r"### ((?:[^\\:]|\\.)*): ", re.S)
+#: Ends a turn; inside a text the mark is escaped, so a backslash stands before it in place of the space.
+_END = " </turn>\n"
 
 
 def escape(text: str) -> str:
@@ -55,14 +57,18 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def parse_turns(formatted: str):
-    """(role, text, start, end) of each turn of a formatted window; start and end span the escaped text."""
+    """(role, text, start, end) of each turn of a formatted window; start and end span the escaped text.
+
+    A turn's end is found by search, so a turn of any length takes no memory beyond its text.
+    """
     at = 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        m = _HEAD.match(formatted, at)
+        end = formatted.find(_END, m.end()) if m else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        yield _role_in(m[1]), unescape(m[2]), m.start(2), m.end(2)
-        at = m.end()
+        yield _role_in(m[1]), unescape(formatted[m.end() : end]), m.end(), end
+        at = end + len(_END)
 
 
 def count_tokens(role: str, text: str, codes) -> int:

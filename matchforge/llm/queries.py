@@ -25,7 +25,7 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts hold the end id only; repeated rows are documents of their own; an empty table writes no shard."""
     shards = token_shards.write_shards(_table(spark, sf_dir, "documents"))
-    return token_shards.read_shards(shards, with_ids=False).select("slot", "sequence", "shard", "offset", "tokens", "ids_crc32")
+    return token_shards.read_shards(shards).select("slot", "sequence", "shard", "offset", "tokens", "ids", "ids_crc32")
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

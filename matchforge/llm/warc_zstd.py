@@ -145,14 +145,14 @@ def with_revisits(pages: DataFrame, id_col: str, url: str, body: str, min_bytes:
     """page_id, uri, payload, sha1, payload_bytes, record_type, refers_to.
 
     Of equal payloads of at least `min_bytes`, rows of the largest id are responses (all of them where that id repeats;
-    where all ids are null, every row is), the others revisit it. Equality is that of SHA-1 and length.
+    where all ids are null, every row is), the others revisit it. Equality is that of SHA-256, SHA-1 and length.
     """
     payload = F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    large = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("first_page"), F.count("*").alias("n"))
-    copies = write_table(large.where("n > 1 and first_page is not null").select("sha1", "payload_bytes", "first_page"), "copies")
-    rows = rows.join(copies, ["sha1", "payload_bytes"], "left")
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    large = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha256", "sha1", "payload_bytes").agg(F.max("page_id").alias("first_page"), F.count("*").alias("n"))
+    copies = write_table(large.where("n > 1 and first_page is not null").select("sha256", "sha1", "payload_bytes", "first_page"), "copies")
+    rows = rows.join(copies, ["sha256", "sha1", "payload_bytes"], "left")
     again = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     return rows.select("page_id", "uri", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "sha1", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_page")).alias("refers_to"))
 

@@ -547,3 +547,18 @@ def test_pipeline_stages(spark):
         if name in ("exact_dedup", "near_dedup"):
             assert docs.select("doc_id").distinct().count() == counts[-1]
     assert counts[0] >= counts[1] > counts[2] >= counts[3] > 0 and counts[5] > 0
+
+
+def test_turns_of_fifty_million_characters_are_parsed_in_little_memory():
+    import tracemalloc
+
+    text = ("\\ ### </turn> " + "x" * 86) * 500_000
+    formatted = chat.format_turn("user", text)[0] + chat.format_turn("assistant", "")[0]
+    assert len(text) == 50_000_000
+    tracemalloc.start()
+    turns = [(role, len(t), t == text) for role, t, _, _ in chat.parse_turns(formatted)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert turns == [("user", len(text), True), ("assistant", 0, False)] and peak < 500_000_000
+    with pytest.raises(ValueError):
+        list(chat.parse_turns("### user: never ends"))
