@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -44,26 +45,91 @@ def eligibility_pool(catalog: DataFrame) -> DataFrame:
     return catalog.where("tier = 'core'").join(slot, ["championid", "teamposition"]).select("championid", "teamposition", "build", (F.col("p") * F.col("role_share")).alias("weight"))
 
 
-def joint_worlds(games: DataFrame, slots: str = "slots", k: int = 3, width: int = 128, stop: float = 0.9) -> DataFrame:
+def _merged(a, b, width: int):
+    """The `width` largest products of two falling lists of weights, with the places they come from.
+
+    The pair at (i, j) has (i + 1)(j + 1) - 1 pairs at least as large, so only pairs with (i + 1)(j + 1) <= width can be among them:
+    width * log(width) pairs, not width^2.
+    """
+    import numpy as np
+
+    if len(a) * len(b) <= 4 * width:
+        i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+    else:
+        take = np.minimum(len(b), width // np.arange(1, min(len(a), width) + 1))
+        i = np.repeat(np.arange(len(take)), take)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(take) - take, take)
+    made = a[i] * b[j]
+    best = np.argsort(-made, kind="stable")[:width]
+    return made[best], i[best], j[best]
+
+
+def top_choices(slots: list, width: int):
+    """(weights, choices): the `width` joint choices of the largest products, one column of choices per slot, by falling weight.
+
+    `slots` are falling arrays of probabilities; halves are merged in a tree.
+    """
+    import numpy as np
+
+    if not slots or any(len(p) == 0 for p in slots):
+        return np.zeros(0), np.zeros((0, len(slots)), np.int64)
+    held = [(np.asarray(p, np.float64)[:width], np.arange(min(len(p), width))[:, None]) for p in slots]
+    while len(held) > 1:
+        pairs = []
+        for x, y in zip(held[::2], held[1::2]):
+            w, i, j = _merged(x[0], y[0], width)
+            pairs.append((w, np.concatenate([x[1][i], y[1][j]], axis=1)))
+        held = pairs + ([held[-1]] if len(held) % 2 else [])
+    return held[0]
+
+
+def joint_worlds(games: DataFrame, slots: str = "slots", k: int = 3, width: int = 512, stop: float = 0.9) -> DataFrame:
     """Most likely joint choices, one row per world: game columns, world (from 0), builds, weight.
 
-    `slots` is an array, per slot, of arrays of (build, p). Each slot keeps its `k` likeliest; prefixes are folded slot by
-    slot and cut to the `width` likeliest, which is exact because a prefix of a top world is a top prefix. Worlds are kept
-    until their mass reaches `stop`, the one that crosses it included; weights are not scaled. Choices of no mass are dropped.
+    `slots` is an array, per slot, of arrays of (build, p), any number of them. Each slot keeps its `k` likeliest choices (ties by build);
+    of their products the `width` largest are found exactly. Worlds are kept until their mass reaches `stop`, the one that crosses
+    it included; weights are not scaled. Choices of no mass are dropped; a game with a slot that has none, or without slots, has no
+    world. Narrow: a game's worlds are made where it stands.
     """
-    order = lambda w: F.struct((-w["weight"]).alias("weight"), w["builds"].alias("builds"))
-    best = lambda slot: F.slice(F.array_sort(F.transform(F.filter(slot, lambda x: x["p"] > 0), lambda x: F.struct((-x["p"]).alias("p"), x["build"].alias("build")))), 1, k)
-    start = F.array(F.struct(F.lit(-1.0).alias("weight"), F.array().cast("array<string>").alias("builds")))
-
-    def grow(worlds, slot):
-        made = F.flatten(F.transform(worlds, lambda w: F.transform(slot, lambda x: F.struct((w["weight"] * -x["p"]).alias("weight"), F.concat(w["builds"], F.array(x["build"])).alias("builds")))))
-        return F.slice(F.array_sort(made), 1, width)
-
-    out = games.withColumn("_worlds", F.aggregate(F.transform(slots, best), start, grow)).drop(slots)
-    rows = out.select(*[x for x in out.columns if x != "_worlds"], F.posexplode("_worlds").alias("world", "_w")).select("*", F.col("_w.builds").alias("builds"), (-F.col("_w.weight")).alias("weight")).drop("_w")
-    keys = [x for x in out.columns if x != "_worlds"]
-    before = F.coalesce(F.sum("weight").over(Window.partitionBy(*keys).orderBy("world").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("_before", before).where(F.col("_before") < stop).drop("_before")
+    best = lambda slot: F.slice(F.array_sort(F.transform(F.filter(slot, lambda x: x["p"] > 0), lambda x: F.struct((-x["p"]).alias("p"), x["build"].cast("string").alias("build")))), 1, k)
+    keys = [c for c in games.columns if c != slots]
+    held = games.where(F.col(slots).isNotNull()).select(*keys, F.transform(slots, best).alias("_slots"))
+    schema = T.StructType([f for f in held.schema.fields if f.name != "_slots"]).add("world", T.IntegerType()).add("builds", T.ArrayType(T.StringType())).add("weight", T.DoubleType())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            every = batch.column(len(keys))
+            outer, inner = every.offsets.to_numpy(), every.values.offsets.to_numpy()
+            choices = every.values.values
+            p, builds = -choices.field("p").to_numpy(zero_copy_only=False), choices.field("build")
+            game, weights, picked, sizes = [], [], [], []
+            for g in range(batch.num_rows):
+                starts = inner[outer[g] : outer[g + 1] + 1]
+                found, chosen = top_choices([p[a:b] for a, b in zip(starts, starts[1:])], width)
+                n = int(np.searchsorted(np.cumsum(found), stop)) + 1
+                found, chosen = found[:n], chosen[:n] + starts[:-1]
+                game.append(np.full(len(found), g))
+                weights.append(found)
+                picked.append(chosen.ravel())
+                sizes.append(np.full(len(found), chosen.shape[1]))
+            if not game:
+                continue
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            rows = pa.array(np.concatenate(game))
+            worlds = pa.array(np.concatenate([np.arange(len(w)) for w in weights]), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(offsets), builds.take(pa.array(np.concatenate(picked).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keys))), worlds, lists, pa.array(np.concatenate(weights))], [f.name for f in schema.fields])
+
+    return held.mapInArrow(run, schema)
+
+
+def fallback_counts(slots: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """fallback_source, n: how many slots took their choices from each source; slots that no vector covers count as 'none'."""
+    sources = vectors.select(*keys, "fallback_source").distinct()
+    return slots.join(sources, keys, "left").groupBy(F.coalesce("fallback_source", F.lit("none")).alias("fallback_source")).agg(F.count("*").alias("n"))
 
 
 def marginalise(scored: DataFrame, game: str, weight: str = "weight", score: str = "score", floor: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from matchforge.functions import scalar as S
 from matchforge.functions import smoothing as M
-from matchforge.operators import augment, catalog, combos, correct, evaluate, filters, incremental, joins, profiles, reports, selection, windows
+from matchforge.operators import augment, catalog, combos, correct, evaluate, filters, incremental, joins, profiles, reports, selection, sketches, windows
 from matchforge.plans.adapters import EVENTS, TIMELINE, WIDE, match_events, participants, split_players, table, timeline, wide_players
 from matchforge.plans.queries import CATALOG, FIELDS, FLAGS, KEY, QUERIES, SQL, TRAIN, USED, WITH, WITH_SPLIT, _catalog, flat, games, mask_sql, members, pivot, query, r, train
 
@@ -284,6 +284,30 @@ def agg19_approximate_distinct(spark, d):
     return g.select("o_orderpriority", (F.abs(F.col("a") / F.col("e") - 1) < 0.15).cast("int").alias("close"))
 
 
+@query("""WITH l AS (SELECT 'priority' AS level, o_orderpriority AS key, * FROM orders UNION ALL SELECT 'status', o_orderstatus, * FROM orders UNION ALL SELECT 'all', '', * FROM orders)
+SELECT level, key, count(*) AS rows, count(DISTINCT o_custkey) AS customers, 1 AS hll_close, quantile_disc(o_totalprice, 0.5)::DOUBLE AS middle, count(DISTINCT CASE WHEN year(o_orderdate) < 1995 THEN o_custkey END) AS early FROM l GROUP BY level, key""")
+def agg19_stored_sketches(spark, d):
+    """Sketches of years and back-off levels, stored in a table in which a year that is sent again replaces its rows, and united over years.
+
+    Their sizes make sets and quantiles exact at the scale of the comparison; HyperLogLog is held to 3 per cent.
+    """
+    from matchforge.plans.source_queries import _path
+    from matchforge.sources.replacing import ReplacingTable
+
+    want = [sketches.Sketch("customers", "set", "o_custkey", 18), sketches.Sketch("hll", "distinct", "o_custkey"), sketches.Sketch("prices", "values", "o_totalprice", 32_767)]
+    o = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    levels = {"priority": ["o_orderpriority"], "status": ["o_orderstatus"], "all": []}
+    stored = ReplacingTable(spark, _path(spark, "sketches"), ["year", "level", "key"], partition=F.col("year"), buckets=1)
+    stored.merge(sketches.sketch_levels(o, ["year"], levels, want))
+    stored.merge(sketches.sketch_levels(o.where("year = 1995"), ["year"], levels, want))
+    every = sketches.united(stored.read(), ["level", "key"], want)
+    early = sketches.united(stored.read().where("year < 1995"), ["level", "key"], want[:1]).select("level", "key", sketches.distinct_estimate(want[0]).alias("early"))
+    close = F.abs(sketches.distinct_estimate(want[1]) / sketches.distinct_estimate(want[0]) - 1) < 0.03
+    key = F.coalesce(F.get_json_object("key", "$.o_orderpriority"), F.get_json_object("key", "$.o_orderstatus"), F.lit(""))
+    out = every.select("level", "key", "rows", sketches.distinct_estimate(want[0]).alias("customers"), close.cast("int").alias("hll_close"), sketches.quantile_estimate(want[2], 0.5).alias("middle"))
+    return out.join(early, ["level", "key"], "left").select("level", key.alias("key"), "rows", "customers", "hll_close", "middle", F.coalesce("early", F.lit(0)).alias("early"))
+
+
 # --- joins --------------------------------------------------------------------------------------------------------------
 
 
@@ -367,6 +391,15 @@ def scl4_sanity_checks(spark, d):
 # --- catalogue ------------------------------------------------------------------------------------------------------------
 
 
+@query(WITH_SPLIT + "SELECT CASE WHEN teamposition = 'JUNGLE' THEN 'global' ELSE 'role' END AS fallback_source, count(*) AS n FROM sp GROUP BY 1")
+def cat5_fallback_counts(spark, d):
+    """Sources of the choices of all slots: junglers have no vector of their own here."""
+    every = split_players(spark, d)
+    counts = every.where("split = 'train'").groupBy("championid", "teamposition", "build").agg(F.count("*").alias("n"))
+    vectors = catalog.prior_vector(every.select("teamposition").distinct(), counts.where("teamposition <> 'JUNGLE'"), counts)
+    return catalog.fallback_counts(every.select("teamposition"), vectors, ["teamposition"])
+
+
 @query(WITH_SPLIT + f""", n AS (SELECT teamposition, build, count(*) AS n FROM {TRAIN} GROUP BY ALL), ro AS (SELECT teamposition, build, n / sum(n) OVER (PARTITION BY teamposition) AS share FROM n WHERE teamposition <> 'JUNGLE'), gl AS (SELECT build, sum(n) / (SELECT sum(n) FROM n) AS share FROM n GROUP BY build), w AS (SELECT t.teamposition, b.build FROM (SELECT DISTINCT teamposition FROM n) t, (SELECT DISTINCT build FROM n) b)
 SELECT w.teamposition, w.build, round(CASE WHEN h.teamposition IS NOT NULL THEN coalesce(ro.share, 0) ELSE coalesce(gl.share, 0) END + 1e-9::DOUBLE, 6) AS share, CASE WHEN h.teamposition IS NOT NULL THEN 'role' ELSE 'global' END AS fallback_source FROM w LEFT JOIN ro USING (teamposition, build) LEFT JOIN gl USING (build) LEFT JOIN (SELECT DISTINCT teamposition FROM ro) h USING (teamposition)""")
 def cat2_prior_vector(spark, d):

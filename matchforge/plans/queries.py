@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from matchforge.functions import scalar as S
 from matchforge.functions import smoothing as M
-from matchforge.operators import catalog, combos, correct, evaluate, filters, incremental, joins, labels, profiles, reports, windows
+from matchforge.operators import bins, catalog, combos, correct, evaluate, filters, incremental, joins, labels, profiles, reports, windows
 from matchforge.plans.adapters import EVENTS, PARTICIPANTS, SPLIT, match_events, match_split, participants, split_players, table
 
 QUERIES: dict = {}
@@ -192,6 +192,34 @@ def joi7_scl2_bins(spark, d):
     return reports.bin_centres(table(spark, d, "orders"), "o_totalprice", BINS).withColumn("centre", r("centre", 4))
 
 
+@query("""WITH b AS (SELECT i::INT AS bin, i * 50.0::DOUBLE AS low, CASE WHEN i < 9999 THEN (i + 1) * 50.0::DOUBLE END AS high FROM range(10000) t(i) UNION ALL SELECT (10000 + i)::INT, i * 1000.0::DOUBLE, i * 1000.0::DOUBLE + 3000 FROM range(500) t(i))
+SELECT bin, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN b ON o_totalprice >= low AND (high IS NULL OR o_totalprice < high) GROUP BY bin""")
+def joi7_many_bins(spark, d):
+    """A table of 10,500 bins, some of which overlap, the last of the first kind open at its end."""
+    one = spark.range(10_000).select(F.col("id").cast("int").alias("bin"), (F.col("id") * 50.0).alias("low"), F.when(F.col("id") < 9999, (F.col("id") + 1) * 50.0).alias("high"))
+    two = spark.range(500).select((F.col("id") + 10_000).cast("int").alias("bin"), (F.col("id") * 1000.0).alias("low"), (F.col("id") * 1000.0 + 3000).alias("high"))
+    held = bins.interval_join(table(spark, d, "orders"), one.unionByName(two), "o_totalprice")
+    return held.groupBy("bin").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, sum(l_quantity)::DOUBLE / count(*) AS items, max(l_extendedprice)::DOUBLE / 1000 AS minutes FROM lineitem GROUP BY l_orderkey), b AS (SELECT * FROM (VALUES (1, 5.0, 15.0), (2, 15.0, 25.0), (3, 25.0, 35.0), (4, 35.0, NULL)) t(bin, low, high)),
+a AS (SELECT bin, count(*) AS n, avg(minutes) AS mean FROM m JOIN b ON items >= low AND (high IS NULL OR items < high) GROUP BY bin), c AS (SELECT *, coalesce(lag(mean) OVER (ORDER BY bin), (SELECT min(minutes) FROM m)) AS f FROM a)
+SELECT bin::INT AS bin, n, round(mean, 6) AS mean, round(f, 6) AS "from", round(mean, 6) AS "to", round((f + mean) / 2, 6) AS centroid FROM c""")
+def scl2_chained_bins(spark, d):
+    """Edges in minutes chained from the averages of bins of items."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.sum("l_quantity").cast("double") / F.count("*")).alias("items"), (F.max("l_extendedprice").cast("double") / 1000).alias("minutes"))
+    held = bins.chained_bins(li, spark.createDataFrame([(1, 5.0, 15.0), (2, 15.0, 25.0), (3, 25.0, 35.0), (4, 35.0, None)], "bin int, low double, high double"), "items", "minutes")
+    return held.select("bin", "n", *[r(c).alias(c) for c in ("mean", "from", "to", "centroid")])
+
+
+@query("""WITH c AS (SELECT DISTINCT s_acctbal::DOUBLE * 20 AS c FROM supplier), e AS (SELECT min(c) AS a, max(c) AS z FROM c)
+SELECT o_orderkey, coalesce(l.c, a) AS low, coalesce(h.c, z) AS high FROM (SELECT o_orderkey, o_totalprice::DOUBLE AS v FROM orders) o ASOF LEFT JOIN c l ON o.v >= l.c ASOF LEFT JOIN c h ON o.v <= h.c, e""")
+def joi8_nearest_centres(spark, d):
+    """The centres around each price; the centres come from another table."""
+    centres = table(spark, d, "supplier").select((F.col("s_acctbal").cast("double") * 20).alias("centre"))
+    return bins.nearest_centres(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), centres, "o_totalprice").select("o_orderkey", "low", "high")
+
+
 CENTRES = [5_000.0, 30_000.0, 100_000.0, 200_000.0]
 
 
@@ -452,10 +480,10 @@ def cat7_eligibility_pool(spark, d):
 
 
 #: Slots of a game are its lines, all of them. A line's choices are its part with its supplier and the two next suppliers.
-WORLDS = """WITH RECURSIVE sl AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS s, l_partkey AS pk, l_suppkey AS sk, l_quantity::DOUBLE AS q FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 10)),
+WORLDS = """WITH RECURSIVE sl AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS s, l_partkey AS pk, l_suppkey AS sk, l_quantity::DOUBLE AS q FROM lineitem),
 ch AS (SELECT g, s, pk || '-' || sk AS build, (50 + q) / 110 AS p FROM sl UNION ALL SELECT g, s, pk || '-' || (sk + 1), (60 - q) / 110 * 0.7::DOUBLE FROM sl UNION ALL SELECT g, s, pk || '-' || (sk + 2), (60 - q) / 110 * 0.3::DOUBLE FROM sl),
 w AS (SELECT g, 1 AS s, [build] AS builds, p AS wt FROM ch WHERE s = 1
-  UNION ALL SELECT g, s, builds, wt FROM (SELECT w.g, ch.s, list_append(w.builds, ch.build) AS builds, w.wt * ch.p AS wt, row_number() OVER (PARTITION BY w.g ORDER BY w.wt * ch.p DESC, list_append(w.builds, ch.build)) AS i FROM w JOIN ch ON ch.g = w.g AND ch.s = w.s + 1) WHERE i <= 16),
+  UNION ALL SELECT g, s, builds, wt FROM (SELECT w.g, ch.s, list_append(w.builds, ch.build) AS builds, w.wt * ch.p AS wt, row_number() OVER (PARTITION BY w.g ORDER BY w.wt * ch.p DESC, list_append(w.builds, ch.build)) AS i FROM w JOIN ch ON ch.g = w.g AND ch.s = w.s + 1) WHERE i <= 512),
 n AS (SELECT g, max(s) AS slots FROM sl GROUP BY g), o AS (SELECT w.g, wt AS w, row_number() OVER (PARTITION BY w.g ORDER BY wt DESC, builds) AS world FROM w JOIN n ON n.g = w.g AND n.slots = w.s),
 c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY g ORDER BY world ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 """
@@ -463,13 +491,12 @@ c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY g ORDER BY world ROWS BETWEEN
 
 def _worlds(spark, d):
     li = table(spark, d, "lineitem")
-    whole = li.groupBy("l_orderkey").count().where("count <= 10").select("l_orderkey")
     q = F.col("l_quantity").cast("double")
     choice = lambda step, p: F.struct(F.concat_ws("-", "l_partkey", F.col("l_suppkey") + step).alias("build"), p.alias("p"))
     choices = F.array(choice(0, (50 + q) / 110.0), choice(1, (60 - q) / 110.0 * 0.7), choice(2, (60 - q) / 110.0 * 0.3))
-    rows = li.join(whole, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("g"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", choices.alias("c")).alias("x"))
+    rows = li.select(F.col("l_orderkey").alias("g"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", choices.alias("c")).alias("x"))
     slots = rows.groupBy("g").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]).alias("slots"))
-    return catalog.joint_worlds(slots, "slots", 3, 16, 0.9)
+    return catalog.joint_worlds(slots, "slots", 3, 512, 0.9)
 
 
 @query(WORLDS + "SELECT g, count(*) AS worlds, round(sum(w), 6) AS mass FROM c WHERE before < 0.9 GROUP BY g")

@@ -161,15 +161,18 @@ def pro20_pca_block(spark, d):
     return scores.select("vec_id", *[F.round(F.pow(F.col("scores")[i], 2.0), 4).alias(f"s{i}") for i in range(4)], F.lit(round(sum(explained), 6)).alias("explained"))
 
 
-@query("WITH e AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings WHERE embedding IS NOT NULL) SELECT 2 AS active_dims, round(abs(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b))), 5) AS mean_abs_correlation FROM e")
-def pro21_two_columns(spark, d):
-    return latent.column_diagnostics(table(spark, d, "embeddings"), "embedding", 2).select("active_dims", r("mean_abs_correlation", 5).alias("mean_abs_correlation"))
+@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE embedding IS NOT NULL) SELECT a.i::INT AS i, b.i::INT AS j, count(*) AS n, round(avg(a.x * b.x) - avg(a.x) * avg(b.x) + 1e-12::DOUBLE, 8) AS covariance FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def pro21_covariances(spark, d):
+    """Covariances of all pairs of columns, by partial products per task."""
+    return latent.covariances(table(spark, d, "embeddings"), "embedding").withColumn("covariance", F.round(F.col("covariance") + 1e-12, 8))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL), v AS (SELECT i, var_pop(x) AS v, stddev_pop(x) AS s FROM e GROUP BY i), c AS (SELECT a.i, b.i AS j, corr(a.x, b.x) AS c FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL) SELECT (SELECT count(DISTINCT vec_id) FROM e) AS rows, (SELECT count(*) FROM v WHERE v > 1e-6)::INT AS active_dims, (SELECT round(avg(abs(c)), 6) FROM c) AS mean_abs_correlation, 1 AS rank_in_range")
 def pro21_column_diagnostics(spark, d):
-    e = table(spark, d, "embeddings")
-    return latent.column_diagnostics(e, "embedding", 16)
+    """All columns; the effective rank, which SQL cannot express, lies between 1 and the number of columns (its value is tested by a fixture)."""
+    out = latent.column_diagnostics(table(spark, d, "embeddings"), "embedding")
+    within = (F.col("effective_rank") >= 1) & (F.col("effective_rank") <= F.col("active_dims") + 1e-9)
+    return out.select("rows", "active_dims", r("mean_abs_correlation").alias("mean_abs_correlation"), within.cast("int").alias("rank_in_range"))
 
 
 @query("WITH " + WIDE + ", i AS (SELECT championid, teamposition, build, count(*) AS matchups, sum(kills)::DOUBLE AS kills, sum(deaths)::DOUBLE AS deaths FROM wide GROUP BY ALL) SELECT championid, teamposition, build, round(kills / matchups + 1e-9::DOUBLE, 6) AS kills, round(deaths / matchups + 1e-9::DOUBLE, 6) AS deaths, round(CASE WHEN deaths > 1e-9::DOUBLE THEN (kills / matchups) / (deaths / matchups) ELSE 0 END + 1e-9::DOUBLE, 6) AS kills_to_deaths_ratio FROM i")
