@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchforge.plans.adapters import TIMELINE, timeline
 from matchforge.plans.queries import QUERIES, SQL, WITH, participants, query
+from matchforge.sources import drift
 from matchforge.sources.shred import BEHAVIOUR, CHAMPION_STATS, DAMAGE_STATS, EVENTS, FRAME_STATS, schema_drift, shred_match, shred_timeline
 
 # --- timelines -----------------------------------------------------------------------------------------------------
@@ -184,3 +185,54 @@ def shr15_schema_drift(spark, d):
     raw = raw.withColumn("payload", F.when(F.col("payload").contains("info"), F.col("payload")).otherwise(F.regexp_replace("payload", r"\}$", ',"info":{}}')))
     found = schema_drift(raw, {"$": ["id", "info", "later"], "$.info": ["mode", "version"]})
     return found.withColumn("names", F.array_join("names", ","))
+
+
+#: A payload per order: teams are an object in place of a list in one of five, a team lacks its bans in one of three, one event in seven is
+#: of a type that nobody knows, one in eleven lacks its time; one payload in thirteen is cut off.
+_DRIFT = """'{"info":{"teams":' || CASE WHEN k % 5 = 0 THEN '{"id":1}' ELSE '[{"id":100,"bans":[1,2]},{"id":200' || CASE WHEN k % 3 = 0 THEN ',"extra":null' ELSE ',"bans":[]' END || '}]' END || '},"events":[{"type":"KILL","at":1},{"type":"' || CASE WHEN k % 7 = 0 THEN 'DANCE' ELSE 'WARD' END || '"' || CASE WHEN k % 11 = 0 THEN '' ELSE ',"at":2.5' END || '}]' || CASE WHEN k % 13 = 0 THEN '' ELSE '}' END"""
+_PAYLOADS = f"WITH o AS (SELECT o_orderkey AS matchid, o_orderkey AS k FROM orders), p AS (SELECT *, {_DRIFT} AS payload FROM o), g AS (SELECT * FROM p WHERE k % 13 > 0), t AS (SELECT * FROM g WHERE k % 5 > 0), "
+
+
+def _drift_payloads(spark, d):
+    from matchforge.plans.adapters import table
+
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("matchid"), F.col("o_orderkey").alias("k")).select("matchid", F.expr(_DRIFT).alias("payload"))
+
+
+@query(_PAYLOADS + """f AS (
+SELECT matchid, 'payload' AS object, '$' AS path, 'not_json' AS kind, '' AS names FROM p WHERE k % 13 = 0
+UNION ALL SELECT matchid, 'teams', '$.info.teams', 'expected_list', '' FROM g WHERE k % 5 = 0
+UNION ALL SELECT matchid, 'teams', '$.info.teams[1]', 'missing_keys', 'bans' FROM t WHERE k % 3 = 0
+UNION ALL SELECT matchid, 'teams', '$.info.teams[1]', 'unexpected_keys', 'extra' FROM t WHERE k % 3 = 0
+UNION ALL SELECT matchid, 'bans', '$.info.teams', 'expected_list', '' FROM g WHERE k % 5 = 0
+UNION ALL SELECT matchid, 'bans', '$.info.teams[1]', 'missing_path', 'bans' FROM t WHERE k % 3 = 0
+UNION ALL SELECT matchid, 'bans', '$.info.teams[0].bans[' || i || ']', 'expected_object', '' FROM t, (VALUES (0), (1)) x(i)
+UNION ALL SELECT matchid, 'notes', '$.info', 'missing_path', 'notes' FROM g
+UNION ALL SELECT matchid, 'payload', '$', 'not_json', '' FROM p WHERE k % 13 = 0
+UNION ALL SELECT matchid, 'event', '$.events[1]', 'unknown_event_type', 'DANCE' FROM g WHERE k % 7 = 0
+UNION ALL SELECT matchid, 'event:WARD', '$.events[1]', 'missing_keys', 'at' FROM g WHERE k % 7 > 0 AND k % 11 = 0) SELECT * FROM f""")
+def shr15_drift_findings(spark, d):
+    """Keys, containers, paths and event types that payloads have wrong, one row per finding."""
+    raw = _drift_payloads(spark, d)
+    checks = {
+        "teams": {"path": ["info", "teams", "*"], "required": ["id", "bans"]},
+        "bans": {"path": ["info", "teams", "*", "bans", "*"], "required": ["championId"]},
+        "notes": {"path": ["info", "notes"], "required": []},
+        "feats": {"path": ["info", "feats"], "required": ["x"], "may_lack": True},
+    }
+    events = {"KILL": {"required": ["type", "at"]}, "WARD": {"required": ["type", "at"], "optional": ["by"]}}
+    both = drift.object_drift(raw, checks).unionByName(drift.event_drift(raw, events, ["events"]))
+    return both.select("matchid", "object", "path", "kind", F.array_join("names", ",").alias("names"))
+
+
+@query(_PAYLOADS + """x AS (
+SELECT '$' AS path, CASE WHEN k % 13 = 0 THEN 'INVALID' ELSE 'OBJECT' END AS type FROM p
+UNION ALL SELECT '$.info', 'OBJECT' FROM g UNION ALL SELECT '$.events', 'ARRAY' FROM g UNION ALL SELECT '$.events[*]', 'OBJECT' FROM g, range(2)
+UNION ALL SELECT '$.events[*].type', 'STRING' FROM g, range(2) UNION ALL SELECT '$.events[*].at', 'BIGINT' FROM g UNION ALL SELECT '$.events[*].at', 'DECIMAL' FROM g WHERE k % 11 > 0
+UNION ALL SELECT '$.info.teams', CASE WHEN k % 5 = 0 THEN 'OBJECT' ELSE 'ARRAY' END FROM g UNION ALL SELECT '$.info.teams.id', 'BIGINT' FROM g WHERE k % 5 = 0
+UNION ALL SELECT '$.info.teams[*]', 'OBJECT' FROM t, range(2) UNION ALL SELECT '$.info.teams[*].id', 'BIGINT' FROM t, range(2) UNION ALL SELECT '$.info.teams[*].bans', 'ARRAY' FROM t
+UNION ALL SELECT '$.info.teams[*].bans', 'ARRAY' FROM t WHERE k % 3 > 0 UNION ALL SELECT '$.info.teams[*].bans[*]', 'BIGINT' FROM t, range(2) UNION ALL SELECT '$.info.teams[*].extra', 'VOID' FROM t WHERE k % 3 = 0)
+SELECT path, type, count(*) AS n FROM x GROUP BY ALL""")
+def shr15_observed_paths(spark, d):
+    """All paths and types that payloads hold, found and not listed."""
+    return drift.observed_paths(_drift_payloads(spark, d))
