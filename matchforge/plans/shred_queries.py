@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchforge.plans.adapters import TIMELINE, timeline
 from matchforge.plans.queries import QUERIES, SQL, WITH, participants, query
 from matchforge.sources import drift
-from matchforge.sources.shred import BEHAVIOUR, CHAMPION_STATS, DAMAGE_STATS, EVENTS, FRAME_STATS, schema_drift, shred_match, shred_timeline
+from matchforge.sources.shred import BEHAVIOUR, CHAMPION_STATS, DAMAGE_STATS, EVENTS, FRAME_STATS, schema_drift, shred_match, shred_timeline, stage_matches, stage_timelines, staged_match_tables, staged_timeline_tables
 
 # --- timelines -----------------------------------------------------------------------------------------------------
 
@@ -187,6 +190,33 @@ def shr15_schema_drift(spark, d):
     return found.withColumn("names", F.array_join("names", ","))
 
 
+#: Queries whose SQL tells how many rows the staged tables must have.
+_STAGED = {"metadata": "shr1_metadata", "bans": "shr3_bans", "feats": "shr4_feats", "objectives": "shr5_objectives", "participant_stats": "shr6_behaviour_lifted", "participant_challenges": "shr7_challenges", "participant_perk_values": "shr8_perk_values", "participant_perk_ids": "shr9_perk_ids", "tl_participant_stats": "shr10_participant_frames", "tl_champion_kill": "shr12_champion_kills_of_timelines", "tl_ck_victim_damage_dealt": "shr13_victim_damage_dealt", "tl_ck_victim_damage_received": "shr13_victim_damage_received"}
+_STAGED |= {name: f"shr11_{i}_{name.removeprefix('tl_')}" for i, name in enumerate(EVENTS, 1)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({SQL[held]})" for name, held in _STAGED.items()))
+def shr_staged_tables(spark, d):
+    """Every payload is parsed once; rows of all tables come from the typed units."""
+    from matchforge.plans.source_queries import _path
+
+    paths = [_path(spark, name) for name in ("matches", "timelines")]
+    stage_matches(summaries(spark, d), paths[0])
+    stage_timelines(timelines(spark, d), paths[1])
+    tables = staged_match_tables(spark, paths[0]) | staged_timeline_tables(spark, paths[1])
+    return reduce(DataFrame.unionAll, [tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in _STAGED])
+
+
+@query(SQL["shr11_3_elite_monster_kill"])
+def shr_staged_elite_monsters(spark, d):
+    """One table in full from the units, where the other query counts all of them."""
+    from matchforge.plans.source_queries import _path
+
+    path = _path(spark, "timelines")
+    stage_timelines(timelines(spark, d), path)
+    return staged_timeline_tables(spark, path)["tl_elite_monster_kill"].withColumn("assistingParticipantIds", F.array_join("assistingParticipantIds", "-"))
+
+
 #: A payload per order: teams are an object in place of a list in one of five, a team lacks its bans in one of three, one event in seven is
 #: of a type that nobody knows, one in eleven lacks its time; one payload in thirteen is cut off.
 _DRIFT = """'{"info":{"teams":' || CASE WHEN k % 5 = 0 THEN '{"id":1}' ELSE '[{"id":100,"bans":[1,2]},{"id":200' || CASE WHEN k % 3 = 0 THEN ',"extra":null' ELSE ',"bans":[]' END || '}]' END || '},"events":[{"type":"KILL","at":1},{"type":"' || CASE WHEN k % 7 = 0 THEN 'DANCE' ELSE 'WARD' END || '"' || CASE WHEN k % 11 = 0 THEN '' ELSE ',"at":2.5' END || '}]' || CASE WHEN k % 13 = 0 THEN '' ELSE '}' END"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUMMARY = (
@@ -82,19 +82,23 @@ def game_version(version):
     return F.when(number, season).otherwise(-1).alias("season"), F.when(number, patch).otherwise(-1).alias("patch"), sub.alias("sub_version")
 
 
-def shred_match(raw: DataFrame, payload: str = "payload") -> dict[str, DataFrame]:
-    """The flat tables of summary payloads."""
-    d = gate(parse(raw, SUMMARY, payload)).withColumn("matchid", F.col("metadata.matchId"))
-    teams = d.select("matchid", F.explode("info.teams").alias("t"))
-    people = d.select("matchid", F.explode("info.participants").alias("p"))
+def _matches(raw: DataFrame, payload: str) -> DataFrame:
+    """matchid, m (fields of the match itself), teams, people of the payloads that pass the gate."""
+    d = gate(parse(raw, SUMMARY, payload))
+    own = F.struct("metadata.dataVersion", "metadata.participants", "info.gameCreation", "info.gameDuration", "info.gameStartTimestamp", "info.gameVersion")
+    return d.select(F.col("metadata.matchId").alias("matchid"), own.alias("m"), F.col("info.teams").alias("teams"), F.col("info.participants").alias("people"))
+
+
+def _match_tables(match: DataFrame, teams: DataFrame, people: DataFrame) -> dict[str, DataFrame]:
+    """Tables from (matchid, m), (matchid, t) and (matchid, p)."""
     styles = lambda kind: F.try_element_at(F.filter("p.perks.styles", lambda s: s["description"] == kind), F.lit(1))
     perks = F.concat(F.coalesce(styles("primaryStyle")["selections"], F.array()), F.coalesce(styles("subStyle")["selections"], F.array()))
     slots = people.select("matchid", F.col("p.participantId").alias("participantid"), perks.alias("s"))
     perk = lambda i, f: F.coalesce(F.try_element_at("s", F.lit(i + 1))[f], F.lit(0))
     key = sum((perk(i, "perk").cast("decimal(38,0)") * F.lit(str(1 << 14 * i)).cast("decimal(26,0)")).cast("decimal(38,0)") for i in range(6))
     return {
-        "metadata": d.select("matchid", "metadata.dataVersion", "metadata.participants"),
-        "info": d.select("matchid", "info.gameCreation", "info.gameDuration", "info.gameStartTimestamp", *game_version(F.col("info.gameVersion"))),
+        "metadata": match.select("matchid", "m.dataVersion", "m.participants"),
+        "info": match.select("matchid", "m.gameCreation", "m.gameDuration", "m.gameStartTimestamp", *game_version(F.col("m.gameVersion"))),
         "bans": teams.select("matchid", F.col("t.teamId").alias("teamid"), F.inline("t.bans")),
         "feats": teams.select("matchid", F.col("t.teamId").alias("teamid"), F.explode("t.feats").alias("feat", "v")).where("v is not null").select("matchid", "teamid", "feat", "v.featState"),
         "objectives": teams.select("matchid", F.col("t.teamId").alias("teamid"), F.explode("t.objectives").alias("objective", "v")).where("v is not null").select("matchid", "teamid", "objective", F.col("v.first").cast("int").alias("first"), "v.kills"),
@@ -105,12 +109,19 @@ def shred_match(raw: DataFrame, payload: str = "payload") -> dict[str, DataFrame
     }
 
 
-def shred_timeline(raw: DataFrame, payload: str = "payload") -> dict[str, DataFrame]:
-    """The flat tables of timeline payloads; payloads without participant frames give no rows."""
+def shred_match(raw: DataFrame, payload: str = "payload") -> dict[str, DataFrame]:
+    """The flat tables of summary payloads, each from a parse of its own; see stage_matches for many tables of the same payloads."""
+    d = _matches(raw, payload)
+    return _match_tables(d.select("matchid", "m"), d.select("matchid", F.explode("teams").alias("t")), d.select("matchid", F.explode("people").alias("p")))
+
+
+def _frames(raw: DataFrame, payload: str) -> DataFrame:
     d = gate(parse(raw, TIMELINE, payload)).select(F.col("metadata.matchId").alias("matchid"), F.explode("info.frames").alias("f"))
-    d = d.withColumn("frame_timestamp", nearest_minute(F.col("f.timestamp")))
-    people = d.select("matchid", "frame_timestamp", F.explode(F.map_values("f.participantFrames")).alias("p"))
-    events = d.select("matchid", "frame_timestamp", F.explode("f.events").alias("e")).select("matchid", "frame_timestamp", "e.*")
+    return d.withColumn("frame_timestamp", nearest_minute(F.col("f.timestamp")))
+
+
+def _timeline_tables(people: DataFrame, events) -> dict[str, DataFrame]:
+    """Tables from (matchid, frame_timestamp, p) and from `events`, which gives the rows (matchid, frame_timestamp, fields) of an event type."""
     place = [F.coalesce(F.col(f"p.position.{a}"), F.lit(0)).alias(f"position_{a}") for a in "xy"]
     stats = [*[F.col(f"p.championStats.{c}") for c in CHAMPION_STATS], *[F.col(f"p.damageStats.{c}") for c in DAMAGE_STATS], *[F.col(f"p.{c}") for c in FRAME_STATS]]
     out = {"tl_participant_stats": people.select("matchid", "frame_timestamp", "p.participantId", *stats, *place)}
@@ -123,8 +134,8 @@ def shred_timeline(raw: DataFrame, payload: str = "payload") -> dict[str, DataFr
                 columns.append(F.coalesce(F.col(f[:-1]), F.array().cast("array<int>")).alias(f[:-1]))
             else:
                 columns.append(F.col(f))
-        out[name] = events.where(F.col("type") == kind).select("matchid", "frame_timestamp", "timestamp", *columns)
-    kills = events.where("type = 'CHAMPION_KILL'").withColumn("champion_kill_event_id", F.concat_ws(":", "matchid", "timestamp", "killerId", "victimId"))
+        out[name] = events(kind).select("matchid", "frame_timestamp", "timestamp", *columns)
+    kills = events("CHAMPION_KILL").withColumn("champion_kill_event_id", F.concat_ws(":", "matchid", "timestamp", "killerId", "victimId"))
     ids = ["matchid", "frame_timestamp", "timestamp", "champion_kill_event_id"]
     out["tl_champion_kill"] = kills.select(*ids, "killerId", "victimId", "bounty", "shutdownBounty", "killStreakLength", F.coalesce("assistingParticipantIds", F.array().cast("array<int>")).alias("assistingParticipantIds"), *[F.col(f"position.{a}").alias(f"position_{a}") for a in "xy"])
     for name in ("Dealt", "Received"):
@@ -134,6 +145,66 @@ def shred_timeline(raw: DataFrame, payload: str = "payload") -> dict[str, DataFr
     return out
 
 
+def shred_timeline(raw: DataFrame, payload: str = "payload") -> dict[str, DataFrame]:
+    """The flat tables of timeline payloads, each from a parse of its own; payloads without participant frames give no rows."""
+    d = _frames(raw, payload)
+    people = d.select("matchid", "frame_timestamp", F.explode(F.map_values("f.participantFrames")).alias("p"))
+    rows = d.select("matchid", "frame_timestamp", F.explode("f.events").alias("e")).select("matchid", "frame_timestamp", "e.*")
+    return _timeline_tables(people, lambda kind: rows.where(F.col("type") == kind))
+
+
+def _units(df: DataFrame, keep: list[str], kinds: list[tuple]) -> DataFrame:
+    """One row per unit of a payload: keep columns, unit (a tag), and one column per kind, of which the unit fills one.
+
+    `kinds`: (column, array of its values, function of a value that gives its tag).
+    """
+    def row_of(name, tag):
+        return lambda x: F.struct(tag(x).alias("unit"), *[(x if n == name else F.lit(None).cast(kind)).alias(n) for n, kind in types.items()])
+
+    types = {name: df.select(values.alias("x")).schema["x"].dataType.elementType for name, values, _ in kinds}
+    parts = []
+    for name, values, tag in kinds:
+        row = row_of(name, tag)
+        parts.append(F.coalesce(F.transform(values, row), F.slice(F.transform(F.array(F.lit(None).cast(types[name])), row), 1, 0)))
+    return df.select(*keep, F.explode(F.concat(*parts)).alias("_u")).select(*keep, "_u.*")
+
+
+def stage_matches(raw: DataFrame, path: str, payload: str = "payload") -> None:
+    """Parse summary payloads once and write their matches, teams and participants as typed rows, in a folder per tag."""
+    d = _matches(raw, payload)
+    tag = lambda name: lambda x: F.lit(name)
+    units = _units(d, ["matchid"], [("m", F.array("m"), tag("match")), ("t", F.col("teams"), tag("team")), ("p", F.col("people"), tag("participant"))])
+    units.write.partitionBy("unit").parquet(path)
+
+
+def staged_match_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of shred_match from what stage_matches wrote: no JSON, and each reads its own folder and columns."""
+    rows = spark.read.parquet(path)
+    unit = lambda name, column: rows.where(F.col("unit") == name).select("matchid", column)
+    return _match_tables(unit("match", "m"), unit("team", "t"), unit("participant", "p"))
+
+
+def stage_timelines(raw: DataFrame, path: str, payload: str = "payload") -> None:
+    """Parse timeline payloads once and write participant frames and events as typed rows, in a folder per event type."""
+    d = _frames(raw, payload)
+    people, events = F.map_values("f.participantFrames"), F.col("f.events")
+    units = _units(d, ["matchid", "frame_timestamp"], [("p", people, lambda x: F.lit("participant")), ("e", events, lambda x: F.concat(F.lit("event-"), F.coalesce(x["type"], F.lit(""))))])
+    units.write.partitionBy("unit").parquet(path)
+
+
+def staged_timeline_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of shred_timeline from what stage_timelines wrote."""
+    rows = spark.read.parquet(path)
+    people = rows.where("unit = 'participant'").select("matchid", "frame_timestamp", "p")
+    return _timeline_tables(people, lambda kind: rows.where(F.col("unit") == f"event-{kind}").select("matchid", "frame_timestamp", "e.*"))
+
+
+def write_tables(tables: dict[str, DataFrame], base: str) -> None:
+    """Write every table to its own folder."""
+    for name, rows in tables.items():
+        rows.write.parquet(f"{base}/{name}")
+
+
 def schema_drift(raw: DataFrame, expected: dict[str, list[str]], payload: str = "payload", key: str = "matchid") -> DataFrame:
     """(key, path, kind, names): keys that objects at the given paths lack or have too many, one row per finding."""
     parts = []
