@@ -69,7 +69,19 @@ def surface(df: DataFrame, allowed: list[str], keys: list[str], columns: list[st
     return df.select(*keys, *wanted)
 
 
-def level_matrix(level: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """Unique keys with `features`, an array of doubles in the order given; nulls are 0."""
-    vector = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
-    return level.select(*keys, vector.alias("features")).dropDuplicates(keys)
+def level_matrix(level: DataFrame, keys: list[str], features: list[str], context: DataFrame | None = None, static: DataFrame | None = None) -> DataFrame:
+    """Unique keys with `features`, an array of doubles in the order given (nulls are 0), and, if given, `context` and `static`: arrays of all
+    further columns of those tables by the keys they share with the level, zeros where they have no row.
+
+    Of rows with equal keys the one with the smallest values, column by column, stays.
+    """
+    vector = lambda columns: F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    out = level.groupBy(*keys).agg(F.min(F.struct(*features)).alias("_f")).select(*keys, "_f.*").withColumn("features", vector(features))
+    for name, block in (("context", context), ("static", static)):
+        if block is not None:
+            on = [k for k in keys if k in block.columns]
+            values = [c for c in block.columns if c not in on]
+            once = block.groupBy(*on).agg(F.min(F.struct(*values)).alias("_b")).select(*on, vector([f"_b.{c}" for c in values]).alias(name))
+            out = out.join(once, on, "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), len(values))))
+    kept = ["features", *[n for n, b in (("context", context), ("static", static)) if b is not None]]
+    return out.select(*keys, *kept)

@@ -124,8 +124,11 @@ def temporal_standardise(df: DataFrame, keys: list[str], bucket: str, value: str
 
 
 def prior_levels(base: DataFrame, levels: dict[str, list[str]], sums: list[str], sibling_keys: list[str], sibling_build: Column) -> DataFrame:
-    """Coarser levels of sufficient statistics as one table (level, key, sums), and the sibling level: the same table under the sibling build."""
-    text = lambda keys: F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    """Coarser levels of sufficient statistics as one table (level, key, sums), and the sibling level: the same table under the sibling build.
+
+    A null in a key reads as a zero character, so it is never taken for another key.
+    """
+    text = lambda keys: F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])
     out = None
     for name, keys in levels.items():
         part = base.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums]).select(F.lit(name).alias("level"), text(keys).alias("key"), *sums)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matchforge.functions import metrics
+from matchforge.functions import scalar as S
 from matchforge.functions.derived import NAMES, add_derived
 from matchforge.functions.formulas import COMPOSED, COUNTED, FRAME, IDENTITY, QUANTITY, TOTAL
-from matchforge.operators import event_metrics, profiles, semantic
+from matchforge.operators import event_metrics, hierarchy, profiles, semantic
 from matchforge.plans.adapters import EVENTS, FRAME_ROWS, RAW, TIMELINE, WIDE, minute_frames, timeline, wide_players
 from matchforge.plans.queries import query, r
 
@@ -256,3 +257,53 @@ def pro16_temporal_standardise(spark, d):
     rows = minute_frames(spark, d).select("event_id", (F.col("matchid") % 4).alias("bucket"), "totalgold")
     out = profiles.temporal_standardise(rows, ["event_id"], "bucket", "totalgold")
     return out.select("event_id", "bucket", "mask", r("z", 5).alias("z"))
+
+
+# --- smoothing of all metrics by five levels --------------------------------------------------------------------------
+
+_RATES, _TIMED = RAW[:20], RAW[20:]
+_SIBLING = {"SMALL": "LARGE", "LARGE": "SMALL", "MEDIUM": "STANDARD", "STANDARD": "MEDIUM"}
+_LEVEL_KEYS = [("championid", "teamposition", "build"), ("championid", "teamposition"), ("championid", "build"), ("teamposition", "build"), ("build",)]
+
+
+def _hierarchy_sql(mode: str) -> str:
+    """Five joins and one expression per metric."""
+    caps, sums = (20, 7, 12, 7, 4), ", ".join(f"sum({m})::DOUBLE AS {m}" for m in RAW)
+    parts = [WIDE, f"b AS (SELECT championid, teamposition, build, count(*)::DOUBLE AS n, sum(timeplayed)::DOUBLE / 60 AS t, {sums} FROM wide GROUP BY ALL)"]
+    parts.append("b1 AS (SELECT *, CASE build " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SIBLING.items()) + " END AS sib FROM b)")
+    joins = ""
+    for i, keys in enumerate(_LEVEL_KEYS):
+        parts.append(f"l{i} AS (SELECT {', '.join(keys)}, sum(n) AS n, sum(t) AS t, {sums} FROM b GROUP BY ALL)")
+        joins += f" LEFT JOIN l{i} ON " + " AND ".join(f"l{i}.{k} = b1.{'sib' if i == 0 and k == 'build' else k}" for k in keys) + (" AND b1.teamposition NOT IN ('UTILITY', 'JUNGLE')" if i in (2, 4) else "")
+    held = ", ".join(f"l{i}.n AS n{i}, l{i}.t AS t{i}, " + ", ".join(f"l{i}.{m} AS {m}{i}" for m in RAW) for i in range(5))
+    parts.append(f"j AS (SELECT b1.*, sqrt(1 + 50 / greatest(b1.n, 1)) AS amp, {held} FROM b1{joins})")
+    weights = ", ".join(f"CASE WHEN n{i} > 0 THEN least(n{i}, {c}) * amp ELSE 0 END AS p{i}, CASE WHEN n{i} > 0 THEN least(n{i} * 200, {c * 200}) * amp ELSE 0 END AS q{i}" for i, c in enumerate(caps))
+    chosen = "CASE " + " ".join(f"WHEN n{i} >= 50 THEN {i}" for i in range(5)) + " " + " ".join(f"WHEN n{i} IS NOT NULL THEN {i}" for i in reversed(range(5))) + " END AS chosen"
+    parts.append(f"w AS (SELECT *, {weights}, {chosen} FROM j)")
+    if mode == "cascade":
+        parts.append("x AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN chosen IS NULL THEN {k}{i} WHEN chosen = {i} THEN {' + '.join(f'{k}{h}' for h in range(5))} ELSE 0 END AS {k}{i}" for k in "pq" for i in range(5)) + ") FROM w)")
+    else:
+        parts.append("x AS (SELECT * FROM w)")
+    blend = lambda m, k, own, per: f"({m} + " + " + ".join(f"CASE WHEN {k}{i} > 0 AND {per}{i} > 0 THEN {m}{i} * ({k}{i} / {per}{i}) ELSE 0 END" for i in range(5)) + f") / ({own} + " + " + ".join(f"{k}{i}" for i in range(5)) + ")"
+    out = [f"round({blend(m, 'p', 'n', 'n')} + 1e-9::DOUBLE, 5) AS {m}" for m in _RATES] + [f"round({blend(m, 'q', 't', 't')} + 1e-9::DOUBLE, 5) AS {m}" for m in _TIMED]
+    return "WITH " + ", ".join(parts) + f" SELECT championid, teamposition, build, n::BIGINT AS matchups, {', '.join(out)} FROM x"
+
+
+def _hierarchy(spark, d, mode):
+    rows = wide_players(spark, d)
+    base = hierarchy.identities(rows, KEYS, RAW, F.col("timeplayed") / 60.0)
+    levels = hierarchy.default_levels(S.lookup_map(_SIBLING, F.col("build")))
+    out = hierarchy.smooth(base, KEYS, levels, _RATES, _TIMED, mode)
+    return out.select(*KEYS, "matchups", *[off(m, 5).alias(m) for m in RAW])
+
+
+@query(_hierarchy_sql("cascade"))
+def smo18_all_metrics_cascade(spark, d):
+    """All 57 metrics of each identity drawn to one of five levels: rates by matchups, values per minute by time; two roles stay apart."""
+    return _hierarchy(spark, d, "cascade")
+
+
+@query(_hierarchy_sql("additive"))
+def smo18_all_metrics_additive(spark, d):
+    """The same, drawn to all levels at once."""
+    return _hierarchy(spark, d, "additive")

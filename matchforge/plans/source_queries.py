@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from matchforge.functions import derived
-from matchforge.operators import augment, latent, profiles
-from matchforge.plans.adapters import RAW, WIDE, table, wide_players
+from matchforge.operators import augment, guards, latent, profiles
+from matchforge.plans.adapters import RAW, WIDE, split_players, table, wide_players
 from matchforge.plans.metric_queries import AXES, _axes, off
-from matchforge.plans.queries import FIELDS, query, r
-from matchforge.sources import readers
+from matchforge.plans.queries import FIELDS, TRAIN, WITH_SPLIT, query, r
+from matchforge.sources import checked, readers
 from matchforge.sources.replacing import ReplacingTable
 
 
@@ -193,3 +193,31 @@ def scf13_uuid_and_trim(spark, d):
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     fresh = (F.coalesce(F.lit(None).cast("timestamp"), F.current_timestamp()) > F.lit("2020-01-01").cast("timestamp")).cast("int")
     return p.select("p_partkey", F.rtrim(F.concat("p_name", F.lit("\0\0")), F.lit("\0")).alias("trimmed"), F.concat_ws("-", *parts).alias("id"), fresh.alias("fresh"))
+
+
+@query(WITH_SPLIT + """, g AS (SELECT matchid, split, max(CASE WHEN teamid = 100 THEN win END) AS blue_win, list(kills ORDER BY participantid) AS kills, list(championid ORDER BY participantid) AS champions FROM sp WHERE participantid <= 4 GROUP BY ALL HAVING count(*) = 4)
+SELECT split, matchid, blue_win::INT AS blue_win, array_to_string(kills, ',') AS kills, array_to_string(champions, ',') AS champions, 0.0::DOUBLE AS support FROM g""")
+def src12_checked_cache(spark, d):
+    """A cache of arrays by game and split, whose labels, ranges and lengths are checked as it is written; both splits are loaded, one array by default."""
+    path = _path(spark, "cache")
+    g = split_players(spark, d).where("participantid <= 4").groupBy("matchid", "split").agg(F.count("*").alias("n"), F.max(F.when(F.col("teamid") == 100, F.col("win"))).alias("blue_win"), F.array_sort(F.collect_list(F.struct("participantid", "kills", "championid"))).alias("s"))
+    g = g.where("n = 4").select("matchid", "split", "blue_win", F.col("s.kills").alias("kills"), F.col("s.championid").alias("champions"))
+    most = checked.Check("most_kills", F.max(F.array_max("kills")), lambda v: v is None or v < 13, "kills stay below 13")
+    checked.write_cache(g, path, "blue_win", {"kills": 4, "champions": 4}, checks=[most])
+    splits = checked.load_splits(spark, path, need=["kills"], defaults={"support": 0.0}, verify=True)
+    both = splits["train"].unionByName(splits["test"])
+    return both.select("split", "matchid", "blue_win", F.array_join("kills", ",").alias("kills"), F.array_join("champions", ",").alias("champions"), F.array_max("support").alias("support"))
+
+
+@query(WITH_SPLIT + f"SELECT championid, teamposition, count(*) AS n, round(avg(win), 6) AS rate FROM {TRAIN} GROUP BY ALL")
+def flt5_pregame_table(spark, d):
+    """A pregame table passes the guard of its lineage; the same table with a value that follows from builds is refused, or the query fails."""
+    rows = split_players(spark, d).where("split = 'train'")
+    table_ = rows.groupBy("championid", "teamposition").agg(F.count("*").alias("n"), r(F.avg("win")).alias("rate"))
+    guards.assert_pregame(table_, ["championid", "teamposition"], build=("p_type",))
+    leaky = rows.withColumn("x", F.length(F.upper("build"))).groupBy("championid", "teamposition").agg((F.max("x") + 1).alias("n"))
+    try:
+        guards.assert_pregame(leaky, ["championid", "teamposition"], build=("p_type",))
+    except guards.Leak:
+        return table_
+    raise AssertionError("a value that follows from builds passed the guard")
