@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchforge.operators import correction
 from matchforge.plans.adapters import TIMELINE, timeline
 from matchforge.plans.queries import QUERIES, SQL, WITH, participants, query
 from matchforge.sources import drift
@@ -190,6 +191,55 @@ def shr15_schema_drift(spark, d):
     return found.withColumn("names", F.array_join("names", ","))
 
 
+# --- corrected statistics ----------------------------------------------------------------------------------------------
+
+
+def _made_stat(i: int) -> str:
+    """Value of a participant's i-th corrected statistic, summed over the events of a match."""
+    return f"(event_id * {i + 3} + matchid) % {5 + 13 * i}"
+
+
+_INFO = "matchid % 2 AS season, matchid * 37 % 2000 AS gameduration"
+_DELTA_SQL = (
+    f"WITH {TIMELINE}, info AS (SELECT DISTINCT matchid, {_INFO} FROM tl), pop AS (SELECT matchid FROM info WHERE season = (SELECT max(season) FROM info) AND gameduration > 990), "
+    "en AS (SELECT matchid, max(\"timestamp\") - 540000000 AS from_at FROM tl SEMI JOIN pop USING (matchid) WHERE type = 'GAME_END' GROUP BY matchid), tt AS (SELECT tl.* FROM tl JOIN en USING (matchid) WHERE \"timestamp\" >= from_at), "
+    "kr AS (SELECT *, matchid || ':' || \"timestamp\" || ':' || \"killerId\" || ':' || \"victimId\" AS kid FROM tt WHERE type = 'CHAMPION_KILL'), kl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY matchid, kid ORDER BY event_id) AS i FROM kr) WHERE i = 1), "
+    "dm AS (SELECT kr.matchid, kr.\"participantId\" + idx AS other, kr.\"victimId\" AS victim, level * 10 + idx AS physical, bounty + idx AS magic, idx AS tru FROM (SELECT *, unnest(range(\"killStreakLength\" + 1)) AS idx FROM kr) kr), pc AS (SELECT p_partkey AS item, floor(p_retailprice)::DOUBLE AS price FROM part), "
+    "dl AS (SELECT matchid, \"killerId\" AS pid, 'kills' AS w, 1.0::DOUBLE AS v FROM kl WHERE \"killerId\" > 0 UNION ALL SELECT matchid, \"victimId\", 'deaths', 1 FROM kl WHERE \"victimId\" > 0 UNION ALL SELECT matchid, unnest(\"assistingParticipantIds\"), 'assists', 1 FROM kl "
+    + "".join(f"UNION ALL SELECT matchid, {who}, '{kind}_{way}', {'tru' if kind == 'true' else kind} FROM dm WHERE {who} > 0 " for kind in correction.KINDS for who, way in (("other", "dealt"), ("victim", "taken"), ("victim", "dealt"), ("other", "taken")))
+    + "UNION ALL SELECT matchid, pid, 'goldspent', coalesce(price, 0) FROM (SELECT DISTINCT matchid, frame_timestamp, \"timestamp\", \"participantId\" AS pid, \"itemId\" AS item FROM tt WHERE type = 'ITEM_PURCHASED') LEFT JOIN pc USING (item) "
+    "UNION ALL SELECT matchid, pid, 'goldspent', -floor(coalesce(price, 0) * 0.7::DOUBLE + 0.5::DOUBLE) FROM (SELECT DISTINCT matchid, frame_timestamp, \"timestamp\", \"participantId\" AS pid, \"itemId\" AS item FROM tt WHERE type = 'ITEM_SOLD') LEFT JOIN pc USING (item) "
+    "UNION ALL SELECT matchid, \"participantId\", 'goldspent', -\"goldGain\" FROM tt WHERE type = 'ITEM_UNDO'), "
+    "ds AS (SELECT matchid, pid, " + ", ".join(f"coalesce(sum(v) FILTER (WHERE w = '{x}'), 0) AS d_{x}" for x in correction.DELTAS) + " FROM dl GROUP BY ALL), "
+    "st AS (SELECT matchid, \"participantId\" AS pid, " + ", ".join(f"sum({_made_stat(i)})::BIGINT AS {c}" for i, c in enumerate(correction.CORRECTED)) + " FROM tl GROUP BY ALL) "
+)
+
+
+def _less_sql(column: str) -> str:
+    way = "dealt" if column in correction.DEALT else "taken"
+    names = [f"{k}_{way}" for k in (correction.DEALT | correction.TAKEN)[column]] if column in correction.DEALT | correction.TAKEN else [column]
+    return f"greatest({column} - ({' + '.join(f'coalesce(d_{n}, 0)' for n in names)}), 0)::BIGINT AS {column}"
+
+
+@query(_DELTA_SQL + "SELECT matchid::VARCHAR AS matchid, pid::INT AS participantid, " + ", ".join(_less_sql(c) for c in correction.CORRECTED) + " FROM st SEMI JOIN pop USING (matchid) LEFT JOIN ds USING (matchid, pid)")
+def cor1_6_corrected_statistics(spark, d):
+    """Twelve corrected columns of long matches of the latest season, from the shredded tables of kills, damage and items."""
+    from matchforge.plans.adapters import table
+    from matchforge.plans.source_queries import _path
+
+    path = _path(spark, "timelines")
+    stage_timelines(timelines(spark, d), path)
+    t = staged_timeline_tables(spark, path)
+    tl = timeline(spark, d)
+    info = tl.selectExpr("matchid", *_INFO.split(", ")).distinct().withColumn("matchid", F.col("matchid").cast("string"))
+    stats = tl.groupBy(F.col("matchid").cast("string").alias("matchid"), F.col("participantId").alias("participantid")).agg(*[F.sum(F.expr(_made_stat(i))).cast("long").alias(c) for i, c in enumerate(correction.CORRECTED)])
+    matches = correction.population(info)
+    prices = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("itemid"), F.floor("p_retailprice").alias("price"))
+    tail = correction.tails(t["tl_game_end"], matches, 540_000_000)
+    deltas = correction.delta_totals(tail, t["tl_champion_kill"], t["tl_ck_victim_damage_dealt"], t["tl_ck_victim_damage_received"], t["tl_item_purchased"], t["tl_item_sold"], t["tl_item_undo"], prices)
+    return correction.corrected_statistics(stats, matches, deltas)
+
+
 #: Queries whose SQL tells how many rows the staged tables must have.
 _STAGED = {"metadata": "shr1_metadata", "bans": "shr3_bans", "feats": "shr4_feats", "objectives": "shr5_objectives", "participant_stats": "shr6_behaviour_lifted", "participant_challenges": "shr7_challenges", "participant_perk_values": "shr8_perk_values", "participant_perk_ids": "shr9_perk_ids", "tl_participant_stats": "shr10_participant_frames", "tl_champion_kill": "shr12_champion_kills_of_timelines", "tl_ck_victim_damage_dealt": "shr13_victim_damage_dealt", "tl_ck_victim_damage_received": "shr13_victim_damage_received"}
 _STAGED |= {name: f"shr11_{i}_{name.removeprefix('tl_')}" for i, name in enumerate(EVENTS, 1)}
