@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from matchforge.functions import smoothing as M
 
@@ -33,10 +34,12 @@ def prior_bundle(rows: DataFrame, history: DataFrame, solo: DataFrame, solo_stre
 
 
 def vocabulary_ids(df: DataFrame, known: DataFrame, label: str, name: str) -> DataFrame:
-    """Place of a label among the sorted distinct labels of `known` (a vocabulary: it fits in memory); unknown ones get their number."""
-    words = known.where(F.col(label).isNotNull()).agg(F.array_sort(F.collect_set(label)).alias("_words"))
-    place = F.array_position("_words", F.col(label))
-    return df.crossJoin(words).withColumn(name, F.when(place > 0, place - 1).otherwise(F.size("_words")).cast("long")).drop("_words")
+    """Place of a label among the sorted distinct labels of `known`; unknown and null ones get their number. Labels meet their places by a join."""
+    words = known.where(F.col(label).isNotNull()).select(F.col(label).alias("_word")).distinct()
+    places = words.withColumn("_place", F.row_number().over(Window.orderBy("_word")) - 1)  # one row per label
+    size = words.agg(F.count("*").alias("_size"))
+    out = df.join(places, F.col(label) == F.col("_word"), "left").crossJoin(size)
+    return out.withColumn(name, F.coalesce("_place", "_size").cast("long")).drop("_word", "_place", "_size")
 
 
 def number_ids(df: DataFrame, known: DataFrame, number: str, name: str) -> DataFrame:

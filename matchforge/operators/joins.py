@@ -53,10 +53,14 @@ def tail_window(events: DataFrame, ends: DataFrame, on: str, at: str, end: str,
 
 
 class Dictionary:
-    """Entries by key with defaults for what is not there; the planner broadcasts them if their size allows."""
+    """Entries by key with defaults for what is not there; the planner broadcasts them if their size allows.
+
+    Of entries with equal keys the one with the smallest attributes, in the order of `defaults`, stays.
+    """
 
     def __init__(self, entries: DataFrame, keys: list[str], defaults: dict):
-        self.entries, self.keys, self.defaults = entries.dropDuplicates(keys), keys, defaults
+        once = entries.groupBy(*keys).agg(F.min(F.struct(*defaults)).alias("_a")).select(*keys, "_a.*")
+        self.entries, self.keys, self.defaults = once, keys, defaults
 
     def look_up(self, df: DataFrame, keys: dict[str, str]) -> DataFrame:
         """`df` with the attributes and `found` (1 or 0); `keys` maps the dictionary's keys to columns of `df`. Attributes replace columns of their name."""
@@ -71,9 +75,15 @@ class Dictionary:
 
 
 def known_items(df: DataFrame, entries: DataFrame, items: str, key: str, name: str) -> DataFrame:
-    """Number of items of an array that a dictionary (one that fits in memory) holds; the array is not exploded."""
-    held = entries.agg(F.collect_set(key).alias("_known"))
-    return df.crossJoin(held).withColumn(name, F.size(F.filter(items, lambda x: F.array_contains("_known", x)))).drop("_known", items)
+    """Number of items of an array that a dictionary holds, repeated items each time; null items and null arrays count nothing.
+
+    Items meet the dictionary by a join, so it may be of any size; rows are told apart by a number, so equal rows stay apart.
+    """
+    rows = df.withColumn("_row", F.struct(F.monotonically_increasing_id(), F.spark_partition_id()))
+    kept = [c for c in df.columns if c != items]
+    held = entries.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
+    each = rows.select("_row", *kept, F.explode_outer(items).alias("_key")).join(held.withColumn("_known", F.lit(1)), "_key", "left")
+    return each.groupBy("_row").agg(*[F.first(c).alias(c) for c in kept], F.count("_known").cast("int").alias(name)).drop("_row")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, within: int) -> DataFrame:

@@ -1,17 +1,17 @@
 """Registered queries of the metric tables: identity, frame, total, quantity, event and semantic metrics, with their SQL."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matchforge.functions import metrics
+from matchforge.functions import hooks, metrics
 from matchforge.functions import scalar as S
 from matchforge.functions.derived import NAMES, add_derived
 from matchforge.functions.formulas import COMPOSED, COUNTED, FRAME, IDENTITY, QUANTITY, TOTAL
-from matchforge.operators import event_metrics, hierarchy, profiles, semantic
+from matchforge.operators import catalog, event_metrics, hierarchy, profiles, semantic
 from matchforge.plans.adapters import EVENTS, FRAME_ROWS, RAW, TIMELINE, WIDE, minute_frames, timeline, wide_players
-from matchforge.plans.queries import query, r
+from matchforge.plans.queries import WORLDS, query, r
+from matchforge.plans.queries import _worlds as worlds
 
 KEYS = ["championid", "teamposition", "build"]
 
@@ -307,3 +307,37 @@ def smo18_all_metrics_cascade(spark, d):
 def smo18_all_metrics_additive(spark, d):
     """The same, drawn to all levels at once."""
     return _hierarchy(spark, d, "additive")
+
+
+# --- metrics and scores of one's own ----------------------------------------------------------------------------------
+
+
+def _own_metrics() -> hooks.MetricRegistry:
+    """Two metrics that build on each other and on one of the library's."""
+    own = hooks.MetricRegistry()
+    own.register("pressure", lambda kda, kills: kda + F.sqrt(kills), ["takedowns_to_deaths_ratio", "kills"])
+    own.register("pressure_share", lambda p, gold: p / F.greatest(gold, F.lit(1.0)), ["pressure", "goldearned"], "minutes")
+    return own
+
+
+@query("WITH " + WIDE + ", i AS (SELECT championid, teamposition, build, sum(kills)::DOUBLE / count(*) AS kills, sum(deaths)::DOUBLE / count(*) AS deaths, sum(assists)::DOUBLE / count(*) AS assists, sum(goldearned)::DOUBLE / count(*) AS gold FROM wide GROUP BY ALL), p AS (SELECT *, CASE WHEN deaths > 1e-9::DOUBLE THEN (kills + assists) / deaths ELSE 0 END + sqrt(kills) AS pressure FROM i) SELECT championid, teamposition, build, round(pressure + 1e-9::DOUBLE, 6) AS pressure, round(pressure / greatest(gold, 1) + 1e-9::DOUBLE, 6) AS pressure_share FROM p")
+def pro9_own_metrics(spark, d):
+    """Metrics of one's own beside those of the library, on identities (PRO-8): only the columns they read are aggregated."""
+    own = _own_metrics()
+    names = sorted(own.inputs())
+    level = profiles.metric_values(profiles.identity_base(wide_players(spark, d), KEYS, names), KEYS, names, [])
+    return own.add(level).select(*KEYS, *[off(m).alias(m) for m in own.columns()])
+
+
+@query(WORLDS + "SELECT g, round(sum(w / (1 + exp(-(10 * w + (g % 7) - 3)))) / sum(w) + 1e-9::DOUBLE, 6) AS score, round(sum(w), 6) AS retained_mass FROM c WHERE before < 0.9 GROUP BY g")
+def cat5_own_model(spark, d):
+    """Worlds scored by a pandas UDF and marginalised (CAT-5)."""
+
+    @F.pandas_udf("double")
+    def model(weight: pd.Series, game: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return 1 / (1 + np.exp(-(10 * weight + game % 7 - 3)))
+
+    scored = hooks.score(worlds(spark, d), model, ["weight", "g"])
+    return catalog.marginalise(scored, "g").select("g", off("score").alias("score"), r("retained_mass").alias("retained_mass"))

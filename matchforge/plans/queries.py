@@ -661,7 +661,11 @@ def str12_window_rollup(spark, d):
     return out.withColumn("start", F.col("start").cast(kind))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, (embedding::DOUBLE[])[1:len(embedding) // 2] AS y FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS q, b.vec_id AS i, list_distance(a.x, b.x) AS dx, list_distance(a.y, b.y) AS dy FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dx, i) <= 10 AS nx, row_number() OVER (PARTITION BY q ORDER BY dy, i) <= 10 AS ny FROM p),
+r AS (SELECT q, sum((nx AND ny)::INT) / sum(nx::INT) AS r FROM n GROUP BY q)
+SELECT (SELECT count(*) FROM r) AS queries, count(*) AS pairs, (SELECT round(avg(r), 6) FROM r) AS recall, round(corr(dx, dy), 6) AS distance_correlation FROM p""")
 def pro22_neighbours(spark, d):
     """Two spaces (all components; the first half): share of the ten nearest that they agree on, and how their distances correlate."""
     from matchforge.operators.spaces import neighbour_agreement
@@ -754,9 +758,11 @@ def agg16_median_mad(spark, d):
 
 @query(WITH + "SELECT build, count(*) FILTER (WHERE role_index < 2) AS n, max(CASE WHEN early >= 3 AND late >= 3 THEN 1 ELSE 0 END)::INT AS enough FROM (SELECT *, count(*) FILTER (WHERE patch <= 2) OVER (PARTITION BY championid) AS early, count(*) FILTER (WHERE patch > 2) OVER (PARTITION BY championid) AS late FROM players) GROUP BY build")
 def agg2_conditional(spark, d):
-    p, w = participants(spark, d), Window.partitionBy("championid")
-    p = p.withColumn("early", F.count(F.when(F.col("patch") <= 2, 1)).over(w)).withColumn("late", F.count(F.when(F.col("patch") > 2, 1)).over(w))
-    return p.groupBy("build").agg(F.count(F.when(F.col("role_index") < 2, 1)).alias("n"), F.max(((F.col("early") >= 3) & (F.col("late") >= 3)).cast("int")).alias("enough"))
+    """Counts under a condition: by (champion, build) first, then by champion, so no champion's rows meet in a task."""
+    when = lambda c: F.count(F.when(c, 1))
+    cells = participants(spark, d).groupBy("championid", "build").agg(when(F.col("role_index") < 2).alias("n"), when(F.col("patch") <= 2).alias("early"), when(F.col("patch") > 2).alias("late"))
+    champions = cells.groupBy("championid").agg(((F.sum("early") >= 3) & (F.sum("late") >= 3)).cast("int").alias("enough"))
+    return cells.join(champions, "championid").groupBy("build").agg(F.sum("n").alias("n"), F.max("enough").alias("enough"))
 
 
 @query(WITH + """, n AS (SELECT championid, count(*) AS n, avg(CASE WHEN patch <= 2 THEN win END) AS early, avg(CASE WHEN patch > 2 THEN win END) AS late FROM players GROUP BY championid),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from matchforge.functions import derived
@@ -13,16 +11,10 @@ from matchforge.plans.metric_queries import AXES, _axes, off
 from matchforge.plans.queries import FIELDS, TRAIN, WITH_SPLIT, query, r
 from matchforge.sources import checked, readers
 from matchforge.sources.replacing import ReplacingTable
+from matchforge.sources.scratch import shared_path
 
 
-def _path(spark, name: str) -> str:
-    """A new path in the folder that all machines share; without one, a local folder on local masters only."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = "file:///tmp/checkpoints/matchforge"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_path = shared_path
 
 
 @query("SELECT p_partkey, coalesce(CASE WHEN p_size % 3 > 0 THEN p_size END, -1)::INT AS size, coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, 'none') AS brand FROM part")
