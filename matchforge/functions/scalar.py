@@ -13,6 +13,9 @@ BUILD_GROUPS = {
     "ar_tank": "tank", "mr_tank": "tank", "ad_off_tank": "tank", "ap_off_tank": "tank",
 }
 
+# Builds that are smoothed together; the two of a group are each other's siblings.
+SIBLINGS = {"ap": ("ability_power", "ap_off_tank"), "ad": ("attack_damage", "ad_off_tank"), "tank": ("ar_tank", "mr_tank"), "utility": ("utility_enchanter", "utility_protection")}
+
 
 def lookup_map(pairs: dict, key: Column, default=None) -> Column:
     """Value of a literal map, the default where the key is not in it."""
@@ -25,6 +28,21 @@ def build_group(build: Column) -> Column:
     return lookup_map(BUILD_GROUPS, build, "none")
 
 
+def smoothing_group(build: Column) -> Column:
+    """The group that a build is smoothed with; a build of no group is its own."""
+    return F.coalesce(lookup_map({b: g for g, pair in SIBLINGS.items() for b in pair}, build), build)
+
+
+def sibling_build(build: Column) -> Column:
+    """The other build of a build's group; null where it has none."""
+    return lookup_map({a: b for x, y in SIBLINGS.values() for a, b in ((x, y), (y, x))}, build)
+
+
+def to_nullable(value: Column, missing) -> Column:
+    """The value, null where it is the one that stands for a missing value."""
+    return F.nullif(value, F.lit(missing))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b where b is above 1e-9, else 0."""
     return F.when(b > 1e-9, a / b).otherwise(F.lit(0.0))

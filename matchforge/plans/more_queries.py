@@ -208,6 +208,16 @@ def prj4_build_group(spark, d):
     return table(spark, d, "part").select("p_partkey", S.build_group(F.element_at(labels, F.col("p_size") % 12 + 1)).alias("build_group"))
 
 
+_LABELS = [*S.BUILD_GROUPS, "none"]
+
+
+@query("WITH l AS (SELECT p_partkey, [" + ", ".join(f"'{x}'" for x in _LABELS) + "][p_size % 12 + 1] AS b FROM part) SELECT p_partkey, CASE " + " ".join(f"WHEN b IN ('{x}', '{y}') THEN '{g}'" for g, (x, y) in S.SIBLINGS.items()) + " ELSE b END AS smoothing_group, CASE b " + " ".join(f"WHEN '{x}' THEN '{y}' WHEN '{y}' THEN '{x}'" for x, y in S.SIBLINGS.values()) + " END AS sibling, nullif(b, 'none') AS known FROM l")
+def prj4_sibling_build(spark, d):
+    """Groups of builds that are smoothed together, siblings in them, and a label that stands for none as null (SCF-7)."""
+    b = F.element_at(F.array(*map(F.lit, _LABELS)), F.col("p_size") % 12 + 1)
+    return table(spark, d, "part").select("p_partkey", S.smoothing_group(b).alias("smoothing_group"), S.sibling_build(b).alias("sibling"), S.to_nullable(b, "none").alias("known"))
+
+
 # --- windows, order, sets, aggregates -------------------------------------------------------------------------------------
 
 
