@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from matchforge.functions import scalar as S
 from matchforge.functions import smoothing as M
-from matchforge.operators import augment, catalog, combos, correct, evaluate, filters, incremental, joins, profiles, reports, selection, sketches, windows
+from matchforge.operators import augment, bundle, catalog, combos, correct, evaluate, filters, incremental, joins, profiles, reports, selection, sketches, windows
 from matchforge.plans.adapters import EVENTS, TIMELINE, WIDE, match_events, participants, split_players, table, timeline, wide_players
 from matchforge.plans.queries import CATALOG, FIELDS, FLAGS, KEY, QUERIES, SQL, TRAIN, USED, WITH, WITH_SPLIT, _catalog, flat, games, mask_sql, members, pivot, query, r, train
 
@@ -76,6 +76,38 @@ def smo9_prior_bundle(spark, d):
     return out.select("matchid", "lanes", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("solo_blue", "solo_red", "duel", "pair")], r("effective_n", 3).alias("effective_n"))
 
 
+_WHO = {"build": "championid || '/' || teamposition || '/' || build", "nobuild": "championid || '/' || teamposition"}
+
+
+def _bundle_sql() -> str:
+    keys = ", ".join(f"lpad({v}, 40, '0') AS k_{k}" for k, v in _WHO.items())
+    parts = [f"pl AS (SELECT matchid, teamid, participantid AS slot, win::DOUBLE AS win, split, {keys} FROM sp)"]
+    parts.append("so AS (SELECT k_build, count(*)::DOUBLE AS n, avg(win) AS r FROM pl WHERE split = 'train' GROUP BY ALL)")
+    parts.append("ps AS (SELECT pl.*, coalesce(so.n, 0)::DOUBLE AS sn, CASE WHEN so.n IS NULL THEN 0.5::DOUBLE ELSE 0.5::DOUBLE + (so.r - 0.5) * so.n / (so.n + 20) END AS s FROM pl LEFT JOIN so USING (k_build))")
+    cols = "a.matchid, a.teamid, a.slot AS sa, b.slot AS sb, a.win, a.split, a.s AS s1, b.s AS s2, " + ", ".join(f"a.k_{k} AS a_{k}, b.k_{k} AS b_{k}" for k in _WHO)
+    parts.append(f"pr AS (SELECT 'versus' AS kind, {cols} FROM ps a JOIN ps b ON a.matchid = b.matchid AND a.teamid = 100 AND b.teamid <> 100 UNION ALL SELECT 'pair', {cols} FROM ps a JOIN ps b ON a.matchid = b.matchid AND a.teamid = b.teamid AND a.slot < b.slot)")
+    joins = picks = ""
+    for k in _WHO:
+        parts.append(f"c_{k} AS (SELECT kind, least(a_{k}, b_{k}) AS x, greatest(a_{k}, b_{k}) AS y, count(*)::DOUBLE AS n, avg(CASE WHEN kind = 'pair' THEN win WHEN a_{k} = b_{k} THEN 0.5 WHEN a_{k} > b_{k} THEN 1 - win ELSE win END) AS r FROM pr WHERE split = 'train' GROUP BY ALL)")
+        joins += f" LEFT JOIN c_{k} ON c_{k}.kind = pr.kind AND c_{k}.x = least(a_{k}, b_{k}) AND c_{k}.y = greatest(a_{k}, b_{k})"
+        picks += f", coalesce(c_{k}.n, 0)::DOUBLE AS n_{k}, CASE WHEN c_{k}.n IS NULL THEN 0.5::DOUBLE WHEN pr.kind = 'versus' AND a_{k} > b_{k} THEN 1 - c_{k}.r ELSE c_{k}.r END AS r_{k}"
+    parts.append(f"lk AS (SELECT pr.*{picks} FROM pr{joins})")
+    parts.append("fl AS (SELECT *, CASE WHEN kind = 'versus' THEN 0.5::DOUBLE + (s1 - s2) / 2 ELSE (s1 + s2) / 2 END AS f FROM lk)")
+    parts.append("v1 AS (SELECT *, f + (r_nobuild - f) * n_nobuild / (n_nobuild + 20) AS v, n_nobuild AS e FROM fl)")
+    parts.append("v2 AS (SELECT *, v + (r_build - v) * n_build / (n_build + 20) AS value, n_build + (1 - n_build / (n_build + 20)) * e AS n FROM v1)")
+    parts.append("al AS (SELECT matchid, kind, teamid, value, n FROM v2 UNION ALL SELECT matchid, 'solo', teamid, s, sn FROM ps)")
+    return WITH_SPLIT + ", " + ", ".join(parts) + " SELECT matchid, kind, teamid, count(*) AS cells, round(avg(value) + 1e-9::DOUBLE, 6) AS value, round(sum(n) + 1e-9::DOUBLE, 4) AS evidence FROM al GROUP BY ALL"
+
+
+@query(_bundle_sql())
+def smo9_full_bundle(spark, d):
+    """Solo rates, all duels across teams and all pairs inside them, on two levels, pooled with their evidence; means of every match and team."""
+    rows = split_players(spark, d)
+    out = bundle.prior_features(rows, rows.where("split = 'train'"), ["build", "nobuild"], ["build", "nobuild"])
+    g = out.groupBy("matchid", "kind", "teamid").agg(F.count("*").alias("cells"), F.avg("value").alias("value"), F.sum("n").alias("evidence"))
+    return g.withColumn("value", F.round(F.col("value") + 1e-9, 6)).withColumn("evidence", F.round(F.col("evidence") + 1e-9, 4))
+
+
 @query(WITH + """, i3 AS (SELECT championid, teamposition, build, count(*) AS matchups, avg(kills) AS kills, avg(damage) AS damage FROM players GROUP BY ALL), i2 AS (SELECT championid, teamposition, count(*) AS n2, avg(kills) AS k2, avg(damage) AS d2 FROM players GROUP BY ALL), i1 AS (SELECT teamposition, build, count(*) AS n1, avg(kills) AS k1, avg(damage) AS d1 FROM players GROUP BY ALL),
 w AS (SELECT *, least(n2, 30) * sqrt(1 + 10 / greatest(matchups, 1)) AS w2, CASE WHEN teamposition = 'JUNGLE' THEN 0 ELSE least(n1, 12) END * sqrt(1 + 10 / greatest(matchups, 1)) AS w1 FROM i3 JOIN i2 USING (championid, teamposition) JOIN i1 USING (teamposition, build))
 SELECT championid, teamposition, build, matchups, round((kills * matchups + k2 * w2 + k1 * w1) / (matchups + w2 + w1) + 1e-9::DOUBLE, 5) AS kills, round((damage * matchups + d2 * w2 + d1 * w1) / (matchups + w2 + w1) + 1e-9::DOUBLE, 4) AS damage FROM w""")

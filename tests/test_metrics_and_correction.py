@@ -178,3 +178,58 @@ def test_dictionaries_and_vocabularies_by_join(spark):
     words = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "w string")
     got = sorted((r.w or "", r.i) for r in augment.vocabulary_ids(spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "w string"), words, "w", "i").collect())
     assert got == [("", 2), ("a", 0), ("b", 1), ("c", 2)]
+
+
+@pytest.mark.parametrize("nested", [True, False])
+def test_bundle_of_priors_against_plain_python(spark, nested):
+    from matchforge.operators import bundle
+
+    rng = np.random.default_rng(4)
+    players = [(m, 100 if s < 2 else 200, s, int(rng.integers(0, 3)), ("TOP", None)[s % 2], rng.choice(["x", "y"]).item(), int((s < 2) == (m % 3 > 0))) for m in range(40) for s in range(4)]
+    rows = spark.createDataFrame(players, "matchid int, teamid int, participantid int, championid int, teamposition string, build string, win int")
+    past = [p for p in players if p[0] < 30]
+    got = bundle.prior_features(rows, rows.where("matchid < 30"), ["build", "champion"], ["build", "champion"], nested=nested, versus_strength=5.0, pair_strength=7.0).collect()
+    keys = {"build": lambda p: (p[3], p[4] or "", p[5]), "champion": lambda p: (p[3],)}
+    solo = {}
+    for p in past:
+        n, w = solo.get(keys["build"](p), (0, 0))
+        solo[keys["build"](p)] = (n + 1, w + p[6])
+
+    def own(p):
+        n, w = solo.get(keys["build"](p), (0, 0))
+        return (0.5 * 20 + w) / (20 + n), n
+
+    def cells(kind, key):
+        held = {}
+        for a in past:
+            for b in past:
+                if a[0] == b[0] and ((kind == "versus" and a[1] == 100 and b[1] == 200) or (kind == "pair" and a[1] == b[1] and a[2] < b[2])):
+                    x, y, w = key(a), key(b), a[6]
+                    if x > y:
+                        x, y, w = y, x, (1 - w if kind == "versus" else w)
+                    if x == y and kind == "versus":
+                        w = 0.5
+                    held.setdefault((x, y), []).append(w)
+        return held
+
+    tables = {(kind, k): cells(kind, f) for kind in ("versus", "pair") for k, f in keys.items()}
+    want = {}
+    for a in players:
+        want[a[0], "solo", a[2], None] = own(a)
+        for b in players:
+            kind = "versus" if a[1] == 100 and b[1] == 200 else "pair" if a[1] == b[1] and a[2] < b[2] else None
+            if a[0] != b[0] or kind is None:
+                continue
+            s1, s2 = own(a)[0], own(b)[0]
+            value, strength, e, n_fine = (0.5 + (s1 - s2) / 2, 5.0, 0.0, 0) if kind == "versus" else ((s1 + s2) / 2, 7.0, 0.0, 0)
+            for k in ("champion", "build"):
+                x, y = keys[k](a), keys[k](b)
+                seen = tables[kind, k].get((min(x, y), max(x, y)), [])
+                n, r = len(seen), (np.mean(seen) if seen else 0.5)
+                r = 1 - r if kind == "versus" and x > y else r
+                value, e, n_fine = value + (r - value) * n / (n + strength), n + strength / (n + strength) * e, n
+            want[a[0], kind, a[2], b[2]] = (value, e if nested else n_fine)
+    held = {(r.matchid, r.kind, r.slot, r.other): (r.value, r.n) for r in got}
+    assert held.keys() == want.keys()
+    for k in want:
+        assert held[k] == pytest.approx(want[k]), k
