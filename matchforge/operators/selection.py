@@ -152,6 +152,7 @@ def rows_at(df: DataFrame, part: list[str], order: list[str], ranks: dict, round
     """
     got = values_at(df, part, order[0], ranks, rounds).withColumnsRenamed({"value": "_o0", "left": "_left"})
     for i, c in enumerate(order[1:], 1):
+        got = _held(got)
         tied = [f"_o{k}" for k in range(i)]
         rows = df.select(*part, *[F.col(order[k]).alias(f"_o{k}") for k in range(i)], F.col(c).alias("_v"))
         keys = [*part, "_name", *tied]
@@ -161,15 +162,21 @@ def rows_at(df: DataFrame, part: list[str], order: list[str], ranks: dict, round
     return got.select(*part, "name", *[F.col(f"_o{i}").alias(c) for i, c in enumerate(order)])
 
 
+def _held(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small result as rows at hand, so that plans over it do not make it anew; beyond `most` rows it stays a plan."""
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def chrono_split(df: DataFrame, part: list[str], order: list[str], share: float = 0.8) -> DataFrame:
     """`split`: rows up to the one at floor(share * n), one at least, in the order of a part train; the rest test.
 
     `order` should end in a unique key; rows that tie in all of it go to the same side. Nulls come first. One row of bounds per part
-    is found by selection, so rows are neither sorted nor ranked.
+    is found by selection, when the split is called, so rows are neither sorted nor ranked; up to 10,000 of them are broadcast.
     """
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     last = rows_at(df, part, order, {"last": lambda n: F.greatest(F.floor(n * F.lit(float(share))), F.lit(1))})
-    return null_safe(df, last.select(*part, here.alias("_last")), part).withColumn("split", F.when(here <= F.col("_last"), "train").otherwise("test")).drop("_last")
+    return null_safe(df, _held(last.select(*part, here.alias("_last"))), part).withColumn("split", F.when(here <= F.col("_last"), "train").otherwise("test")).drop("_last")
 
 
 def equal_ranges(df: DataFrame, key: str, parts: int, rounds: int = 1) -> DataFrame:
