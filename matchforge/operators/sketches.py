@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchforge.operators.selection import values_at
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -57,8 +59,7 @@ def sketch_levels(df: DataFrame, part: list[str], levels: dict[str, list[str]],
     Every row counts in each level; all levels are made by one aggregate, whose partial sketches are what is shuffled. Nulls are in
     no sketch; a key without values has empty sketches.
     """
-    keys = F.array(*[F.struct(F.lit(n).alias("level"), (F.to_json(F.struct(*c)) if c else F.lit("{}")).alias("key")) for n, c in levels.items()])
-    rows = df.select(*part, *{s.column for s in sketches}, F.explode(keys).alias("_l")).select("*", "_l.level", "_l.key")
+    rows = _levelled(df, levels, [*part, *{s.column for s in sketches}])
     return rows.groupBy(*part, "level", "key").agg(F.count("*").alias("rows"), *[s.made(F.col(s.column)) for s in sketches])
 
 
@@ -77,6 +78,38 @@ def quantile_estimate(s: Sketch, share: float) -> Column:
     return F.when(F.kll_sketch_get_n_double(F.col(s.name)) > 0, F.kll_sketch_get_quantile_double(F.col(s.name), F.lit(share)))
 
 
+def _levelled(df: DataFrame, levels: dict[str, list[str]], columns: list[str]) -> DataFrame:
+    """Every row in each level: level, key (as in the stored rows), columns."""
+    keys = F.array(*[F.struct(F.lit(n).alias("level"), (F.to_json(F.struct(*c)) if c else F.lit("{}")).alias("key")) for n, c in levels.items()])
+    return df.select(*columns, F.explode(keys).alias("_l")).select(*columns, "_l.level", "_l.key")
+
+
+def inexact(asked: DataFrame, s: Sketch) -> DataFrame:
+    """level, key of united sketches of kind 'set' or 'values' that were given more than they hold, so that their answers are estimates."""
+    held = F.kll_sketch_get_n_double(F.col(s.name)) if s.kind == "values" else distinct_estimate(s)
+    most = s._size() if s.kind == "values" else (1 << s._size()) - 1
+    return asked.where(held > most).select("level", "key")
+
+
+def exact_distinct(df: DataFrame, levels: dict[str, list[str]], column: str, only: DataFrame, conditions: dict[str, Column] | None = None) -> DataFrame:
+    """level, key, distinct and one count per condition (distinct values of the rows that meet it), of the keys in `only`, from the rows themselves."""
+    conditions = conditions or {}
+    rows = df.where(F.col(column).isNotNull()).withColumns({f"_c_{n}": c for n, c in conditions.items()})
+    rows = _levelled(rows, levels, [column, *[f"_c_{n}" for n in conditions]]).join(F.broadcast(only), ["level", "key"], "left_semi")
+    one = rows.groupBy("level", "key", column).agg(F.count("*").alias("_n"), *[F.max(f"_c_{n}").alias(f"_c_{n}") for n in conditions])
+    return one.groupBy("level", "key").agg(F.count("*").alias("distinct"), *[F.count_if(F.col(f"_c_{n}")).alias(n) for n in conditions])
+
+
+def exact_quantile(df: DataFrame, levels: dict[str, list[str]], column: str, share: float, only: DataFrame) -> DataFrame:
+    """level, key, value: the smallest value with at least this share of the values up to it, of the keys in `only`, from the rows themselves.
+
+    Found by selection: cells of a sketch are counted and only the cell that holds the rank is looked at value by value.
+    """
+    rows = _levelled(df.where(F.col(column).isNotNull()), levels, [column]).join(F.broadcast(only), ["level", "key"], "left_semi")
+    got = values_at(rows, ["level", "key"], column, {"q": lambda n: F.greatest(F.ceil(n * F.lit(float(share))), F.lit(1))})
+    return got.select("level", "key", "value")
+
+
 def rank_estimate(s: Sketch, value: Column) -> Column:
     """Share of the values up to `value`; null without values."""
     return F.when(F.kll_sketch_get_n_double(F.col(s.name)) > 0, F.kll_sketch_get_rank_double(F.col(s.name), value))

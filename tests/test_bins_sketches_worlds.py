@@ -126,3 +126,19 @@ def test_content_version_follows_rows_not_their_order(spark):
     shuffled = random.Random(1).sample(rows, len(rows))
     changed = [*rows[:-1], (199, "n199", 198.5)]
     assert of(rows) == of(shuffled) and len({of(rows), of(changed), of(rows + rows[:1]), of(rows[1:]), of([])}) == 5
+
+
+def test_keys_beyond_a_sketch_are_counted_from_the_rows(spark):
+    want = [sketches.Sketch("people", "set", "who", 5), sketches.Sketch("values", "values", "v", 16)]
+    df = spark.range(2000).select(F.when(F.col("id") < 10, 0).otherwise(1).alias("team"), F.when(F.col("id") % 7 > 0, F.col("id") % 501).alias("who"), (F.col("id") * 13 % 997).cast("double").alias("v"))
+    levels = {"team": ["team"], "all": []}
+    every = sketches.united(sketches.sketch_levels(df, [], levels, want), ["level", "key"], want)
+    beyond = [sketches.inexact(every, s) for s in want]
+    assert all({tuple(x) for x in b.collect()} == {("team", '{"team":1}'), ("all", "{}")} for b in beyond)
+    counts = {(x.level, x.key): (x.distinct, x.even) for x in sketches.exact_distinct(df, levels, "who", beyond[0], {"even": F.col("v") % 2 == 0}).collect()}
+    middles = {(x.level, x.key): x.value for x in sketches.exact_quantile(df, levels, "v", 0.5, beyond[1]).collect()}
+    rows = df.collect()
+    for key, mine in ((("team", '{"team":1}'), [x for x in rows if x.team == 1]), (("all", "{}"), rows)):
+        assert counts[key] == (len({x.who for x in mine if x.who is not None}), len({x.who for x in mine if x.who is not None and x.v % 2 == 0}))
+        assert middles[key] == sorted(x.v for x in mine)[(len(mine) + 1) // 2 - 1]
+    assert counts.keys() == middles.keys() and len(counts) == 2
