@@ -32,24 +32,28 @@ def final_snapshot(frames: DataFrame, keys: list[str], at: str, stats: list[str]
 
 
 def team_shares(players: DataFrame, stats: list[str]) -> DataFrame:
-    """Own part of the team's sum, and how concentrated the team is (sum of squared shares); one window over the team."""
+    """Own part of the team's sum, and how concentrated the team is (sum of squared shares); all sums in one window over the team."""
     team = Window.partitionBy("matchid", "teamid")
-    out = players
+    own = lambda s: F.col(s).cast("double")
+    sums = [x for s in stats for x in (F.sum(own(s)).over(team).alias(f"_total_{s}"), F.sum(own(s) * F.col(s)).over(team).alias(f"_squares_{s}"))]
+    out = players.select("*", *sums)
+    made = []
     for s in stats:
-        total, squares = F.sum(F.col(s).cast("double")).over(team), F.sum(F.col(s).cast("double") * F.col(s)).over(team)
-        out = out.withColumn(f"{s}_share", over_one(F.col(s).cast("double"), total)).withColumn(f"{s}_concentration", F.when(total > 0, squares / (total * total)).otherwise(0.0))
-    return out
+        total = F.col(f"_total_{s}")
+        made += [over_one(own(s), total).alias(f"{s}_share"), F.when(total > 0, F.col(f"_squares_{s}") / (total * total)).otherwise(0.0).alias(f"{s}_concentration")]
+    return out.select(*players.columns, *made)
 
 
 def versus_opponent(players: DataFrame, stats: list[str]) -> DataFrame:
-    """Difference and relative advantage to the opponent in one's role, where exactly two play it: pair sum less self."""
+    """Difference and relative advantage to the opponent in one's role, where exactly two play it: pair sum less self; one window over the role."""
     role = Window.partitionBy("matchid", "teamposition")
-    out = players.withColumn("_n", F.count("*").over(role))
+    own = lambda s: F.col(s).cast("double")
+    out = players.select("*", F.count("*").over(role).alias("_n"), *[F.sum(own(s)).over(role).alias(f"_pair_{s}") for s in stats]).where("_n = 2")
+    made = []
     for s in stats:
-        own = F.col(s).cast("double")
-        other = F.sum(own).over(role) - own
-        out = out.withColumn(f"{s}_diff", own - other).withColumn(f"{s}_advantage", (own - other) / F.greatest(F.abs(own) + F.abs(other), F.lit(1.0)))
-    return out.where("_n = 2").drop("_n")
+        other = F.col(f"_pair_{s}") - own(s)
+        made += [(own(s) - other).alias(f"{s}_diff"), ((own(s) - other) / F.greatest(F.abs(own(s)) + F.abs(other), F.lit(1.0))).alias(f"{s}_advantage")]
+    return out.select(*players.columns, *made)
 
 
 def median_mad(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,6 +21,16 @@ def off(c, digits: int = 6):
     return F.round(F.col(c) + 1e-9, digits)
 
 
+def rounded(df, keys: list[str], names: dict[str, str], shift: float = 0.0, digits: int = 6):
+    """Keys and columns under new names, rounded as one array: dozens of roundings in a row make a generated method too long to be compiled.
+
+    Values are scaled as doubles before they are rounded, as DuckDB does, so that ties such as 0.2590625 go to the same side.
+    """
+    scale = float(10**digits)
+    values = F.transform(F.array(*names), lambda x: F.round((x + shift) * scale) / scale)
+    return df.select(*keys, values.alias("_v")).select(*keys, *[F.col("_v")[i].alias(n) for i, n in enumerate(names.values())])
+
+
 def _closing(text: str, at: int) -> int:
     """Place of the bracket that closes the one at `at`."""
     depth = 0
@@ -95,7 +105,8 @@ def _shares(spark, d):
 @query(SHARES + " SELECT matchid, participantid, " + ", ".join([f"round({n}_share + 1e-9::DOUBLE, 6) AS {n}_team_share" for n in QUANTITY] + [f"round({n}_concentration + 1e-9::DOUBLE, 6) AS {n}_team_concentration" for n in CONCENTRATED]) + " FROM sh")
 def qty_all_team_shares(spark, d):
     """Team shares of all 22 quantities and concentrations of six."""
-    return _shares(spark, d).select("matchid", "participantid", *[off(f"{n}_share").alias(f"{n}_team_share") for n in QUANTITY], *[off(f"{n}_concentration").alias(f"{n}_team_concentration") for n in CONCENTRATED])
+    names = {f"{n}_share": f"{n}_team_share" for n in QUANTITY} | {f"{n}_concentration": f"{n}_team_concentration" for n in CONCENTRATED}
+    return rounded(_shares(spark, d), ["matchid", "participantid"], names, 1e-9)
 
 
 ROLE = "OVER (PARTITION BY matchid, teamposition)"
@@ -109,7 +120,7 @@ COMPARED = DUEL + [f"{n}_share" for n in DUEL_SHARES]
 def qty_all_role_opponents(spark, d):
     """The 32 features of a participant against the opponent in its role."""
     out = profiles.versus_opponent(_shares(spark, d), COMPARED)
-    return out.select("matchid", "participantid", *[r(f"{n}_{k}").alias(f"{n}_{k}") for n in COMPARED for k in ("diff", "advantage")])
+    return rounded(out, ["matchid", "participantid"], {c: c for c in [f"{n}_{k}" for n in COMPARED for k in ("diff", "advantage")]})
 
 
 SHARE_FEATURES = [f"{n}_share" for n in QUANTITY]

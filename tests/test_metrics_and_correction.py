@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchforge.functions import hooks
-from matchforge.operators import augment, correction, hierarchy, joins, spaces
+from matchforge.operators import augment, correction, hierarchy, joins, profiles, spaces
 
 
 def test_metrics_come_in_the_order_of_their_dependencies(spark):
@@ -233,3 +233,13 @@ def test_bundle_of_priors_against_plain_python(spark, nested):
     assert held.keys() == want.keys()
     for k in want:
         assert held[k] == pytest.approx(want[k]), k
+
+
+def test_shares_and_opponents_need_one_window_each(spark):
+    p = spark.createDataFrame([(1, 1, 100, "TOP", 3, 0), (1, 2, 200, "TOP", 1, 0), (1, 3, 100, "JUNGLE", 1, 0), (2, 1, 100, "TOP", 5, 2)], "matchid int, participantid int, teamid int, teamposition string, kills int, gold int")
+    shared = profiles.team_shares(p, ["kills", "gold"])
+    got = {(r.matchid, r.participantid): (r.kills_share, r.kills_concentration, r.gold_share, r.gold_concentration) for r in shared.collect()}
+    assert got == {(1, 1): (0.75, 0.625, 0.0, 0.0), (1, 2): (1.0, 1.0, 0.0, 0.0), (1, 3): (0.25, 0.625, 0.0, 0.0), (2, 1): (1.0, 1.0, 1.0, 1.0)}
+    duel = profiles.versus_opponent(shared, ["kills", "kills_share"])
+    assert {(r.participantid, r.kills_diff, r.kills_advantage, r.kills_share_diff, r.kills_share_advantage) for r in duel.collect()} == {(1, 2.0, 0.5, -0.25, -0.25 / 1.75), (2, -2.0, -0.5, 0.25, 0.25 / 1.75)}
+    assert duel._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
