@@ -59,9 +59,9 @@ def versus_opponent(players: DataFrame, stats: list[str]) -> DataFrame:
 def median_mad(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long table (metric, median, mad): exact medians of rows of metric and value, found by selection."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value is not null")
-    centre = quantiles(long, ["metric"], "value", {"median": 0.5})
-    spread = long.join(centre, "metric").select("metric", F.abs(F.col("value") - F.col("median")).alias("value"))
-    return centre.join(quantiles(spread, ["metric"], "value", {"mad": 0.5}), "metric")
+    centre = quantiles(long, ["metric"], "value", {"median": 0.5}, few=True)
+    spread = long.join(F.broadcast(centre), "metric").select("metric", F.abs(F.col("value") - F.col("median")).alias("value"))
+    return centre.join(quantiles(spread, ["metric"], "value", {"mad": 0.5}, few=True), "metric")
 
 
 def standardise(df: DataFrame, columns: list[str], keys: list[str], limit: float = 8.0) -> DataFrame:
@@ -70,7 +70,7 @@ def standardise(df: DataFrame, columns: list[str], keys: list[str], limit: float
     scale = median_mad(logged, columns)
     long = logged.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns])))
     width = F.when(F.col("mad") * 1.4826 > 1e-9, F.col("mad") * 1.4826).otherwise(1.0)
-    return long.join(scale, "metric").select(*keys, "metric", clip((F.col("value") - F.col("median")) / width, -limit, limit).alias("z"))
+    return long.join(F.broadcast(scale), "metric").select(*keys, "metric", clip((F.col("value") - F.col("median")) / width, -limit, limit).alias("z"))
 
 
 def temporal_bins(events: DataFrame, keys: list[str], bucket: Column, stats: dict[str, Column]) -> DataFrame:
