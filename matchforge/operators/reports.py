@@ -61,7 +61,9 @@ def player_inspector(players: DataFrame, champion: int, role: str, build: str, i
 
 def season_counts(players: DataFrame) -> DataFrame:
     """season, n (participants), lacking (matches without ten different pairs of team and role)."""
-    seats = players.groupBy("season", "matchid").agg(F.count_distinct("teamid", "teamposition").alias("seats"), F.count_distinct("participantid").alias("n"))
+    seat = F.when(F.col("teamid").isNotNull() & F.col("teamposition").isNotNull(), F.struct("teamid", "teamposition"))
+    different = lambda c: F.size(F.collect_set(c))  # noqa: E731  a match is small: sets need no copy of its rows for each count, nor a further shuffle
+    seats = players.groupBy("season", "matchid").agg(different(seat).alias("seats"), different("participantid").alias("n"))
     return seats.groupBy("season").agg(F.sum("n").cast("long").alias("n"), F.sum((F.col("seats") < 10).cast("long")).alias("lacking"))
 
 
