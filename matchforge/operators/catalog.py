@@ -46,22 +46,38 @@ def eligibility_pool(catalog: DataFrame) -> DataFrame:
 
 
 def _merged(a, b, width: int):
-    """The `width` largest products of two falling lists of weights, with the places they come from.
+    """The `width` largest products of two falling lists of weights, with the places they come from; one row per game.
 
     The pair at (i, j) has (i + 1)(j + 1) - 1 pairs at least as large, so only pairs with (i + 1)(j + 1) <= width can be among them:
     width * log(width) pairs, not width^2.
     """
     import numpy as np
 
-    if len(a) * len(b) <= 4 * width:
-        i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+    n, m = a.shape[1], b.shape[1]
+    if n * m <= 4 * width:
+        i, j = np.divmod(np.arange(n * m), m)
     else:
-        take = np.minimum(len(b), width // np.arange(1, min(len(a), width) + 1))
+        take = np.minimum(m, width // np.arange(1, min(n, width) + 1))
         i = np.repeat(np.arange(len(take)), take)
         j = np.arange(len(i)) - np.repeat(np.cumsum(take) - take, take)
-    made = a[i] * b[j]
-    best = np.argsort(-made, kind="stable")[:width]
-    return made[best], i[best], j[best]
+    made = a[:, i] * b[:, j]
+    best = np.argsort(-made, axis=1, kind="stable")[:, :width]
+    return np.take_along_axis(made, best, 1), i[best], j[best]
+
+
+def _choices(slots: list, width: int):
+    """(weights, choices) of games of one shape: `slots` has one array per slot, a row of falling probabilities per game."""
+    import numpy as np
+
+    small = np.int16 if max(p.shape[1] for p in slots) < 2**15 else np.int32
+    held = [(p[:, :width], np.broadcast_to(np.arange(min(p.shape[1], width), dtype=small)[None, :, None], (len(p), min(p.shape[1], width), 1))) for p in slots]
+    while len(held) > 1:
+        pairs = []
+        for x, y in zip(held[::2], held[1::2]):
+            w, i, j = _merged(x[0], y[0], width)
+            pairs.append((w, np.concatenate([np.take_along_axis(x[1], i[:, :, None], 1), np.take_along_axis(y[1], j[:, :, None], 1)], axis=2)))
+        held = pairs + ([held[-1]] if len(held) % 2 else [])
+    return held[0]
 
 
 def top_choices(slots: list, width: int):
@@ -73,59 +89,69 @@ def top_choices(slots: list, width: int):
 
     if not slots or any(len(p) == 0 for p in slots):
         return np.zeros(0), np.zeros((0, len(slots)), np.int64)
-    held = [(np.asarray(p, np.float64)[:width], np.arange(min(len(p), width))[:, None]) for p in slots]
-    while len(held) > 1:
-        pairs = []
-        for x, y in zip(held[::2], held[1::2]):
-            w, i, j = _merged(x[0], y[0], width)
-            pairs.append((w, np.concatenate([x[1][i], y[1][j]], axis=1)))
-        held = pairs + ([held[-1]] if len(held) % 2 else [])
-    return held[0]
+    weights, chosen = _choices([np.asarray(p, np.float64)[None, :] for p in slots], width)
+    return weights[0], chosen[0].astype(np.int64)
 
 
-def joint_worlds(games: DataFrame, slots: str = "slots", k: int = 3, width: int = 512, stop: float = 0.9) -> DataFrame:
-    """Most likely joint choices, one row per world: game columns, world (from 0), builds, weight.
+def game_worlds(games: DataFrame, slots: str = "slots", k: int = 3, width: int = 512, stop: float = 0.9) -> DataFrame:
+    """joint_worlds with one row per game: game columns, choices (per slot its builds, likeliest first), weights and picks.
 
-    `slots` is an array, per slot, of arrays of (build, p), any number of them. Each slot keeps its `k` likeliest choices (ties by build);
-    of their products the `width` largest are found exactly. Worlds are kept until their mass reaches `stop`, the one that crosses
-    it included; weights are not scaled. Choices of no mass are dropped; a game with a slot that has none, or without slots, has no
-    world. Narrow: a game's worlds are made where it stands.
+    World w has weights[w] and takes, of each slot, the choice that the w-th stretch of picks names. Games of one shape (the number
+    of choices of each slot) are worked on together. Narrow: a game's worlds are made where it stands.
     """
-    best = lambda slot: F.slice(F.array_sort(F.transform(F.filter(slot, lambda x: x["p"] > 0), lambda x: F.struct((-x["p"]).alias("p"), x["build"].cast("string").alias("build")))), 1, k)
+    likely = lambda slot: F.slice(F.sort_array(F.transform(F.filter(slot, lambda x: x["p"] > 0), lambda x: F.struct((-x["p"]).alias("p"), x["build"].cast("string").alias("build")))), 1, k)
     keys = [c for c in games.columns if c != slots]
-    held = games.where(F.col(slots).isNotNull()).select(*keys, F.transform(slots, best).alias("_slots"))
-    schema = T.StructType([f for f in held.schema.fields if f.name != "_slots"]).add("world", T.IntegerType()).add("builds", T.ArrayType(T.StringType())).add("weight", T.DoubleType())
+    held = games.where(F.col(slots).isNotNull()).select(*keys, F.transform(slots, likely).alias("_slots"))
+    held = held.select(*keys, F.transform("_slots", lambda x: x["build"]).alias("choices"), F.transform("_slots", lambda x: x["p"]).alias("_p"))
+    schema = T.StructType(held.schema.fields[:-1]).add("weights", T.ArrayType(T.DoubleType())).add("picks", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            every = batch.column(len(keys))
+            every = batch.column(len(keys) + 1)
             outer, inner = every.offsets.to_numpy(), every.values.offsets.to_numpy()
-            choices = every.values.values
-            p, builds = -choices.field("p").to_numpy(zero_copy_only=False), choices.field("build")
-            game, weights, picked, sizes = [], [], [], []
+            p, sizes = -every.values.values.to_numpy(zero_copy_only=False), np.diff(inner)
+            shapes = {}
             for g in range(batch.num_rows):
-                starts = inner[outer[g] : outer[g + 1] + 1]
-                found, chosen = top_choices([p[a:b] for a, b in zip(starts, starts[1:])], width)
-                n = int(np.searchsorted(np.cumsum(found), stop)) + 1
-                found, chosen = found[:n], chosen[:n] + starts[:-1]
-                game.append(np.full(len(found), g))
-                weights.append(found)
-                picked.append(chosen.ravel())
-                sizes.append(np.full(len(found), chosen.shape[1]))
-            if not game:
-                continue
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            rows = pa.array(np.concatenate(game))
-            worlds = pa.array(np.concatenate([np.arange(len(w)) for w in weights]), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(offsets), builds.take(pa.array(np.concatenate(picked).astype(np.int64))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keys))), worlds, lists, pa.array(np.concatenate(weights))], [f.name for f in schema.fields])
+                shapes.setdefault(sizes[outer[g] : outer[g + 1]].tobytes(), []).append(g)
+            for members in shapes.values():
+                first, last = outer[members[0]], outer[members[0] + 1]
+                shape = sizes[first:last]
+                if not len(shape) or not shape.all():
+                    continue
+                # a few million products at a time
+                step = max(1, 2_000_000 // min(int(np.prod(shape.astype(float))), width * 16))
+                for at in range(0, len(members), step):
+                    mine = np.asarray(members[at : at + step])
+                    starts = inner[outer[mine][:, None] + np.arange(len(shape))]
+                    found, chosen = _choices([p[starts[:, s, None] + np.arange(n)] for s, n in enumerate(shape)], width)
+                    kept = np.minimum((np.cumsum(found, axis=1) < stop).sum(axis=1) + 1, found.shape[1])
+                    inside = np.arange(found.shape[1]) < kept[:, None]
+                    ends = np.concatenate([[0], np.cumsum(kept)])
+                    weights = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[inside]))
+                    picks = pa.ListArray.from_arrays(pa.array(ends * len(shape), pa.int32()), pa.array(chosen[inside].ravel(), pa.int32()))
+                    rows = pa.array(mine)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keys) + 1)), weights, picks], [f.name for f in schema.fields])
 
     return held.mapInArrow(run, schema)
 
 
+def joint_worlds(games: DataFrame, slots: str = "slots", k: int = 3, width: int = 512, stop: float = 0.9) -> DataFrame:
+    """Most likely joint choices, one row per world: game columns, world (from 0), builds, weight.
+
+    `slots` is an array, per slot, of arrays of (build, p), any number of them. Each slot keeps its `k` likeliest choices (ties by build);
+    of their products the `width` largest are found exactly. Worlds are kept until their mass reaches `stop`, the one that crosses
+    it included; weights are not scaled. Choices of no mass are dropped; a game with a slot that has none, or without slots, has no
+    world. See game_worlds where a row per game will do.
+    """
+    keys = [c for c in games.columns if c != slots]
+    rows = game_worlds(games, slots, k, width, stop).select(*keys, "choices", "picks", F.posexplode("weights").alias("world", "weight"))
+    mine = F.slice("picks", F.col("world") * F.size("choices") + 1, F.size("choices"))
+    return rows.select(*keys, "world", F.zip_with("choices", mine, lambda c, i: c[i]).alias("builds"), "weight")
+
+
 def fallback_counts(slots: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
     """fallback_source, n: how many slots took their choices from each source; slots that no vector covers count as 'none'."""
     sources = vectors.select(*keys, "fallback_source").distinct()

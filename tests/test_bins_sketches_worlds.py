@@ -120,6 +120,28 @@ def test_joint_worlds_of_many_slots_and_of_none(spark):
     assert catalog.joint_worlds(spark.createDataFrame([], kind), "slots").count() == 0
 
 
+def test_games_of_one_shape_are_worked_on_together(spark):
+    rng = np.random.default_rng(3)
+    games = [(g, [[(f"{s}{c}", float(rng.random() / 3)) for c in range(rng.integers(1, 4))] for s in range(g % 4 + 1)]) for g in range(60)]
+    df = spark.createDataFrame(games, "game int, slots array<array<struct<build:string,p:double>>>").coalesce(1)
+    rows = catalog.game_worlds(df, "slots", 3, 20, 0.5).collect()
+    assert len(rows) == 60
+    for r in rows:
+        n, slots = len(r.choices), dict(games)[r.game]
+        every = sorted(((math.prod(p for _, p in c), [b for b, _ in c]) for c in product(*slots)), key=lambda x: -x[0])[:20]
+        mass = np.cumsum([w for w, _ in every])
+        want = every[: int((mass < 0.5).sum()) + 1]
+        assert r.weights == pytest.approx([w for w, _ in want])
+        assert [[r.choices[s][r.picks[w * n + s]] for s in range(n)] for w in range(len(r.weights))] == [b for _, b in want]
+
+
+def test_worlds_are_counted_without_a_row_each(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["cat4_joint_worlds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
 def test_content_version_follows_rows_not_their_order(spark):
     rows = [(i, f"n{i}", None if i % 3 else float(i)) for i in range(200)]
     of = lambda r: catalog.content_version(spark.createDataFrame(r, "id int, name string, p double").repartition(5), ["id", "name", "p"]).first().version
