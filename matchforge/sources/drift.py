@@ -28,70 +28,94 @@ def _items(v) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _finding(name, path, kind, names, shape) -> Column:
-    cols = {"object": name, "path": path, "kind": kind, "names": names, "shape": shape}
-    return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in cols.items()])
-
-
 def _no_names() -> Column:
     return F.array().cast("array<string>")
 
 
-def walk(rows: DataFrame, path: list[str]) -> DataFrame:
-    """Follow a path ('*' takes every item of a list) from `_v`: `_v` and `_path` of what is reached, or `_error` (kind, names) where it ends.
+def walk(rows: DataFrame, paths: Mapping[str, list[str]]) -> DataFrame:
+    """Follow named paths ('*' takes every item of a list) from `_v`, all at once: `_name`, and `_v` and `_path` of what is reached, or `_kind` and `_names` where it ends.
 
-    A missing key is told at its parent; items of a list have their place in the path.
+    A missing key is told at its parent; items of a list have their place in the path. A value is taken apart once a step, in a column
+    of its own: its fields and items, which also tell objects and lists from other values.
     """
-    rows = rows.withColumns({"_path": F.lit("$"), "_kind": F.lit(None).cast("string"), "_names": _no_names()})
-    keep = [c for c in rows.columns if c not in ("_v", "_path", "_kind", "_names")]
-    for token in path:
-        ok = F.col("_kind").isNull()
-        node = lambda v, p, kind, names: F.struct(v.alias("v"), p.alias("p"), kind.alias("k"), names.alias("n"))
-        stay = lambda kind, names=None: F.array(node(F.col("_v"), F.col("_path"), F.lit(kind) if kind else F.col("_kind"), names if names is not None else F.col("_names")))
-        none = F.lit(None).cast("string")
-        if token == "*":
-            step = F.transform(_items(F.col("_v")), lambda x, i: node(x, F.concat(F.col("_path"), F.lit("["), i.cast("string"), F.lit("]")), none, _no_names()))
-            steps = F.when(~ok, stay(None)).when(~_is(F.col("_v"), "ARRAY"), stay("expected_list")).otherwise(step)
-        else:
-            child = F.try_element_at(_fields(F.col("_v")), F.lit(token))
-            there = F.array_contains(F.map_keys(_fields(F.col("_v"))), token)
-            step = F.array(node(child, F.concat(F.col("_path"), F.lit(f".{token}")), none, _no_names()))
-            steps = F.when(~ok, stay(None)).when(~_is(F.col("_v"), "OBJECT"), stay("expected_object")).when(~there, stay("missing_path", F.array(F.lit(token)))).otherwise(step)
-        rows = rows.select(*keep, F.explode(steps).alias("_s")).select(*keep, F.col("_s.v").alias("_v"), F.col("_s.p").alias("_path"), F.col("_s.k").alias("_kind"), F.col("_s.n").alias("_names"))
-    return rows
-
-
-def _key_findings(name, required: Column, known: Column) -> Column:
-    """Findings about the keys of an object at `_v`, as an array."""
-    held = F.map_keys(_fields(F.col("_v")))
-    missing, extra = F.array_sort(F.array_except(required, held)), F.array_sort(F.array_except(held, known))
-    shape = _shape(F.col("_v"))
-    each = F.array(_finding(name, F.col("_path"), "missing_keys", missing, shape), _finding(name, F.col("_path"), "unexpected_keys", extra, shape))
-    wrong = F.array(_finding(name, F.col("_path"), "expected_object", _no_names(), shape))
-    return F.when(_is(F.col("_v"), "OBJECT"), F.filter(each, lambda f: F.size(f["names"]) > 0)).otherwise(wrong)
+    keep = [c for c in rows.columns if c != "_v"]
+    if not paths:
+        return rows.where("false").withColumns({"_name": F.lit(""), "_path": F.lit("$"), "_kind": F.lit(None).cast("string"), "_names": _no_names()})
+    every = F.array(*[F.struct(F.lit(n).alias("name"), _texts(p).alias("path")) for n, p in paths.items()])
+    rows = rows.select(*keep, "_v", F.inline(every).alias("_name", "_tokens")).withColumns({"_path": F.lit("$"), "_kind": F.lit(None).cast("string"), "_names": _no_names()})
+    none = F.lit(None).cast("string")
+    node = lambda v, p, kind, names: F.struct(v.alias("v"), p.alias("p"), kind.alias("k"), names.alias("n"))
+    stay = lambda kind, names: F.array(node(F.col("_v"), F.col("_path"), kind, names))
+    for i in range(max(map(len, paths.values()))):
+        token = F.get("_tokens", F.lit(i))
+        goes, star = F.col("_kind").isNull() & F.col("_token").isNotNull(), F.col("_token") == "*"
+        rows = rows.withColumn("_token", token).withColumns({"_items": F.when(goes & star, _items(F.col("_v"))), "_fields": F.when(goes & ~star, _fields(F.col("_v")))})
+        child = F.array(node(F.try_element_at("_fields", F.col("_token")), F.concat("_path", F.lit("."), "_token"), none, _no_names()))
+        each = F.transform("_items", lambda x, i: node(x, F.concat(F.col("_path"), F.lit("["), i.cast("string"), F.lit("]")), none, _no_names()))
+        in_list = F.when(F.col("_items").isNull(), stay(F.lit("expected_list"), _no_names())).otherwise(each)
+        in_object = F.when(F.col("_fields").isNull(), stay(F.lit("expected_object"), _no_names())).when(~F.map_contains_key("_fields", F.col("_token")), stay(F.lit("missing_path"), F.array("_token"))).otherwise(child)
+        steps = F.when(~goes, stay(F.col("_kind"), F.col("_names"))).when(star, in_list).otherwise(in_object)
+        rows = rows.select(*keep, "_name", "_tokens", F.inline(steps).alias("_v", "_path", "_kind", "_names"))
+    return rows.drop("_tokens")
 
 
 def _texts(names) -> Column:
     return F.array(*[F.lit(n) for n in names]) if names else _no_names()
 
 
+def _pick(choices: Mapping[str, Column], key: Column) -> Column:
+    """The list of the name that `key` holds; null for other names."""
+    out = F.lit(None).cast("array<string>")
+    for name, value in reversed(choices.items()):
+        out = F.when(key == name, value).otherwise(out)
+    return out
+
+
+def drift(raw: DataFrame, checks: Mapping[str, dict] | None = None, events: Mapping[str, dict] | None = None, path: list[str] | None = None, payload: str = "payload", key: str = "matchid") -> DataFrame:
+    """The rows of object_drift for `checks` and those of event_drift for `events` at `path` together: payloads are read and parsed once."""
+    checks, jobs = checks or {}, (checks is not None) + (events is not None)
+    paths = {f"o:{n}": c["path"] for n, c in checks.items()} | ({"e": [*path, "*"]} if events is not None else {})
+    # a payload that is no JSON is told once for each of the two jobs
+    parsed = raw.select(key, F.try_parse_json(payload).alias("_v"))
+    rows = walk(parsed.withColumn("_bad", F.col("_v").isNull()), {"p": []} | paths)
+    bad, job, ended = F.col("_bad"), F.col("_name"), F.col("_kind").isNotNull()
+    rows = rows.where(bad == (job == "p"))
+    finding = lambda name, kind, names: F.struct(name.alias("object"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), names.alias("names"))
+
+    own = F.substring(job, 3, 1 << 30)
+    object_, required, known, quiet = own, {}, {}, []
+    for n, c in checks.items():
+        required[f"o:{n}"], known[f"o:{n}"] = _texts(c.get("required", [])), _texts([*c.get("required", []), *c.get("optional", [])])
+        quiet += [f"o:{n}"] if c.get("may_lack") else []
+    want, may = _pick(required, job), _pick(known, job)
+    rows = rows.withColumn("_fields", F.when(~bad & ~ended, _fields(F.col("_v"))))
+    if events is not None:
+        of = F.try_element_at("_fields", F.lit("type"))
+        rows = rows.withColumn("_type", F.when((job == "e") & _is(of, "STRING"), F.try_variant_get(of, "$", "string")))
+        here, listed = job == "e", F.coalesce(F.col("_type").isin(*events), F.lit(False))
+        want = F.when(here, _pick({t: _texts(e.get("required", [])) for t, e in events.items()}, F.col("_type"))).otherwise(want)
+        may = F.when(here, _pick({t: _texts([*e.get("required", []), *e.get("optional", [])]) for t, e in events.items()}, F.col("_type"))).otherwise(may)
+        object_ = F.when(here, F.concat(F.lit("event:"), "_type")).otherwise(own)
+    held = F.map_keys("_fields")
+    keys = F.array(finding(object_, "missing_keys", F.sort_array(F.array_except(want, held))), finding(object_, "unexpected_keys", F.sort_array(F.array_except(held, may))))
+    found = F.when(F.col("_fields").isNull(), F.array(finding(object_, "expected_object", _no_names()))).otherwise(F.filter(keys, lambda f: F.size(f["names"]) > 0))
+    if events is not None:
+        found = F.when(here & ~listed, F.array(finding(F.lit("event"), "unknown_event_type", F.array_compact(F.array("_type"))))).otherwise(found)
+        own = F.when(here, F.lit("events")).otherwise(own)
+    stopped = F.when(job.isin(*quiet), F.slice(F.array(finding(own, F.col("_kind"), F.col("_names"))), 1, 0)).otherwise(F.array(finding(own, F.col("_kind"), F.col("_names"))))
+    none = finding(F.lit("payload"), "not_json", _no_names())
+    found = F.when(bad, F.array(*[none] * jobs)).when(ended, stopped).otherwise(found)
+    rows = rows.select(key, "_v", F.col("_path").alias("path"), F.inline(found))
+    return rows.select(key, "object", "path", "kind", "names", F.when(F.col("kind") != "not_json", _shape(F.col("_v"))).alias("shape"))
+
+
 def object_drift(raw: DataFrame, checks: Mapping[str, dict], payload: str = "payload", key: str = "matchid") -> DataFrame:
     """Findings about objects at paths: key, object, path, kind, names, shape.
 
     `checks`: object -> path (list of keys and '*'), required, optional (names of keys), and may_lack (no finding where the path ends).
     Kinds: missing_keys, unexpected_keys, expected_list, expected_object, missing_path, not_json (also for null payloads).
     """
-    parsed = raw.select(key, F.try_parse_json(payload).alias("_v"))
-    out = parsed.where("_v IS NULL").select(key, _finding("payload", "$", "not_json", _no_names(), F.lit(None).cast("string")).alias("_f")).select(key, "_f.*")
-    for name, check in checks.items():
-        reached = walk(parsed.where("_v IS NOT NULL"), check["path"])
-        ended = F.array(_finding(name, F.col("_path"), F.col("_kind"), F.col("_names"), _shape(F.col("_v"))))
-        if check.get("may_lack"):
-            ended = F.slice(ended, 1, 0)
-        required, known = _texts(check.get("required", [])), _texts([*check.get("required", []), *check.get("optional", [])])
-        found = F.when(F.col("_kind").isNotNull(), ended).otherwise(_key_findings(name, required, known))
-        out = out.unionByName(reached.select(key, F.explode(found).alias("_f")).select(key, "_f.*"))
-    return out
+    return drift(raw, checks, payload=payload, key=key)
 
 
 def event_drift(raw: DataFrame, events: Mapping[str, dict], path: list[str], payload: str = "payload", key: str = "matchid") -> DataFrame:
@@ -99,17 +123,7 @@ def event_drift(raw: DataFrame, events: Mapping[str, dict], path: list[str], pay
 
     `events`: type -> required, optional. An event without a text type, or of a type that is not listed, is unknown; its type is in `names`.
     """
-    parsed = raw.select(key, F.try_parse_json(payload).alias("_v"))
-    out = parsed.where("_v IS NULL").select(key, _finding("payload", "$", "not_json", _no_names(), F.lit(None).cast("string")).alias("_f")).select(key, "_f.*")
-    reached = walk(parsed.where("_v IS NOT NULL"), [*path, "*"])
-    kind = F.when(_is(F.try_element_at(_fields(F.col("_v")), F.lit("type")), "STRING"), F.try_variant_get("_v", "$.type", "string"))
-    per_type = lambda field: F.create_map(*[x for t, e in events.items() for x in (F.lit(t), _texts(e.get("required", []) if field == "required" else [*e.get("required", []), *e.get("optional", [])]))])
-    rows = reached.withColumn("_type", kind).withColumn("_known", F.coalesce(F.col("_type").isin(*events), F.lit(False)))
-    required, known = F.try_element_at(per_type("required"), F.col("_type")), F.try_element_at(per_type("known"), F.col("_type"))
-    unknown = F.array(_finding("event", F.col("_path"), "unknown_event_type", F.array_compact(F.array("_type")), _shape(F.col("_v"))))
-    ended = F.array(_finding("events", F.col("_path"), F.col("_kind"), F.col("_names"), _shape(F.col("_v"))))
-    found = F.when(F.col("_kind").isNotNull(), ended).when(F.col("_known"), _key_findings(F.concat(F.lit("event:"), "_type"), required, known)).otherwise(unknown)
-    return out.unionByName(rows.select(key, F.explode(found).alias("_f")).select(key, "_f.*"))
+    return drift(raw, None, events, path, payload, key)
 
 
 def observed_paths(raw: DataFrame, payload: str = "payload", depth: int = 12) -> DataFrame:
